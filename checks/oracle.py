@@ -112,7 +112,7 @@ mlb{s} AS (SELECT *, printf('IP %s flagged as anomalous by ML model. Anomaly sco
 al{s} AS (
   SELECT t_us // 1000000 AS ts_s, packet_id, src_ip AS ip_address, rule, alert_type,
     CASE WHEN alert_type IN ('RULE', 'ML') THEN alert_type ELSE 'UNKNOWN' END AS stored_type, description,
-    0.0 AS anomaly_score, dst_port AS target_port FROM cand{s}
+    0.0::DOUBLE AS anomaly_score, dst_port AS target_port FROM cand{s}
   UNION ALL SELECT t_us // 1000000, packet_id, src_ip, 'ml', 'ML', 'ML', body, score, NULL FROM mlb{s})"""
 
 
@@ -195,7 +195,7 @@ runf AS (SELECT src_ip, packet_id, t_us, seq,
   coalesce(pm, 0) AS avg_payload_size, coalesce(pv, 0) AS payload_size_variance FROM run1 WHERE seq >= 10)"""
 
 
-ROUNDED = ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in C.FEATURE_NAMES)
+ROUNDED = ", ".join(f"floor(CAST({c} AS DOUBLE) * 1e6 + 0.5) / 1e6 AS {c}" for c in C.FEATURE_NAMES)
 CAND_OUT = "packet_id, t_us, src_ip, rule, CAST(rule_seq AS INT) AS rule_seq, alert_type, CAST(dst_port AS INT) AS dst_port, description"
 NEWEST = "ORDER BY ts_s DESC, packet_id DESC, rule ASC, anomaly_score ASC"
 LINES = """
@@ -295,14 +295,14 @@ def oracle_sql() -> dict[str, str]:
         limiter_ctes("cand", "lim"),
     )
     ml_all = """
-both AS (SELECT packet_id, t_us, src_ip, rule, rule_seq, alert_type, description, 0.0::DOUBLE AS score FROM cand
+all_c AS (SELECT packet_id, t_us, src_ip, rule, rule_seq, alert_type, description, 0.0::DOUBLE AS score FROM cand
   UNION ALL SELECT packet_id, t_us, src_ip, 'ml', 0, 'ML', 'ML ANOMALY DETECTED: ' || src_ip || ' - ' || body, score FROM mlb)"""
     out["ml_alert_rows"] = q(
         """SELECT packet_id, t_us // 1000000 AS ts_s, src_ip AS ip_address, description, 0.0::DOUBLE AS anomaly_score
   FROM lim WHERE alert_type = 'ML'
 UNION ALL SELECT packet_id, t_us // 1000000, src_ip, body, score FROM mlb""",
         ml_all,
-        limiter_ctes("both", "lim"),
+        limiter_ctes("all_c", "lim"),
     )
     for name, history in (("snapshot_features", 1000), ("snapshot_features_h100", 100)):
         out[name] = q(f"SELECT src_ip, {ROUNDED} FROM feat", snapshot_sql(history, "val"))
@@ -440,7 +440,7 @@ WHERE n IS NULL OR NOT EXISTS (SELECT 1 FROM nets WHERE w.n BETWEEN lo AND hi)""
             f"SELECT '{c}' AS feature, round(avg({c}), 6) AS mean, round(CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1 END, 6) AS scale FROM feat"
             for c in C.FEATURE_NAMES
         ),
-        snapshot_sql(1000),
+        snapshot_sql(1000, "val"),
     )
     out["feature_correlation"] = q(
         " UNION ALL ".join(
@@ -448,7 +448,7 @@ WHERE n IS NULL OR NOT EXISTS (SELECT 1 FROM nets WHERE w.n BETWEEN lo AND hi)""
             for a in C.FEATURE_NAMES
             for b in C.FEATURE_NAMES
         ),
-        snapshot_sql(1000),
+        snapshot_sql(1000, "val"),
     )
     out["report_summary"] = q(
         stats_sql("al_real", "stored_type = 'RULE'") + " WHERE ts_s >= (SELECT max(ts_s) FROM al_real) - 86400 * 7"
@@ -458,7 +458,7 @@ WHERE n IS NULL OR NOT EXISTS (SELECT 1 FROM nets WHERE w.n BETWEEN lo AND hi)""
   GROUP BY 1 ORDER BY alerts DESC, ip_address LIMIT 5"""
     )
     out["features_json"] = out["training_features"]
-    out["training_csv"] = out["training_features"].replace("SELECT src_ip, round", "SELECT src_ip AS label, round")
+    out["training_csv"] = out["training_features"].replace("SELECT src_ip, floor", "SELECT src_ip AS label, floor")
     # Streams must give what the batch gives.
     out["stream_rules"] = q(f"SELECT {CAND_OUT} FROM cand WHERE rule IN ('uncommon_port', 'large_payload', 'malicious_payload')")
     out["stream_rates"] = q(

@@ -27,7 +27,9 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _rounded(df: DataFrame, *first: str) -> DataFrame:
-    return df.select(*first, *[F.round(c, 6).alias(c) for c in C.FEATURE_NAMES])
+    """Six decimals by plain arithmetic: engines differ in how round() treats decimal ties."""
+    six = lambda c: (F.floor(F.col(c) * 1e6 + 0.5).cast("double") / 1e6).alias(c)
+    return df.select(*first, *[six(c) for c in C.FEATURE_NAMES])
 
 
 def _signals(spark: SparkSession, folder: str, compress: bool = True) -> DataFrame:
@@ -425,7 +427,10 @@ def stream_features(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_ml_alerts(spark: SparkSession, folder: str) -> DataFrame:
     forest = training.train(_training(spark, folder)).forest
-    found = _drain(spark, st.ml_candidates(_packet_stream(spark, folder), forest), "ml")
+    path = new_folder(spark, "ml")
+    features = st.running_features(_packet_stream(spark, folder))
+    st.write_ml_candidates(features, forest, path, new_folder(spark, "ml-checkpoint")).awaitTermination()
+    found = spark.read.parquet(path)
     return found.select("packet_id", "src_ip", "seq", "score")
 
 

@@ -36,13 +36,22 @@ PRIVATE = (
 PRIVATE_EXCEPTIONS = ("192.0.0.9/32", "192.0.0.10/32")
 
 
-def cidr_range(cidr: str) -> tuple[int, int] | None:
-    """First and last address of an IPv4 network; None where the text is not one."""
+def leading_octets(cidr: str) -> tuple[int, list[str]] | None:
+    """A network as the texts its addresses start with: (octets, texts), at most 256 texts.
+
+    172.16.0.0/12 gives 2 octets and 172.16 .. 172.31. None where the text is no IPv4 network.
+    """
     try:
         net = ipaddress.IPv4Network(cidr)
     except ValueError:
         return None
-    return int(net.network_address), int(net.broadcast_address)
+    octets = max(1, -(-net.prefixlen // 8))
+    step = 1 << (32 - 8 * octets)
+    first, last = int(net.network_address), int(net.broadcast_address)
+    texts = [
+        ".".join(str(ipaddress.IPv4Address(n)).split(".")[:octets]) for n in range(first, last + 1, step)
+    ]
+    return octets, texts
 
 
 def is_ipv4(ip: Column) -> Column:
@@ -51,32 +60,41 @@ def is_ipv4(ip: Column) -> Column:
 
 def ip_to_long(ip: Column) -> Column:
     """Numeric address, null for anything but a strict dotted quad."""
-    parts = F.split(ip, r"\.")
-    value = reduce(
-        lambda acc, i: acc * 256 + F.get(parts, F.lit(i)).try_cast("bigint"),
-        range(1, 4),
-        F.get(parts, F.lit(0)).try_cast("bigint"),
+    value = F.aggregate(
+        F.split(ip, r"\."),
+        F.lit(0).cast("bigint"),
+        lambda number, octet: number * 256 + octet.try_cast("bigint"),
     )
     return F.when(is_ipv4(ip), value)
 
 
-def in_networks(ip_long: Column, cidrs: Iterable[str]) -> Column:
-    """Whether the address lies in one of the networks; literal ranges, so it needs no join."""
-    ranges = [r for r in map(cidr_range, cidrs) if r is not None]
-    tests = [ip_long.between(F.lit(lo), F.lit(hi)) for lo, hi in ranges]
+def in_networks(ip: Column, cidrs: Iterable[str]) -> Column:
+    """Whether a strict dotted quad lies in one of the networks.
+
+    Strict addresses have one spelling, so their leading octets are looked up as text: no join,
+    no number parsing, and all networks with the same number of octets share one lookup.
+    """
+    by_octets: dict[int, list[str]] = {}
+    for found in map(leading_octets, cidrs):
+        if found is not None:
+            by_octets.setdefault(found[0], []).extend(found[1])
+    tests = [
+        (ip if octets == 4 else F.substring_index(ip, ".", octets)).isin(texts)
+        for octets, texts in sorted(by_octets.items())
+    ]
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
-def is_loopback(ip_long: Column) -> Column:
-    return in_networks(ip_long, LOOPBACK)
+def is_loopback(ip: Column) -> Column:
+    return in_networks(ip, LOOPBACK)
 
 
-def is_link_local(ip_long: Column) -> Column:
-    return in_networks(ip_long, LINK_LOCAL)
+def is_link_local(ip: Column) -> Column:
+    return in_networks(ip, LINK_LOCAL)
 
 
-def is_private(ip_long: Column) -> Column:
-    return in_networks(ip_long, PRIVATE) & ~in_networks(ip_long, PRIVATE_EXCEPTIONS)
+def is_private(ip: Column) -> Column:
+    return in_networks(ip, PRIVATE) & ~in_networks(ip, PRIVATE_EXCEPTIONS)
 
 
 def safe_ip(ip: Column) -> Column:
@@ -85,13 +103,12 @@ def safe_ip(ip: Column) -> Column:
 
 def network_category(ip: Column) -> Column:
     """Category of an address that is not a known one."""
-    number = ip_to_long(ip)
     return (
-        F.when(number.isNull(), F.lit("Unknown/Invalid"))
-        .when(is_loopback(number), F.lit("Localhost (Loopback)"))
-        .when(is_private(number), F.lit("Local Network (Private)"))
-        .when(in_networks(number, MULTICAST), F.lit("Multicast"))
-        .when(in_networks(number, RESERVED), F.lit("Reserved"))
+        F.when(~is_ipv4(ip), F.lit("Unknown/Invalid"))
+        .when(is_loopback(ip), F.lit("Localhost (Loopback)"))
+        .when(is_private(ip), F.lit("Local Network (Private)"))
+        .when(in_networks(ip, MULTICAST), F.lit("Multicast"))
+        .when(in_networks(ip, RESERVED), F.lit("Reserved"))
         .otherwise(F.lit("Public Internet"))
     )
 

@@ -12,12 +12,9 @@ from quietwire.operators.ordering import running_totals, take_per_source
 
 
 def valid_source(ip: Column, trusted: Sequence[str] = TRUSTED_SUBNETS, parse_only: bool = False) -> Column:
-    number = ipf.ip_to_long(ip)
     if parse_only:
-        return number.isNotNull()
-    return number.isNotNull() & ~(
-        ipf.is_loopback(number) | ipf.is_link_local(number) | ipf.in_networks(number, trusted)
-    )
+        return ipf.is_ipv4(ip)
+    return ipf.is_ipv4(ip) & ~ipf.in_networks(ip, (*ipf.LOOPBACK, *ipf.LINK_LOCAL, *trusted))
 
 
 def valid_sources(
@@ -45,12 +42,16 @@ def ml_ready(running: DataFrame, min_packets: int = 10) -> DataFrame:
     return running.where(F.col("seq") >= max(min_packets, 3))
 
 
+def usable_label(ip: Column) -> Column:
+    """Whether a training row may keep its address: any but loopback and link-local."""
+    return F.coalesce(valid_source(ip, trusted=()), F.lit(False))
+
+
 def label_training_ips(
     rows: DataFrame, ip: str = "src_ip", order: Sequence[str] = ("packet_id",)
 ) -> DataFrame:
     """Add ``label``: the address, or ``invalid_ip_{k}`` for the k-th unusable one in row order."""
-    number = ipf.ip_to_long(F.col(ip))
-    usable = number.isNotNull() & ~(ipf.is_loopback(number) | ipf.is_link_local(number))
+    usable = usable_label(F.col(ip))
     counted = running_totals(
         rows, {"_invalid": F.when(usable, 0).otherwise(1).cast("bigint")}, keys=(), order=order
     )

@@ -51,19 +51,24 @@ def check_features(features: DataFrame, names: Sequence[str] = FEATURE_NAMES) ->
         raise ValueError(f"expected {len(names)} feature columns, missing {missing}")
 
 
+def varying_deviation(name: str) -> Column:
+    """Population deviation, null for a constant column (where rounding may leave a trace of one)."""
+    return F.when(F.min(name) < F.max(name), F.stddev_pop(name))
+
+
 def scaler_table(features: DataFrame, names: Sequence[str] = FEATURE_NAMES) -> DataFrame:
     """One row per feature: feature, mean, scale, n_rows. A single pass over the features."""
     wide = features.agg(
         F.count(F.lit(1)).alias("n_rows"),
         *[F.avg(n).alias(f"m_{i}") for i, n in enumerate(names)],
-        *[F.stddev_pop(n).alias(f"s_{i}") for i, n in enumerate(names)],
+        *[varying_deviation(n).alias(f"s_{i}") for i, n in enumerate(names)],
     )
     cells = F.array(
         *[
             F.struct(
                 F.lit(n).alias("feature"),
                 F.col(f"m_{i}").alias("mean"),
-                F.when(F.col(f"s_{i}") > 0, F.col(f"s_{i}")).otherwise(F.lit(1.0)).alias("scale"),
+                F.coalesce(F.col(f"s_{i}"), F.lit(1.0)).alias("scale"),
             )
             for i, n in enumerate(names)
         ]
@@ -305,22 +310,31 @@ def validate_model(forest: Forest, features: DataFrame) -> DataFrame:
 def feature_correlation(features: DataFrame, names: Sequence[str] = FEATURE_NAMES) -> DataFrame:
     """Pearson correlation of every pair of features as rows (feature_a, feature_b, r).
 
-    One aggregation in two passes: means first, then centred products, which keeps precision.
+    Two passes of one aggregation each: means first, then centred products, which keeps precision.
     ``r`` is null where a feature is constant.
     """
-    means = features.agg(*[F.avg(n).alias(n) for n in names]).first()
+    means = features.agg(
+        *[F.avg(n).alias(n) for n in names], *[varying_deviation(n).alias(f"s_{n}") for n in names]
+    ).first()
+    constant = [means[f"s_{n}"] is None for n in names]
     centred = features.select(
-        *[(F.col(n) - F.lit(0.0 if means[n] is None else float(means[n]))).alias(f"x{i}") for i, n in enumerate(names)]
+        *[
+            (F.col(n) - F.lit(0.0 if means[n] is None else float(means[n]))).alias(f"x{i}")
+            for i, n in enumerate(names)
+        ]
     )
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
     sums = centred.agg(*[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i, j in pairs])
     cells = []
     for i in range(len(names)):
         for j in range(len(names)):
-            a, b = min(i, j), max(i, j)
             spread = F.sqrt(F.col(f"p{i}_{i}")) * F.sqrt(F.col(f"p{j}_{j}"))
-            r = F.when(spread > 0, F.col(f"p{a}_{b}") / F.when(spread > 0, spread))
-            cells.append(F.struct(F.lit(names[i]).alias("feature_a"), F.lit(names[j]).alias("feature_b"), r.alias("r")))
+            r = F.lit(None).cast("double")
+            if not (constant[i] or constant[j]):
+                r = F.col(f"p{min(i, j)}_{max(i, j)}") / spread
+            cells.append(
+                F.struct(F.lit(names[i]).alias("feature_a"), F.lit(names[j]).alias("feature_b"), r.alias("r"))
+            )
     return sums.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
 
 

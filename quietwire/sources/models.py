@@ -6,7 +6,7 @@ import warnings
 from datetime import datetime, timedelta
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from quietwire.config import FEATURE_NAMES, ForestConfig
 from quietwire.operators.forest import Forest, Scaler
@@ -41,7 +41,7 @@ def save_forest(forest: Forest, path: str, version: int, trained_at: datetime |
 
 def model_info(spark: SparkSession, path: str) -> DataFrame:
     """Metadata of all stored versions."""
-    schema = METADATA.simpleString()[len("struct<") : -1] + ",version:int"
+    schema = T.StructType([*METADATA.fields, T.StructField("version", T.IntegerType())])
     try:
         return spark.read.schema(schema).parquet(f"{path}/metadata")
     except AnalysisException as error:

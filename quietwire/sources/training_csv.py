@@ -6,8 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from quietwire.config import FEATURE_NAMES
-from quietwire.functions import ip as ipf
-from quietwire.operators.filters import clean_features
+from quietwire.operators.filters import clean_features, usable_label
 
 MAX_ROWS = 50_000
 MAX_COLUMNS = 50
@@ -50,8 +49,7 @@ def read_training_csv(
     # At most max_rows rows are left, so one ordered window over all of them is small.
     in_order = Window.orderBy("_file", "_block", "_row")
     if "ip" in names:
-        number = ipf.ip_to_long(F.col("ip"))
-        usable = number.isNotNull() & ~(ipf.is_loopback(number) | ipf.is_link_local(number))
+        usable = usable_label(F.col("ip"))
         bad = F.sum(F.when(usable, 0).otherwise(1)).over(
             in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )

@@ -94,12 +94,6 @@ def running_features(
     )
 
 
-def ml_candidates(
-    packets: DataFrame, forest: Forest, cfg: DetectorConfig = DetectorConfig(), ttl_s: int | None = None
-) -> DataFrame:
-    return R.ml_candidates(predict(forest, running_features(packets, cfg, ttl_s)), cfg.score_threshold)
-
-
 def limited_alerts(
     candidates: DataFrame, cfg: DetectorConfig = DetectorConfig(), ttl_s: int | None = None
 ) -> DataFrame:
@@ -140,6 +134,24 @@ def write_stream(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
+def write_ml_candidates(
+    features: DataFrame, forest: Forest, path: str, checkpoint: str, score_threshold: float | None = 0.0
+) -> StreamingQuery:
+    """Score a feature stream micro-batch by micro-batch; the forest travels with the scoring function."""
+
+    def score(batch: DataFrame, batch_id: int) -> None:
+        found = R.ml_candidates(predict(forest, batch), score_threshold)
+        found.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return (
+        features.writeStream.foreachBatch(score)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def write_updates(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Store the changed rows of every micro-batch in a folder of its own; a repeated batch overwrites it."""
 
