@@ -13,7 +13,7 @@ from quietwire.functions import ip as ipf, payload as pay, text as txt
 from quietwire.operators import analytics as an, features as feat, filters as flt, forest as fo
 from quietwire.operators import limiter as lim, lookups as look, ordering as order, rules as R
 from quietwire.plans import detection, report, training
-from quietwire.scratch import new_folder
+from quietwire.scratch import new_folder, pin
 from quietwire.sources import alert_log, alerts as store, models, packets as psrc, training_csv
 from quietwire.sources.event_packets import as_packets, packets_from_events
 from quietwire.streaming import detection as st
@@ -291,7 +291,8 @@ def feature_scaler(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def feature_correlation(spark: SparkSession, folder: str) -> DataFrame:
-    return fo.feature_correlation(_detect_features(spark, folder)).withColumn("r", F.round("r", 6))
+    features = pin(_detect_features(spark, folder), "features")
+    return fo.feature_correlation(features).withColumn("r", F.round("r", 6))
 
 
 def _event_matrix(spark: SparkSession, folder: str) -> DataFrame:

@@ -83,9 +83,14 @@ def first_pattern(lowered: Column, patterns: Sequence[str] = MALICIOUS_PATTERNS)
 
 
 def malicious_pattern(payload: Column, patterns: Sequence[str] = MALICIOUS_PATTERNS) -> Column:
-    """Pattern found in the payload, else null. Payloads over the scan limit are not scanned."""
+    """Pattern found in the payload, else null. Payloads over the scan limit are not scanned.
+
+    The text is bound to a lambda so that it is decoded once and not for every pattern; over whole
+    tables ``describe_payload`` is faster, as it decodes in a step of its own.
+    """
     text = F.lower(as_latin1(payload))
-    return F.when(scannable(payload), first_pattern(text, patterns))
+    found = F.transform(F.array(text), lambda t: first_pattern(t, patterns))
+    return F.when(scannable(payload), F.get(found, F.lit(0)))
 
 
 def printable_count(latin1: Column) -> Column:

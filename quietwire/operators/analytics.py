@@ -114,14 +114,18 @@ def alert_rate(alerts: DataFrame, interval: str = "1H") -> DataFrame:
 def score_histogram(alerts: DataFrame, bins: int = 30) -> DataFrame:
     """ML scores in equal bins between the lowest and the highest score."""
     ml = alerts.where(IS_ML).select("anomaly_score")
-    low, high = ml.agg(F.min("anomaly_score")).scalar(), ml.agg(F.max("anomaly_score")).scalar()
+    bounds = ml.agg(
+        F.struct(F.min("anomaly_score").alias("low"), F.max("anomaly_score").alias("high"))
+    ).scalar()
+    low, high = bounds.getField("low"), bounds.getField("high")
     width = (high - low) / bins
     score = F.col("anomaly_score")
     bin_no = F.when(
         width > 0, F.least(F.floor((score - low) / F.when(width > 0, width)), F.lit(bins - 1))
     ).otherwise(F.lit(0))
     return (
-        ml.groupBy(bin_no.cast("int").alias("bin"))
+        ml.select(bin_no.cast("int").alias("bin"))
+        .groupBy("bin")
         .agg(F.count(F.lit(1)).alias("alerts"))
         .withColumn("bin_start", low + F.col("bin") * width)
     )

@@ -64,7 +64,7 @@ def snapshot_features(
             F.avg("gap_us").alias("gap_mean"),
             F.stddev_pop("gap_us").alias("gap_std"),
             F.count_if(F.col("t_us") > now - 5_000_000).alias("burst"),
-            F.size(F.collect_set(port)).alias("ports"),
+            F.countDistinct(port).alias("ports"),
             F.count_if(is_uncommon(port)).alias("uncommon"),
             F.count(port).alias("with_port"),
             F.avg(F.when(entropy > 0, entropy)).alias("mean_entropy"),

@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quietwire.config import FEATURE_NAMES, ForestConfig
@@ -22,6 +23,7 @@ from quietwire.scratch import pin
 from quietwire.schemas import TREES
 
 EULER = 0.5772156649
+EPSILON = 2.220446049250313e-16
 _HASH_RANGE = 1 << 31
 _ROWS_AT_ONCE = 4096
 
@@ -34,6 +36,7 @@ class Scaler:
     mean: tuple[float, ...]
     scale: tuple[float, ...]
     n_rows: int
+    varies: tuple[bool, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -51,36 +54,39 @@ def check_features(features: DataFrame, names: Sequence[str] = FEATURE_NAMES) ->
         raise ValueError(f"expected {len(names)} feature columns, missing {missing}")
 
 
-def varying_deviation(name: str) -> Column:
-    """Population deviation, null for a constant column (where rounding may leave a trace of one)."""
-    return F.when(F.min(name) < F.max(name), F.stddev_pop(name))
-
-
 def scaler_table(features: DataFrame, names: Sequence[str] = FEATURE_NAMES) -> DataFrame:
-    """One row per feature: feature, mean, scale, n_rows. A single pass over the features."""
+    """One row per feature: feature, mean, scale, varies, n_rows. A single pass over the features.
+
+    Like scikit-learn's scaler, a feature counts as constant where its variance is within the
+    rounding error of its mean.
+    """
     wide = features.agg(
         F.count(F.lit(1)).alias("n_rows"),
         *[F.avg(n).alias(f"m_{i}") for i, n in enumerate(names)],
-        *[varying_deviation(n).alias(f"s_{i}") for i, n in enumerate(names)],
-    )
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(n).alias("feature"),
-                F.col(f"m_{i}").alias("mean"),
-                F.coalesce(F.col(f"s_{i}"), F.lit(1.0)).alias("scale"),
-            )
-            for i, n in enumerate(names)
-        ]
+        *[F.stddev_pop(n).alias(f"s_{i}") for i, n in enumerate(names)],
     )
-    return wide.select(F.explode(cells).alias("c"), "n_rows").select("c.feature", "c.mean", "c.scale", "n_rows")
+
+    def cell(i: int, name: str) -> Column:
+        mean, deviation = F.col(f"m_{i}"), F.col(f"s_{i}")
+        noise = F.col("n_rows") * EPSILON
+        varies = deviation * deviation > noise * deviation * deviation + (noise * mean) * (noise * mean)
+        return F.struct(
+            F.lit(name).alias("feature"),
+            mean.alias("mean"),
+            F.when(varies, deviation).otherwise(F.lit(1.0)).alias("scale"),
+            F.coalesce(varies, F.lit(False)).alias("varies"),
+        )
+
+    cells = F.array(*[cell(i, n) for i, n in enumerate(names)])
+    return wide.select(F.explode(cells).alias("c"), "n_rows").select("c.*", "n_rows")
 
 
 def fit_scaler(features: DataFrame, names: Sequence[str] = FEATURE_NAMES) -> Scaler:
     rows = {r.feature: r for r in scaler_table(features, names).collect()}
     n_rows = int(rows[names[0]].n_rows)
     pick = lambda field: tuple(0.0 if rows[n][field] is None else float(rows[n][field]) for n in names)
-    return Scaler(tuple(names), pick("mean"), pick("scale"), n_rows)
+    varies = tuple(bool(rows[n].varies) for n in names)
+    return Scaler(tuple(names), pick("mean"), pick("scale"), n_rows, varies)
 
 
 def scale(features: DataFrame, scaler: Scaler) -> DataFrame:
@@ -307,42 +313,35 @@ def validate_model(forest: Forest, features: DataFrame) -> DataFrame:
     return training_stats(predict(forest, features)).drop("n_features")
 
 
+def assembled(features: DataFrame, names: Sequence[str]) -> DataFrame:
+    return VectorAssembler(inputCols=list(names), outputCol="_v").transform(features)
+
+
 def feature_correlation(features: DataFrame, names: Sequence[str] = FEATURE_NAMES) -> DataFrame:
     """Pearson correlation of every pair of features as rows (feature_a, feature_b, r).
 
-    Two passes of one aggregation each: means first, then centred products, which keeps precision.
-    ``r`` is null where a feature is constant.
+    Features are standardised first, so that large means cost no precision and a constant feature
+    is exactly zero; ``r`` is null for it. Only the matrix itself comes to the driver.
     """
-    means = features.agg(
-        *[F.avg(n).alias(n) for n in names], *[varying_deviation(n).alias(f"s_{n}") for n in names]
-    ).first()
-    constant = [means[f"s_{n}"] is None for n in names]
-    centred = features.select(
-        *[
-            (F.col(n) - F.lit(0.0 if means[n] is None else float(means[n]))).alias(f"x{i}")
-            for i, n in enumerate(names)
-        ]
+    spark = features.sparkSession
+    scaler = fit_scaler(features, names)
+    varies = dict(zip(scaler.names, scaler.varies))
+    flat = scale(features, scaler).select(
+        *[F.col(n) if varies[n] else F.lit(0.0).alias(n) for n in names]
     )
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    sums = centred.agg(*[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i, j in pairs])
-    cells = []
-    for i in range(len(names)):
-        for j in range(len(names)):
-            spread = F.sqrt(F.col(f"p{i}_{i}")) * F.sqrt(F.col(f"p{j}_{j}"))
-            r = F.lit(None).cast("double")
-            if not (constant[i] or constant[j]):
-                r = F.col(f"p{min(i, j)}_{max(i, j)}") / spread
-            cells.append(
-                F.struct(F.lit(names[i]).alias("feature_a"), F.lit(names[j]).alias("feature_b"), r.alias("r"))
-            )
-    return sums.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    matrix = Correlation.corr(assembled(flat, names), "_v").first()[0].toArray()
+    cells = [
+        (a, b, float(matrix[i, j]) if varies[a] and varies[b] else None)
+        for i, a in enumerate(names)
+        for j, b in enumerate(names)
+    ]
+    return spark.createDataFrame(cells, "feature_a string, feature_b string, r double")
 
 
 def pca_2d(scored: DataFrame, names: Sequence[str] = FEATURE_NAMES) -> DataFrame:
     """Two principal components of the centred features, with label Normal or Anomaly."""
     means = scored.agg(*[F.avg(n).alias(n) for n in names]).first()
-    centred = scored.withColumns({n: F.col(n) - F.lit(float(means[n])) for n in names})
-    vectors = VectorAssembler(inputCols=list(names), outputCol="_v").transform(centred)
+    vectors = assembled(scored.withColumns({n: F.col(n) - F.lit(float(means[n])) for n in names}), names)
     projected = PCA(k=2, inputCol="_v", outputCol="_p").fit(vectors).transform(vectors)
     xy = vector_to_array("_p")
     return projected.select(

@@ -8,13 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quietwire.scratch import pin
 
 PACKET_ORDER = ("t_us", "packet_id")
 
 
+def allow_limit(spark: SparkSession, n: int) -> None:
+    """Let Spark turn ``row_number() <= n`` into a limit before the shuffle for this n as well."""
+    setting = "spark.sql.optimizer.windowGroupLimitThreshold"
+    if int(spark.conf.get(setting)) < n:
+        spark.conf.set(setting, n)
+
+
 def take_per_source(
     rows: DataFrame,
     n: int,
@@ -22,15 +29,18 @@ def take_per_source(
     rank: str = "seq",
     key: str = "src_ip",
     order: Sequence[str] = PACKET_ORDER,
-    salts: int = 64,
+    salts: int = 512,
 ) -> DataFrame:
     """The first (or newest) ``n`` rows of every source, with their rank 1..n.
 
-    Two rounds: within (source, salt), where Spark also limits before the shuffle, then within
-    the source, which by then holds at most ``n * salts`` rows.
+    Two rounds. The first ranks within (source, salt), where the salt comes from the input
+    partition: every task sends at most ``n`` rows of a source, and a hot source is spread over
+    ``salts`` groups. The second ranks what is left, at most ``n * salts`` rows per source. Which
+    rows are taken does not depend on the salt.
     """
+    allow_limit(rows.sparkSession, n)
     by = [F.col(c).desc() if newest else F.col(c).asc() for c in order]
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    salted = rows.withColumn("_salt", F.pmod(F.hash(F.spark_partition_id()), F.lit(salts)))
     inner = Window.partitionBy(key, "_salt").orderBy(*by)
     outer = Window.partitionBy(key).orderBy(*by)
     return (

@@ -22,7 +22,8 @@ def detect(
     """Alert rows of the packet rules and, with a forest, of the model.
 
     The packet budget limits every source before anything is ordered, so the windows and the
-    limiter behind it work on groups of known size.
+    limiter behind it work on groups of known size. With a forest, what two branches read (the
+    analysed packets, the scored candidates) is written once instead of computed twice.
     """
     start = R.first_packet_time(packets) if start_us is None else start_us
     analysed = R.analysed_packets(packets, cfg)
@@ -32,6 +33,7 @@ def detect(
     if forest is None:
         return R.alert_rows(limit_alerts(rules, cfg.cooldown_s, cfg.max_alerts, split_quiet=False), cfg)
     running = running_features(analysed, cfg.history, cfg.min_packets_ml)
-    ml = R.ml_candidates(predict(forest, ml_ready(running, cfg.min_packets_ml)), cfg.score_threshold)
+    scored = predict(forest, ml_ready(running, cfg.min_packets_ml))
+    ml = pin(R.ml_candidates(scored, cfg.score_threshold), "ml-candidates")
     limited = limit_alerts(R.all_candidates(rules, ml), cfg.cooldown_s, cfg.max_alerts, split_quiet=False)
     return R.alert_rows(limited, cfg).unionByName(R.ml_direct_rows(ml))
