@@ -25,7 +25,7 @@ from quietwire.schemas import TREES
 EULER = 0.5772156649
 EPSILON = 2.220446049250313e-16
 _HASH_RANGE = 1 << 31
-_ROWS_AT_ONCE = 4096
+_ROWS_AT_ONCE = 1024
 
 
 @dataclass(frozen=True)
@@ -175,13 +175,12 @@ def fit_trees(
 
 @dataclass(frozen=True)
 class _Walk:
-    """A forest as flat arrays: leaves point to themselves, so every row takes ``depth`` steps."""
+    """A forest as flat arrays: leaves lead to themselves, so every row takes ``depth`` steps."""
 
     roots: np.ndarray
     feature: np.ndarray
     threshold: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
+    children: np.ndarray  # left child of node i at 2i, right child at 2i + 1
     path: np.ndarray
     depth: int
     norm: float
@@ -193,28 +192,31 @@ class _Walk:
         base = np.repeat(roots, np.diff([*roots, len(nodes)]))
         leaf = nodes["left"].to_numpy() < 0
         here = np.arange(len(nodes))
+        left = np.where(leaf, here, base + nodes["left"].to_numpy())
+        right = np.where(leaf, here, base + nodes["right"].to_numpy())
         return _Walk(
-            roots=roots,
-            feature=np.where(leaf, 0, nodes["feature"].to_numpy()),
+            roots=roots.astype(np.int32),
+            feature=np.where(leaf, 0, nodes["feature"].to_numpy()).astype(np.int32),
             threshold=np.where(leaf, np.inf, nodes["threshold"].to_numpy()),
-            left=np.where(leaf, here, base + nodes["left"].to_numpy()),
-            right=np.where(leaf, here, base + nodes["right"].to_numpy()),
+            children=np.column_stack([left, right]).ravel().astype(np.int32),
             path=nodes["depth"].to_numpy() + average_path(nodes["n"].to_numpy()),
             depth=int(nodes["depth"].max()),
             norm=float(average_path(np.array([max_samples]))[0]),
         )
 
     def scores(self, x: np.ndarray) -> np.ndarray:
+        if self.norm <= 0:
+            return np.full(len(x), -1.0)
         out = np.empty(len(x))
         for begin in range(0, len(x), _ROWS_AT_ONCE):
-            part = x[begin : begin + _ROWS_AT_ONCE]
-            row = np.arange(len(part))[:, None]
-            at = np.broadcast_to(self.roots, (len(part), len(self.roots)))
+            part = np.ascontiguousarray(x[begin : begin + _ROWS_AT_ONCE])
+            values, first = part.ravel(), (np.arange(len(part), dtype=np.int32) * x.shape[1])[:, None]
+            at = np.tile(self.roots, (len(part), 1))
             for _ in range(self.depth):
-                goes_left = part[row, self.feature[at]] <= self.threshold[at]
-                at = np.where(goes_left, self.left[at], self.right[at])
-            mean_path = self.path[at].mean(axis=1)
-            out[begin : begin + len(part)] = -np.exp2(-mean_path / self.norm) if self.norm > 0 else -1.0
+                goes_right = values.take(first + self.feature.take(at)) > self.threshold.take(at)
+                at = self.children.take(2 * at + goes_right)
+            mean_path = self.path.take(at).mean(axis=1)
+            out[begin : begin + len(part)] = -np.exp2(-mean_path / self.norm)
         return out
 
 
