@@ -199,7 +199,7 @@ ROUNDED = ", ".join(f"floor(CAST({c} AS DOUBLE) * 1e6 + 0.5) / 1e6 AS {c}" for c
 CAND_OUT = "packet_id, t_us, src_ip, rule, CAST(rule_seq AS INT) AS rule_seq, alert_type, CAST(dst_port AS INT) AS dst_port, description"
 NEWEST = "ORDER BY ts_s DESC, packet_id DESC, rule ASC, anomaly_score ASC"
 LINES = """
-logl AS (SELECT packet_id, strftime(make_timestamp(ts_s * 1000000), '%Y-%m-%d %H:%M:%S') || ' - anomaly_detector - INFO - ['
+logl AS (SELECT packet_id, strftime(make_timestamp(ts_s * 1000000), '%Y-%m-%d %H:%M:%S') || ' - quietwire - INFO - ['
   || stored_type || '] ' || CASE WHEN rule = 'ml' THEN 'ML ANOMALY DETECTED: ' || ip_address || ' - ' || description
   ELSE description END AS line FROM al)"""
 LOG_PARSED = f"""
@@ -459,8 +459,19 @@ WHERE n IS NULL OR NOT EXISTS (SELECT 1 FROM nets WHERE w.n BETWEEN lo AND hi)""
     )
     out["features_json"] = out["training_features"]
     out["training_csv"] = out["training_features"].replace("SELECT src_ip, floor", "SELECT src_ip AS label, floor")
+    for name in ("contamination_offset", "contamination_offset_narrowed"):
+        out[name] = q("SELECT round(quantile_cont(CAST(score AS DOUBLE), 0.01), 6) AS score_offset FROM mlc")
+    out["score_summary"] = q(
+        """SELECT count(*) AS n_samples, CAST(18 AS INT) AS n_features, count(*) FILTER (WHERE score < -0.3) AS n_anomalies,
+  round(CAST(count(*) FILTER (WHERE score < -0.3) AS DOUBLE) / count(*), 6) AS anomaly_rate, round(avg(score), 6) AS score_mean,
+  round(stddev_pop(score), 6) AS score_std, round(min(score), 6) AS score_min, round(max(score), 6) AS score_max FROM mlc"""
+    )
     # Streams must give what the batch gives.
     out["stream_rules"] = q(f"SELECT {CAND_OUT} FROM cand WHERE rule IN ('uncommon_port', 'large_payload', 'malicious_payload')")
+    out["stream_alert_sink"] = q(
+        """SELECT t_us // 1000000 AS ts_s, packet_id, src_ip AS ip_address, rule, 'RULE' AS stored_type FROM cand
+  WHERE rule IN ('uncommon_port', 'large_payload', 'malicious_payload')"""
+    )
     out["stream_rates"] = q(
         """SELECT packet_id, src_ip, 'icmp_flood' AS rule FROM sig WHERE protocol = 'ICMP' AND seq > 50
   UNION ALL SELECT packet_id, src_ip, 'spike' FROM sig WHERE avg_rate > 0 AND rate > avg_rate * 1.5"""

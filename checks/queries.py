@@ -295,6 +295,34 @@ def feature_correlation(spark: SparkSession, folder: str) -> DataFrame:
     return fo.feature_correlation(features).withColumn("r", F.round("r", 6))
 
 
+def _score_table(spark: SparkSession, folder: str) -> DataFrame:
+    score = F.col("score").alias("anomaly_score")
+    return _stand_in_scores(packets_from_events(spark, folder)).select("packet_id", score)
+
+
+def contamination_offset(in_memory: int) -> Query:
+    """The offset for given scores, by either way of finding the quantile."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        scores = _score_table(spark, folder)
+        offset = fo.exact_quantile(scores, "anomaly_score", 0.01, in_memory=in_memory)
+        return spark.createDataFrame([(round(offset, 6),)], "score_offset double")
+
+    return run
+
+
+def score_summary(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("anomaly_score") < -0.3, -1).otherwise(1)
+    stats = fo.training_stats(_score_table(spark, folder).withColumn("prediction", label))
+    six = lambda c: F.round(c, 6).alias(c)
+    return stats.select(
+        "n_samples",
+        "n_features",
+        "n_anomalies",
+        *[six(c) for c in ("anomaly_rate", "score_mean", "score_std", "score_min", "score_max")],
+    )
+
+
 def _event_matrix(spark: SparkSession, folder: str) -> DataFrame:
     """The features of every packet as the training matrix: one row per packet, key packet_id."""
     return feat.running_features(R.analysed_packets(packets_from_events(spark, folder)), 100)
@@ -570,6 +598,9 @@ def registered() -> dict[str, Query]:
         "features_json": features_json,
         "feature_scaler": feature_scaler,
         "feature_correlation": feature_correlation,
+        "contamination_offset": contamination_offset(fo.SMALL),
+        "contamination_offset_narrowed": contamination_offset(0),
+        "score_summary": score_summary,
         "forest_sample": forest_sample,
         "forest_trees": forest_trees,
         "forest_scores": forest_scores,

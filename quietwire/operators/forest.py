@@ -26,6 +26,7 @@ EULER = 0.5772156649
 EPSILON = 2.220446049250313e-16
 _HASH_RANGE = 1 << 31
 _ROWS_AT_ONCE = 1024
+SMALL = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -268,11 +269,19 @@ def kth_smallest(values: DataFrame, column: str, k: int, bins: int = 1024) -> fl
     return float(low)
 
 
-def exact_quantile(values: DataFrame, column: str, q: float) -> float:
-    """Linearly interpolated quantile of any number of rows."""
-    n = values.count()
-    if n <= 1_000_000:
+def exact_quantile(
+    values: DataFrame, column: str, q: float, n: int | None = None, in_memory: int = SMALL
+) -> float:
+    """Linearly interpolated quantile of any number of rows.
+
+    Up to ``in_memory`` rows Spark's exact percentile does it in one pass; it keeps all values of a
+    column in one task, so larger tables are narrowed by histograms instead.
+    """
+    if n is None:
+        n = values.count()
+    if n <= in_memory:
         return float(values.agg(F.percentile(column, F.lit(q))).first()[0])
+    values = pin(values.select(column), "quantile")
     at = (n - 1) * q
     k = math.floor(at)
     lower = kth_smallest(values, column, k)
@@ -292,8 +301,9 @@ def fit_forest(features: DataFrame, cfg: ForestConfig = ForestConfig(), key: str
     trees = pin(fit_trees(scale(features, scaler), scaler.n_rows, cfg, key), "trees")
     size = min(cfg.max_samples, scaler.n_rows)
     unset = Forest(trees, scaler, size, float("-inf"), cfg)
-    scores = pin(features.select(anomaly_score(unset).alias("score")), "scores")
-    return Forest(trees, scaler, size, exact_quantile(scores, "score", cfg.contamination), cfg)
+    scores = features.select(anomaly_score(unset).alias("score"))
+    offset = exact_quantile(scores, "score", cfg.contamination, scaler.n_rows)
+    return Forest(trees, scaler, size, offset, cfg)
 
 
 def training_stats(scored: DataFrame) -> DataFrame:

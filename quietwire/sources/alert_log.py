@@ -8,7 +8,7 @@ from quietwire import config as C
 from quietwire.functions.text import group_or_null
 
 
-def log_line(name: str = "anomaly_detector") -> Column:
+def log_line(name: str = "quietwire") -> Column:
     """``time - name - INFO - [TYPE] subject - body`` from alert table columns."""
     return F.concat(
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss"),

@@ -12,7 +12,7 @@ def read_packets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def packet_stream(
-    spark: SparkSession, path: str, max_files: int = 100, delay: str | None = None
+    spark: SparkSession, path: str, max_files: int = 32, delay: str | None = None
 ) -> DataFrame:
     """Packet files as a stream, oldest files first; ``delay`` sets a watermark on ``ts``."""
     stream = (

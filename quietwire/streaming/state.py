@@ -21,8 +21,24 @@ FEATURE_STATE = (
 LIMITER_STATE = "kept array<bigint>"
 
 
+def earliest(
+    chunks: Iterator[pd.DataFrame], order: list[str], limit: int
+) -> tuple[pd.DataFrame | None, int]:
+    """The first ``limit`` rows of one key in order, and how many rows there were.
+
+    Chunks are merged one at a time, so a hot source costs ``limit`` rows and a chunk of memory.
+    """
+    best, total = None, 0
+    for chunk in chunks:
+        total += len(chunk)
+        if limit > 0 and len(chunk):
+            merged = chunk if best is None else pd.concat([best, chunk], ignore_index=True)
+            best = merged.sort_values(order, ignore_index=True).head(limit)
+    return best, total
+
+
 def in_order(chunks: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    """The rows of one key in this micro-batch, sorted; the trigger limits how many there are."""
+    """All rows of one key in this micro-batch, sorted; the trigger limits how many there are."""
     return pd.concat(list(chunks), ignore_index=True).sort_values(order, ignore_index=True)
 
 
@@ -44,22 +60,24 @@ def rate_signals(
         if state.hasTimedOut:
             state.remove()
             return
-        rows = in_order(chunks, ["t_us", "packet_id"])
         seen, rates = state.get if state.exists else (0, [])
+        rows, total = earliest(chunks, ["t_us", "packet_id"], cap - seen)
+        if rows is None:
+            state.update((seen + total, rates))
+            return
         seq = seen + np.arange(1, len(rows) + 1)
         times = rows["t_us"].to_numpy()
         elapsed = (times - start_us) / 1e6
         rate = np.where(elapsed > 0, seq / np.where(elapsed > 0, elapsed, 1.0), np.nan)
-        live = (elapsed > 0) & (seq <= cap)
+        live = elapsed > 0
         pool = np.concatenate([np.asarray(rates, dtype=float), rate[live]])
         mean = np.full(len(rows), np.nan)
         if live.any():
             at = len(rates) + np.arange(live.sum())
             mean[live] = [pool[max(0, i - history + 1) : i + 1].mean() for i in at]
-        state.update((int(seq[-1]), pool[-history:].tolist()))
+        state.update((seen + total, pool[-history:].tolist()))
         expire(state, times, ttl_ms)
-        rows["seq"], rows["rate"], rows["avg_rate"] = seq, rate, mean
-        yield rows[seq <= cap][columns]
+        yield rows.assign(seq=seq, rate=rate, avg_rate=mean)[columns]
 
     return update
 
@@ -140,14 +158,14 @@ def feature_rows(
         if state.hasTimedOut:
             state.remove()
             return
-        rows = in_order(chunks, ["t_us", "packet_id"])
+        seen, first_us, nbytes, tcp, udp, icmp, kept = 0, None, 0, 0, 0, 0, [[]] * len(RING_COLUMNS)
         if state.exists:
             seen, first_us, nbytes, tcp, udp, icmp, *kept = state.get
-        else:
-            seen, first_us, nbytes, tcp, udp, icmp, kept = 0, int(rows["t_us"].iloc[0]), 0, 0, 0, 0, [[]] * 5
-        rows = rows.iloc[: max(cap - seen, 0)]
-        if rows.empty:
+        rows, _ = earliest(chunks, ["t_us", "packet_id"], cap - seen)
+        if rows is None:
             return
+        if first_us is None:
+            first_us = int(rows["t_us"].iloc[0])
         new = {
             "t_us": rows["t_us"],
             "size": rows["size"],

@@ -110,3 +110,15 @@ def test_idle_state_expires(spark, replay, drain):
     stream = replay(rows, files=13, delay="1 second")
     got = {r.packet_id: r.seq for r in drain(st.rate_signals(stream, T0, ttl_s=60)).collect()}
     assert got[9] == 10 and got[70] == 1 and got[60] <= 2
+
+
+def test_earliest_rows_in_chunks():
+    import pandas as pd
+
+    from quietwire.streaming.state import earliest
+
+    frame = pd.DataFrame({"t_us": [(i * 37) % 100 for i in range(100)], "packet_id": range(100)})
+    chunks = [frame.iloc[i : i + 7] for i in range(0, 100, 7)]
+    rows, total = earliest(iter(chunks), ["t_us", "packet_id"], 10)
+    assert total == 100 and rows["t_us"].tolist() == list(range(10))
+    assert earliest(iter(chunks), ["t_us"], 0) == (None, 100)
