@@ -12,6 +12,13 @@ from pyspark.sql import SparkSession
 from checks.oracle import oracle_sql
 from checks.queries import registered
 
+TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+}
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
@@ -66,7 +73,8 @@ def main(folder: str, names: list[str]) -> int:
             want = cur.fetchall()
             types = {c[0]: str(c[1]) for c in cur.description}
             a, b = rows_of(df.columns, got), rows_of(columns, want)
-            same = sorted(df.columns) == sorted(columns) and a == b
+            alike = {c: TYPES.get(t, t) for c, t in df.dtypes} == types
+            same = alike and a == b
             bad += not same
             print(f"{'ok   ' if same else 'DIFF '} {name}: {len(a)} / {len(b)} rows, {took:.1f}s", flush=True)
             if not same:
