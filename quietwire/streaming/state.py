@@ -23,18 +23,21 @@ LIMITER_STATE = "kept array<bigint>"
 
 def earliest(
     chunks: Iterator[pd.DataFrame], order: list[str], limit: int
-) -> tuple[pd.DataFrame | None, int]:
-    """The first ``limit`` rows of one key in order, and how many rows there were.
+) -> tuple[pd.DataFrame | None, int, int]:
+    """The first ``limit`` rows of one key in order, how many rows there were, and the last time.
 
     Chunks are merged one at a time, so a hot source costs ``limit`` rows and a chunk of memory.
     """
-    best, total = None, 0
+    best, total, newest = None, 0, 0
     for chunk in chunks:
+        if chunk.empty:
+            continue
         total += len(chunk)
-        if limit > 0 and len(chunk):
+        newest = max(newest, int(chunk["t_us"].max()))
+        if limit > 0:
             merged = chunk if best is None else pd.concat([best, chunk], ignore_index=True)
             best = merged.sort_values(order, ignore_index=True).head(limit)
-    return best, total
+    return best, total, newest
 
 
 def in_order(chunks: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
@@ -42,10 +45,10 @@ def in_order(chunks: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     return pd.concat(list(chunks), ignore_index=True).sort_values(order, ignore_index=True)
 
 
-def expire(state: GroupState, times: np.ndarray, ttl_ms: int | None) -> None:
-    """Ask for removal when event time passes the last packet by ``ttl_ms``."""
+def expire(state: GroupState, newest_us: int, ttl_ms: int | None) -> None:
+    """Ask for removal when event time passes the last packet by ``ttl_ms``; renewed at every call."""
     if ttl_ms is not None:
-        wanted = int(times[-1] // 1000) + ttl_ms
+        wanted = newest_us // 1000 + ttl_ms
         state.setTimeoutTimestamp(max(wanted, state.getCurrentWatermarkMs() + 1))
 
 
@@ -61,7 +64,8 @@ def rate_signals(
             state.remove()
             return
         seen, rates = state.get if state.exists else (0, [])
-        rows, total = earliest(chunks, ["t_us", "packet_id"], cap - seen)
+        rows, total, newest = earliest(chunks, ["t_us", "packet_id"], cap - seen)
+        expire(state, newest, ttl_ms)
         if rows is None:
             state.update((seen + total, rates))
             return
@@ -76,7 +80,6 @@ def rate_signals(
             at = len(rates) + np.arange(live.sum())
             mean[live] = [pool[max(0, i - history + 1) : i + 1].mean() for i in at]
         state.update((seen + total, pool[-history:].tolist()))
-        expire(state, times, ttl_ms)
         yield rows.assign(seq=seq, rate=rate, avg_rate=mean)[columns]
 
     return update
@@ -161,7 +164,8 @@ def feature_rows(
         seen, first_us, nbytes, tcp, udp, icmp, kept = 0, None, 0, 0, 0, 0, [[]] * len(RING_COLUMNS)
         if state.exists:
             seen, first_us, nbytes, tcp, udp, icmp, *kept = state.get
-        rows, _ = earliest(chunks, ["t_us", "packet_id"], cap - seen)
+        rows, _, newest = earliest(chunks, ["t_us", "packet_id"], cap - seen)
+        expire(state, newest, ttl_ms)
         if rows is None:
             return
         if first_us is None:
@@ -204,7 +208,6 @@ def feature_rows(
                 *[ring[c][-history:].tolist() for c in RING_COLUMNS],
             )
         )
-        expire(state, times, ttl_ms)
         yield out[seq >= max(min_packets, 3)][columns]
 
     return update
@@ -226,7 +229,7 @@ def kept_alerts(
         times = rows["t_us"].to_numpy()
         passed = kept_positions(times, kept, cooldown_us, max_alerts)
         state.update((kept,))
-        expire(state, times, ttl_ms)
+        expire(state, int(times[-1]), ttl_ms)
         yield rows.iloc[passed][columns]
 
     return update

@@ -112,6 +112,15 @@ def test_idle_state_expires(spark, replay, drain):
     assert got[9] == 10 and got[70] == 1 and got[60] <= 2
 
 
+def test_idle_state_over_budget_expires(spark, replay, drain):
+    rows = [packet(i, i, "10.0.0.1") for i in range(10)] + [packet(50, 1000, "10.0.0.2")]
+    rows += [packet(60, 2000, "10.0.0.2"), packet(70, 2001, "10.0.0.1")]
+    stream = replay(rows, files=13, delay="1 second")
+    cfg = DetectorConfig(packets_per_source=4)
+    got = {r.packet_id: r.seq for r in drain(st.rate_signals(stream, T0, cfg, ttl_s=60)).collect()}
+    assert got[3] == 4 and 9 not in got and got[70] == 1
+
+
 def test_earliest_rows_in_chunks():
     import pandas as pd
 
@@ -119,6 +128,6 @@ def test_earliest_rows_in_chunks():
 
     frame = pd.DataFrame({"t_us": [(i * 37) % 100 for i in range(100)], "packet_id": range(100)})
     chunks = [frame.iloc[i : i + 7] for i in range(0, 100, 7)]
-    rows, total = earliest(iter(chunks), ["t_us", "packet_id"], 10)
-    assert total == 100 and rows["t_us"].tolist() == list(range(10))
-    assert earliest(iter(chunks), ["t_us"], 0) == (None, 100)
+    rows, total, newest = earliest(iter(chunks), ["t_us", "packet_id"], 10)
+    assert total == 100 and newest == 99 and rows["t_us"].tolist() == list(range(10))
+    assert earliest(iter(chunks), ["t_us"], 0) == (None, 100, 99)
