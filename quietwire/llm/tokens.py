@@ -1,22 +1,32 @@
 """Token ids of whole texts, word by word.
 
 The tokenizer drops white space and never joins across it, so a text's ids are its words' ids in
-a row. Each worker keeps the ids of the words it has met, which saves most of the work.
+a row; the same holds between a letter or digit and the punctuation that ends a word. Each worker
+keeps the ids of the words it has met, which saves most of the work.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 from quietwire.llm.common import Words, slices
 
-MOST_WORDS = 1_000_000
+MOST_WORDS = 1_500_000
 """A worker forgets its words when it holds so many; ids don't depend on it."""
 
 _MARK = "\x01"
 _ENCODERS: dict[str, WordEncoder] = {}
 
+_POINT = np.zeros(256, dtype=bool)
+_POINT[[ord(c) for c in ".,;:!?"]] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_DIGIT = np.zeros(256, dtype=bool)
+_DIGIT[48:58] = True
+_C3 = 0xC3  # leads the two bytes of the Latin-1 letters (and of two signs)
+
 
 def word_encoder(path: str) -> WordEncoder:
     if path not in _ENCODERS:
@@ -24,62 +34,118 @@ def word_encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def units(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends, and for each text the first unit: words, with closing points apart.
+
+    Points are parted only from an ASCII letter or digit or a Latin-1 letter, where the pre-tokenizer
+    parts them as well.
+    """
+    data, end = words.data, words.end.copy()
+    ending = np.flatnonzero(_POINT[data[end - 1]])
+    left, right, some = words.start[ending], end[ending], np.arange(len(ending))
+    for _ in range(8):
+        some = some[(right[some] - left[some] > 1) & _POINT[data[right[some] - 1]]]
+        right[some] -= 1
+    last = data[right - 1]
+    plain = _LETTER[last] | _DIGIT[last]
+    plain |= (right - left > 1) & (data[np.maximum(right - 2, 0)] == _C3) & (last != 0x97) & (last != 0xB7)
+    end[ending] = right
+    cut = np.zeros(len(end), dtype=bool)
+    cut[ending] = plain & (right < words.end[ending])
+    n = len(end)
+    place = np.arange(n) + np.cumsum(cut) - cut
+    starts = np.empty(n + int(cut.sum()), dtype=np.int64)
+    ends = np.empty_like(starts)
+    starts[place], ends[place] = words.start, np.where(cut, end, words.end)
+    starts[place[cut] + 1], ends[place[cut] + 1] = end[cut], words.end[cut]
+    firsts = np.append(place, len(starts))[words.first]
+    return starts, ends, firsts
+
+
+def _all_in(good: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether all bytes of each span are good."""
+    order = np.argsort(start)
+    cuts = np.stack([start[order], end[order]], axis=1).ravel()
+    out = np.empty(len(start), dtype=bool)
+    out[order] = np.logical_and.reduceat(np.append(good, False), cuts)[::2]
+    return out
+
+
 class WordEncoder:
-    """Encodes texts with a tokenizer file whose pre-tokenizer removes white space."""
+    """Encodes texts with a lower-casing tokenizer file whose pre-tokenizer removes white space."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        mark = self._plain(_MARK)
         if len(mark) != 1:
             raise ValueError("the tokenizer has no single id for the mark between words")
         self.mark = mark[0]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.closes = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.known = np.zeros(0, dtype=np.uint64)  # sorted word hashes
+        self.known = np.zeros(0, dtype=np.uint64)  # sorted unit hashes
         self.begin = np.zeros(0, dtype=np.int64)
         self.count = np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.uint32)
 
     def _plain(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-
-    def _encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words one after another, and the number of ids of each."""
-        odd = [i for i, w in enumerate(words) if b"\x01" in w]
-        if odd:
-            parts = [self._plain(w.decode()) for w in words]
+        (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(found.ids, dtype=np.uint32)
+
+    def _pure(self, some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Units of one pre-token each: their ids end with a closing one."""
+        ids = self._plain(b" ".join(some).decode())
+        closing = np.flatnonzero(self.closes[ids])
+        if len(closing) != len(some):
+            raise AssertionError("units and closing ids differ")
+        return ids, np.diff(closing, prepend=-1)
+
+    def _mixed(self, some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Any units, told apart by a mark behind each."""
+        if any(b"\x01" in w for w in some):
+            parts = [self._plain(w.decode()) for w in some]
             return np.concatenate(parts), np.array([len(p) for p in parts], dtype=np.int64)
-        ids, counts = [], []
-        for at in range(0, len(words), 20_000):
-            some = words[at : at + 20_000]
-            joined = b" \x01 ".join(some).decode() + " " + _MARK
-            flat = self._plain(joined)
-            marks = np.flatnonzero(flat == self.mark)
-            if len(marks) != len(some):
-                raise AssertionError("words and marks differ")
-            ids.append(np.delete(flat, marks))
-            counts.append(np.diff(marks, prepend=-1) - 1)
-        return np.concatenate(ids), np.concatenate(counts)
-
-    def _learn(self, words: Words, hashes: np.ndarray, at: np.ndarray) -> None:
-        start, end = words.start[at].tolist(), words.end[at].tolist()
-        data = words.data.tobytes()
-        ids, counts = self._encode_words([data[a:b] for a, b in zip(start, end, strict=True)])
-        begin = len(self.ids) + np.cumsum(counts) - counts
-        known = np.concatenate([self.known, hashes])
-        order = np.argsort(known, kind="stable")
-        self.known = known[order]
-        self.begin = np.concatenate([self.begin, begin])[order]
-        self.count = np.concatenate([self.count, counts])[order]
-        self.ids = np.concatenate([self.ids, ids])
+        flat = self._plain(b" \x01 ".join(some).decode() + " " + _MARK)
+        marks = np.flatnonzero(flat == self.mark)
+        if len(marks) != len(some):
+            raise AssertionError("units and marks differ")
+        return np.delete(flat, marks), np.diff(marks, prepend=-1) - 1
+
+    def _learn(self, data: np.ndarray, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Add units, given in the order of their hashes."""
+        sign = data == _C3
+        later = np.zeros(len(data), dtype=bool)
+        later[1:] = sign[:-1] & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        pure = _all_in(_LETTER[data] | sign | later, start, end) | _all_in(_POINT[data], start, end)
+        whole = data.tobytes()
+        begin, count = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+        parts, size = [self.ids], len(self.ids)
+        for rows, encode in ((np.flatnonzero(pure), self._pure), (np.flatnonzero(~pure), self._mixed)):
+            for at in range(0, len(rows), 20_000):
+                some = rows[at : at + 20_000]
+                texts = [whole[a:b] for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True)]
+                ids, n = encode(texts)
+                begin[some], count[some] = size + np.cumsum(n) - n, n
+                parts.append(ids)
+                size += len(ids)
+        at = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, at, hashes)
+        self.begin = np.insert(self.begin, at, begin)
+        self.count = np.insert(self.count, at, count)
+        self.ids = np.concatenate(parts)
 
     def encode(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and bounds of the texts in them."""
-        hashes = words.hash
-        distinct, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        start, end, firsts = units(words)
+        hashes = words.span_hash(start, end)
+        inverse, distinct = pd.factorize(hashes)
+        at = np.empty(len(distinct), dtype=np.int64)
+        at[inverse[::-1]] = np.arange(len(hashes) - 1, -1, -1)
         if len(self.known) > MOST_WORDS:
             self.forget()
         pos = np.searchsorted(self.known, distinct)
@@ -87,13 +153,16 @@ class WordEncoder:
         inside = pos < len(self.known)
         found[inside] = self.known[pos[inside]] == distinct[inside]
         if not found.all():
-            self._learn(words, distinct[~found], at[~found])
+            unknown = np.flatnonzero(~found)
+            unknown = unknown[np.argsort(distinct[unknown])]
+            new = at[unknown]
+            self._learn(words.data, distinct[unknown], start[new], end[new])
             pos = np.searchsorted(self.known, distinct)
         begin, count = self.begin[pos][inverse], self.count[pos][inverse]
         ends = np.cumsum(count)
         total = int(ends[-1]) if len(ends) else 0
         source = np.arange(total) + np.repeat(begin - (ends - count), count)
-        bounds = np.concatenate([[0], ends])[words.first]
+        bounds = np.concatenate([[0], ends])[firsts]
         return self.ids[source], bounds
 
 
@@ -101,4 +170,6 @@ def encode_column(texts: pa.Array, path: str):
     """Yields ``(index of the first text, ids, bounds)`` for pieces of a text column; null is empty."""
     encoder = word_encoder(path)
     for at, data, bounds in slices(texts):
-        yield at, *encoder.encode(Words(data, bounds, lower=False))
+        # Special tokens ("<|...|>") are looked for before the tokenizer lower-cases.
+        lower = b"<|" not in data.tobytes()
+        yield at, *encoder.encode(Words(data, bounds, lower=lower))
