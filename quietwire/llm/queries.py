@@ -7,13 +7,31 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quietwire.llm import mixing, packing
+from quietwire.llm import chat, mixing, packing, spotsigs, topk, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = toxicity.train(documents, table(spark, folder, "labels"), ~held_out)
+    return toxicity.score(documents, model).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "n_sentences",
+        "offending",
+    )
+
+
 def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     pieces = packing.token_pieces(documents, public_tokenizers.path("word_bpe_49k.json"))
@@ -28,12 +46,28 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return spotsigs.edited_fingerprints(table(spark, folder, "documents"))
+
+
+def op10_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], given.schema)
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return chat.digest_chats(chat.format_chats(given.unionByName(own), ranks, pattern), ranks, pattern)
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_exact_top_k": op2_exact_top_k,
+        "op4_toxicity": op4_toxicity,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_mixing": op7_mixing,
+        "op9_fingerprints": op9_fingerprints,
+        "op10_chat_formatting": op10_chat_formatting,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.MIXING_SQL}
+    return {"op2_exact_top_k": topk.TOP_K_SQL, "op7_mixing": mixing.MIXING_SQL}
