@@ -7,13 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quietwire.llm import chat, mixing, packing, spotsigs, topk, toxicity
+from quietwire.llm import chat, jaccard, mixing, packing, spotsigs, suffix_tree, topk, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    found = jaccard.jaccard_components(table(spark, folder, "documents"), words=4, percent=85)
+    return found.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", "n_links")
+
+
 def op2_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -46,6 +51,11 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return suffix_tree.score_texts(table(spark, folder, "documents"), held_out)
+
+
 def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return spotsigs.edited_fingerprints(table(spark, folder, "documents"))
 
@@ -60,10 +70,12 @@ def op10_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_jaccard": op1_ngram_jaccard,
         "op2_exact_top_k": op2_exact_top_k,
         "op4_toxicity": op4_toxicity,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_mixing": op7_mixing,
+        "op8_suffix_tree": op8_suffix_tree,
         "op9_fingerprints": op9_fingerprints,
         "op10_chat_formatting": op10_chat_formatting,
     }
