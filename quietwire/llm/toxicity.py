@@ -22,8 +22,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quietwire.llm.common import Words, kept, mix, slices
 
 TRAIN_DOCS = 20_000
-FEATURES = 2_000
-LEAST_RATIO = 12.0
+FEATURES = 1_000
+LEAST_RATIO = 20.0
+MOST_SHARE = 0.2
 BUCKETS = 1 << 22
 BEGINNINGS = (4, 5, 6)
 OFFENDING = 0.5
@@ -151,7 +152,7 @@ def train(
             F.sum(F.when(F.col("side") == 1, F.col("n")).otherwise(0)).alias("n1"),
             F.sum(F.when(F.col("side") == 0, F.col("n")).otherwise(0)).alias("n0"),
         )
-        .where((n1 + n0 < total) & (n1 / toxic > n0 / clean))
+        .where((n1 + n0 <= MOST_SHARE * total) & (n1 / toxic > n0 / clean))
         .withColumn("ratio", ratio)
         .where(F.col("ratio") >= LEAST_RATIO)
         .orderBy(F.desc("ratio"), "feature")
@@ -178,14 +179,19 @@ def train(
                     [
                         pa.array(marks[at : at + len(bounds) - 1]),
                         pa.array(n.astype(np.int64)),
-                        pa.array([hits[cuts[i] : cuts[i + 1], 0].tolist() for i in range(len(bounds) - 1)], pa.list_(pa.int64())),
-                        pa.array([hits[cuts[i] : cuts[i + 1], 1].tolist() for i in range(len(bounds) - 1)], pa.list_(pa.int64())),
+                        *(
+                            pa.array(
+                                [hits[a:b, k].astype("<i4").tobytes() for a, b in zip(cuts, cuts[1:], strict=False)],
+                                pa.binary(),
+                            )
+                            for k in (0, 1)
+                        ),
                     ],
                     names=["toxic", "sentences", "at", "feature"],
                 )
 
     gathered = sample.mapInArrow(
-        bags, "toxic boolean, sentences long, at array<long>, feature array<long>"
+        bags, "toxic boolean, sentences long, at binary, feature binary"
     ).toArrow()
     return _fit(gathered, numbers, prior, rounds)
 
@@ -196,18 +202,15 @@ def _fit(bags: pa.Table, numbers: np.ndarray, prior: float, rounds: int, ridge:
     order = np.lexsort((bags["sentences"].to_numpy(), toxic))  # one order of summation for every run
     toxic, total = toxic[order], np.maximum(bags["sentences"].to_numpy()[order], 1)
     at, feature = bags["at"].to_pylist(), bags["feature"].to_pylist()
-    doc, sentence, hit = [], [], []
-    n = 0
-    for d, row in enumerate(order.tolist()):
-        last = None
-        for s, f in zip(at[row], feature[row], strict=True):
-            if s != last:
-                doc.append(d)
-                n += 1
-                last = s
-            sentence.append(n - 1)
-            hit.append(f)
-    doc, sentence, hit = np.array(doc, np.int64), np.array(sentence, np.int64), np.array(hit, np.int64)
+    counts = np.array([len(at[row]) // 4 for row in order.tolist()])
+    hit = np.frombuffer(b"".join(feature[row] for row in order.tolist()), "<i4").astype(np.int64)
+    place = np.frombuffer(b"".join(at[row] for row in order.tolist()), "<i4").astype(np.int64)
+    # Sentences with a chosen feature, numbered in a row; hits stand sorted by sentence.
+    owner = np.repeat(np.arange(len(order)), counts)
+    opens = np.ones(len(hit), dtype=bool)
+    opens[1:] = (owner[1:] != owner[:-1]) | (place[1:] != place[:-1])
+    sentence, doc = np.cumsum(opens) - 1, owner[opens]
+    n = len(doc)
     rest = total - np.bincount(doc, minlength=len(toxic))  # sentences without any chosen feature
     weights = np.full(len(numbers), 0.5)
     bias = float(np.log(prior / (1 - prior)) - 3.0)
