@@ -4,10 +4,11 @@ Documents with equal shingle sets are one class. Classes meet in three steps, ea
 
 1. *Singleton pivots.* Every shingle is a pivot set of its own; a class lies in the region of its
    rarest shingle, and its boundary window are the regions a set within the distance may lie in:
-   its ``n - ceil(t * n) + 1`` rarest shingles. (All unrelated texts are at a Jaccard distance of
+   its ``n - ceil(t * n) + l`` rarest shingles. (All unrelated texts are at a Jaccard distance of
    about 1 from each other and from any document, so that the triangle inequality alone cannot part them.)
-   In a region only sets follow each other whose sizes allow the similarity. Classes
-   that meet in regions form clusters; no link leaves a cluster.
+   With ``l = 1 + n // MORE`` a linked pair meets ``l`` times, at places near the front of both windows; pairs
+   that meet in small regions are counted, and members of larger regions are tied to one of them. Classes
+   that are tied, or meet often enough, form clusters; no link leaves a cluster.
 2. *Document pivots.* A cluster with more members than a task should hold is cut into Voronoi
    regions around some of its documents. A member also goes to the region of any pivot whose distance
    exceeds the one of its own pivot by at most twice the join distance (triangle inequality), so every linked
@@ -24,14 +25,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from quietwire.llm.common import Words, chains, kept, slices
 from quietwire.llm.components import components
 
-SKETCH = 1 << 20
+SKETCH = 1 << 22
 SKETCH_SLICES = 64
+SMALL_REGION = 32
+MORE = 20
 BLOOM_BITS = 1 << 24
 MOST_MEMBERS = 256
 PIVOTS = 16
@@ -65,33 +69,33 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
-def _sum_slices(rows: DataFrame, kind: str) -> np.ndarray:
-    """Sums (``<u4``, saturating) or ors (``u1``) of ``part, counts`` rows by part; a fixed size comes back."""
+def least_common(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Smallest intersection of sets of ``n`` and ``m`` that reach the similarity."""
+    return -(-(n + m) * percent // (100 + percent))
 
-    def add(table: pa.Table) -> pa.Table:
-        total = None
+
+def _merged(rows: DataFrame, add: bool) -> np.ndarray:
+    """Sums (saturating) or ors of the packed arrays in ``part, counts``; a fixed size comes back."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        open_, total = zstandard.ZstdDecompressor(), None
         for x in table["counts"]:
-            y = np.frombuffer(x.as_py(), kind)
-            if total is None:
-                total = y.astype(np.uint64 if kind == "<u4" else np.uint8)
-            elif kind == "<u4":
-                total += y
-            else:
-                total |= y
-        if kind == "<u4":
+            data = open_.decompress(x.as_py())
+            y = np.frombuffer(data, "<u2").astype(np.uint64) if add else np.frombuffer(data, "u1")
+            total = y.copy() if total is None else (total + y if add else total | y)
+        if add:
             total = np.minimum(total, 0xFFFFFFFF).astype("<u4")
         return pa.table({"part": table["part"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
-    found = {r[0]: r[1] for r in rows.groupBy("part").applyInArrow(add, "part int, counts binary").collect()}
+    found = {r[0]: r[1] for r in rows.groupBy("part").applyInArrow(merge, "part int, counts binary").collect()}
+    kind = "<u4" if add else "u1"
     return np.concatenate([np.frombuffer(found[k], kind) for k in sorted(found)]) if found else np.zeros(0, kind)
 
 
-def _parts(counts: np.ndarray, kind: str) -> pa.RecordBatch:
-    cut = np.split(counts.astype(kind), SKETCH_SLICES)
-    return pa.record_batch(
-        [pa.array(range(SKETCH_SLICES), pa.int32()), pa.array([c.tobytes() for c in cut], pa.binary())],
-        names=["part", "counts"],
-    )
+def _parts(counts: np.ndarray) -> pa.RecordBatch:
+    pack = zstandard.ZstdCompressor(level=1)
+    cut = [pack.compress(c.tobytes()) for c in np.split(counts, SKETCH_SLICES)]
+    return pa.record_batch([pa.array(range(SKETCH_SLICES), pa.int32()), pa.array(cut, pa.binary())], names=["part", "counts"])
 
 
 def _described(documents: DataFrame, size: int) -> DataFrame:
@@ -99,13 +103,14 @@ def _described(documents: DataFrame, size: int) -> DataFrame:
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH, dtype=np.int64)
+        counts = np.zeros(SKETCH, dtype=np.int32)
         name = None
         for batch in batches:
             name = batch.schema.field("doc_id").type
             for at, data, bounds in slices(batch.column("text")):
                 sets = shingle_sets(Words(data, bounds), size)
-                counts += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+                buckets, times = np.unique((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), return_counts=True)
+                counts[buckets] += times.astype(np.int32)
                 n = len(sets)
                 yield pa.record_batch(
                     [
@@ -118,7 +123,7 @@ def _described(documents: DataFrame, size: int) -> DataFrame:
                     names=["doc_id", "n", "class", "part", "counts"],
                 )
         if name is not None:
-            part = _parts(np.minimum(counts, 0xFFFFFFFF), "<u4")
+            part = _parts(np.minimum(counts, 0xFFFF).astype("<u2"))
             nulls = [pa.nulls(SKETCH_SLICES, t) for t in (name, pa.int64(), pa.binary())]
             yield pa.record_batch([*nulls, *part.columns], names=["doc_id", "n", "class", "part", "counts"])
 
@@ -128,99 +133,153 @@ def _described(documents: DataFrame, size: int) -> DataFrame:
 
 
 def _windows(documents: DataFrame, size: int, percent: int, order: np.ndarray) -> DataFrame:
-    """``token, n, class``: each class in the regions of its window (copies in a task once)."""
+    """``token, n, class, at``: each class in the regions of its window (copies in a task once), and the place there."""
     table = documents.sparkSession.sparkContext.broadcast(order)  # SKETCH numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, met = table.value, set()
         for batch in batches:
             for _, data, bounds in slices(batch.column("text")):
-                tokens, sizes, names, widths = [], [], [], []
+                tokens, sizes, names, widths, places = [], [], [], [], []
                 for s in shingle_sets(Words(data, bounds), size):
                     name = set_digest(s)
                     if not len(s) or name in met:
                         continue
                     met.add(name)
-                    width = len(s) - least_overlap(len(s), percent) + 1
+                    width = min(len(s), len(s) - least_overlap(len(s), percent) + 1 + len(s) // MORE)
                     at = np.argsort(rank[(s & np.uint64(SKETCH - 1)).astype(np.int64)], kind="stable")[:width]
                     tokens.append(s[at])
                     sizes.append(len(s))
                     names.append(name)
                     widths.append(width)
+                    places.append(np.arange(width, dtype=np.int32))
                 if names:
                     rows = np.repeat(np.arange(len(names)), widths)
                     yield pa.record_batch(
                         [
                             pa.array(np.concatenate(tokens).view(np.int64)),
-                            pa.array(np.array(sizes, np.int64)[rows]),
+                            pa.array(np.array(sizes, np.int32)[rows]),
                             pa.array(names, pa.binary()).take(pa.array(rows)),
+                            pa.array(np.concatenate(places)),
                         ],
-                        names=["token", "n", "class"],
+                        names=["token", "n", "class", "at"],
                     )
 
-    return documents.select("text").mapInArrow(run, "token long, n long, class binary")
+    return documents.select("text").mapInArrow(run, "token long, n int, class binary, at int")
 
 
 def _meetings(windows: DataFrame, percent: int, ranges: int) -> DataFrame:
-    """``a, b``: classes that meet in a region at sizes that allow a link, tied in stars.
+    """``a, b``: classes that may be linked, or are tied to others through a large region.
 
-    Rows are dealt by ranges of (token, size, class), so a region may span tasks. In the sorted rows a new star
-    begins at another token and where the next size rules out all that came before.
+    Rows are dealt by ranges of (token, size, class), so a large region may span tasks. In the sorted rows a
+    region also ends where the next size rules out all that came before. The first and the last region of a task,
+    which may go on in another, count as large.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = TaskContext.get().partitionId()
-        last, opened = None, None
+        last = opened = None  # the last row's token and size, and the first class of its region
+        large = True  # whether the region that goes on is known to be large
+        held = None  # rows of a region that may go on, while it is small
         for batch in batches:
             if not batch.num_rows:
                 continue
-            token, n = batch.column("token").to_numpy(), batch.column("n").to_numpy()
+            token, n = batch.column("token").to_numpy(), batch.column("n").to_numpy().astype(np.int64)
             names = np.array(batch.column("class").to_pylist(), dtype=object)
-            breaks = np.ones(len(token), dtype=bool)
-            breaks[1:] = (token[1:] != token[:-1]) | (n[:-1] * 100 < n[1:] * percent)
-            if last is not None:
-                breaks[0] = token[0] != last[0] or last[1] * 100 < n[0] * percent
-            at = np.maximum.accumulate(np.where(breaks, np.arange(len(token)), -1))
-            first = names[np.maximum(at, 0)]
-            for i in range(len(at)):
-                if at[i] >= 0:
-                    break
-                first[i] = opened
-            rows = np.flatnonzero(first != names)
+            at = batch.column("at").to_numpy().astype(np.int64)
             if last is None:
                 yield _ties([None], [names[0]], [here], [0], [int(token[0])], [int(n[0])])
-            last, opened = (int(token[-1]), int(n[-1])), first[-1]
+            if held is not None:
+                token, n, names, at = (np.concatenate([x, y]) for x, y in zip(held, (token, n, names, at), strict=True))
+                last, held = None, None
+                fresh = True
+            else:
+                fresh = last is None
+            breaks = np.ones(len(token), dtype=bool)
+            breaks[1:] = (token[1:] != token[:-1]) | (n[:-1] * 100 < n[1:] * percent)
+            goes_on = not fresh and token[0] == last[0] and last[1] * 100 >= n[0] * percent
+            starts = np.flatnonzero(breaks)
+            sizes = np.diff(np.append(starts, len(token)))
+            # The batch's last region waits for the next batch as long as it is small and not the task's first.
+            many = sizes > SMALL_REGION
+            if goes_on or large:
+                many[0] = True
+            large = bool(many[-1])
+            upto = len(token)
+            if not many[-1]:
+                upto = int(starts[-1])
+                held = tuple(x[upto:] for x in (token, n, names, at))
+            region = np.repeat(np.arange(len(starts)), sizes)
+            big = many[region]
+            # Large regions: everything is tied to the first.
+            first = np.empty(len(starts), dtype=object)
+            first[:] = list(names[starts])
+            if goes_on:
+                first[0] = opened
+            rows = np.flatnonzero(big & (first[region] != names))
             if len(rows):
-                k = len(rows)
-                pairs = sorted(set(zip(first[rows].tolist(), names[rows].tolist(), strict=True)))
-                k = len(pairs)
-                yield _ties([p[0] for p in pairs], [p[1] for p in pairs], [None] * k, [None] * k, [None] * k, [None] * k)
+                pairs = sorted(set(zip(first[region[rows]].tolist(), names[rows].tolist(), strict=True)))
+                yield _pairs([x for x, _ in pairs], [y for _, y in pairs], np.zeros(len(pairs), np.int64))
+            # Small regions: the pairs that meet near the front of both windows.
+            some = np.flatnonzero(~big[:upto] & (sizes[region[:upto]] > 1))
+            for lag in range(1, SMALL_REGION):
+                x, y = some[:-lag], some[lag:]
+                fit = region[x] == region[y]
+                if not fit.any():
+                    break
+                x, y = x[fit], y[fit]
+                fewer = 1 + np.minimum(n[x], n[y]) // MORE
+                common = least_common(n[x], n[y], percent)
+                near = (at[x] < n[x] - common + fewer) & (at[y] < n[y] - common + fewer) & (common <= np.minimum(n[x], n[y]))
+                x, y, fewer = x[near], y[near], fewer[near]
+                if len(x):
+                    yield _pairs(names[x].tolist(), names[y].tolist(), fewer)
+            last = (int(token[-1]), int(n[-1]))
+            opened = first[-1]
+        if held is not None:
+            first = held[2][0]
+            if len(held[2]) > 1:
+                pairs = sorted({(first, y) for y in held[2].tolist() if y != first})
+                yield _pairs([x for x, _ in pairs], [y for _, y in pairs], np.zeros(len(pairs), np.int64))
+            opened, last = first, (int(held[0][-1]), int(held[1][-1]))
         if last is not None:
             yield _ties([None], [opened], [here], [1], [last[0]], [last[1]])
 
     rows = kept(
         windows.repartitionByRange(ranges, "token", "n", "class")
         .sortWithinPartitions("token", "n", "class")
-        .mapInArrow(run, "a binary, b binary, task int, side int, token long, n long"),
+        .mapInArrow(run, "a binary, b binary, least long, task int, side int, token long, n long"),
         "meetings",
     )
-    # A star may go on in the next task: two rows for each task are looked at here.
+    # A region may go on in the next task: two rows for each task are looked at here.
     ends = sorted(rows.where("task is not null").collect(), key=lambda r: (r["task"], r["side"]))
     over = [
         (bytes(x["b"]), bytes(y["b"]))
         for x, y in zip(ends, ends[1:], strict=False)
         if x["side"] == 1 and y["side"] == 0 and x["token"] == y["token"] and x["n"] * 100 >= y["n"] * percent
     ]
-    tied = rows.where("task is null").select("a", "b").distinct()
-    return tied.unionByName(rows.sparkSession.createDataFrame(over, "a binary, b binary")) if over else tied
+    met = (
+        rows.where("task is null")
+        .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .agg(F.count(F.lit(1)).alias("times"), F.min("least").alias("least"))
+        .where(F.col("times") >= F.col("least"))
+        .select("a", "b")
+    )
+    return met.unionByName(rows.sparkSession.createDataFrame(over, "a binary, b binary")) if over else met
+
+
+_MET = ["a", "b", "least", "task", "side", "token", "n"]
 
 
 def _ties(a, b, task, side, token, n) -> pa.RecordBatch:
-    kinds = [pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-    return pa.record_batch(
-        [pa.array(x, t) for x, t in zip((a, b, task, side, token, n), kinds, strict=True)],
-        names=["a", "b", "task", "side", "token", "n"],
-    )
+    kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    return pa.record_batch([pa.array(x, t) for x, t in zip((a, b, [None], task, side, token, n), kinds, strict=True)], names=_MET)
+
+
+def _pairs(a: list[bytes], b: list[bytes], least: np.ndarray) -> pa.RecordBatch:
+    k = len(a)
+    empty = [pa.nulls(k, t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.int64())]
+    return pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(least.astype(np.int64)), *empty], names=_MET)
 
 
 def _bloom(ids: DataFrame) -> np.ndarray:
@@ -230,9 +289,9 @@ def _bloom(ids: DataFrame) -> np.ndarray:
         bits = np.zeros(BLOOM_BITS, dtype=bool)
         for batch in batches:
             bits[batch.column(0).to_numpy() % BLOOM_BITS] = True
-        yield _parts(np.packbits(bits), "u1")
+        yield _parts(np.packbits(bits))
 
-    return _sum_slices(ids.mapInArrow(run, "part int, counts binary"), "u1")
+    return _merged(ids.mapInArrow(run, "part int, counts binary"), add=False)
 
 
 def _member_sets(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -529,7 +588,7 @@ def jaccard_components(
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     both = kept(_described(documents, words), "sets")
     described = both.where("part is null").select("doc_id", "n", "class")
-    order = _sum_slices(both.where("part is not null").select("part", "counts"), "<u4")
+    order = _merged(both.where("part is not null").select("part", "counts"), add=True)
     if not len(order):
         order = np.zeros(SKETCH, "<u4")
     windows = kept(_windows(documents, words, percent, order), "windows")
