@@ -23,20 +23,17 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from quietwire.llm.common import Words, chains, kept, slices
 from quietwire.llm.components import components
+from quietwire.llm.sketches import SLICES, in_sketch, merged, parts
 
 SKETCH = 1 << 22
-SKETCH_SLICES = 64
 SMALL_REGION = 32
 MORE = 20
-BLOOM_BITS = 1 << 24
 MOST_MEMBERS = 256
 PIVOTS = 16
 DEPTH = 2
@@ -74,30 +71,6 @@ def least_common(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return -(-(n + m) * percent // (100 + percent))
 
 
-def _merged(rows: DataFrame, add: bool) -> np.ndarray:
-    """Sums (saturating) or ors of the packed arrays in ``part, counts``; a fixed size comes back."""
-
-    def merge(table: pa.Table) -> pa.Table:
-        open_, total = zstandard.ZstdDecompressor(), None
-        for x in table["counts"]:
-            data = open_.decompress(x.as_py())
-            y = np.frombuffer(data, "<u2").astype(np.uint64) if add else np.frombuffer(data, "u1")
-            total = y.copy() if total is None else (total + y if add else total | y)
-        if add:
-            total = np.minimum(total, 0xFFFFFFFF).astype("<u4")
-        return pa.table({"part": table["part"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-    found = {r[0]: r[1] for r in rows.groupBy("part").applyInArrow(merge, "part int, counts binary").collect()}
-    kind = "<u4" if add else "u1"
-    return np.concatenate([np.frombuffer(found[k], kind) for k in sorted(found)]) if found else np.zeros(0, kind)
-
-
-def _parts(counts: np.ndarray) -> pa.RecordBatch:
-    pack = zstandard.ZstdCompressor(level=1)
-    cut = [pack.compress(c.tobytes()) for c in np.split(counts, SKETCH_SLICES)]
-    return pa.record_batch([pa.array(range(SKETCH_SLICES), pa.int32()), pa.array(cut, pa.binary())], names=["part", "counts"])
-
-
 def _described(documents: DataFrame, size: int) -> DataFrame:
     """``doc_id, n, class`` of every row; besides, per task, shingle counts by hash (``part, counts``)."""
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -123,8 +96,8 @@ def _described(documents: DataFrame, size: int) -> DataFrame:
                     names=["doc_id", "n", "class", "part", "counts"],
                 )
         if name is not None:
-            part = _parts(np.minimum(counts, 0xFFFF).astype("<u2"))
-            nulls = [pa.nulls(SKETCH_SLICES, t) for t in (name, pa.int64(), pa.binary())]
+            part = parts(np.minimum(counts, 0xFFFF).astype("<u2"))
+            nulls = [pa.nulls(SLICES, t) for t in (name, pa.int64(), pa.binary())]
             yield pa.record_batch([*nulls, *part.columns], names=["doc_id", "n", "class", "part", "counts"])
 
     return documents.select("doc_id", "text").mapInArrow(
@@ -282,29 +255,9 @@ def _pairs(a: list[bytes], b: list[bytes], least: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(least.astype(np.int64)), *empty], names=_MET)
 
 
-def _bloom(ids: DataFrame) -> np.ndarray:
-    """Bits of the numbers in ``ids``; a fixed size, whatever their number."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BLOOM_BITS, dtype=bool)
-        for batch in batches:
-            bits[batch.column(0).to_numpy() % BLOOM_BITS] = True
-        yield _parts(np.packbits(bits))
-
-    return _merged(ids.mapInArrow(run, "part int, counts binary"), add=False)
-
-
 def _member_sets(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """``cluster, class, copies, shingles`` of the documents in ``wanted`` (``doc_id, ...``)."""
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(BLOOM_BITS * 64))
-    bits = documents.sparkSession.sparkContext.broadcast(_bloom(wanted.select(spread.alias("x"))))
-
-    @F.pandas_udf("boolean")
-    def maybe(x: pd.Series) -> pd.Series:
-        at = x.to_numpy() % BLOOM_BITS
-        if not len(bits.value):
-            return pd.Series(np.zeros(len(at), dtype=bool))
-        return pd.Series((bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
+    maybe = in_sketch(wanted, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,7 +269,7 @@ def _member_sets(documents: DataFrame, wanted: DataFrame, size: int) -> DataFram
                     names=[*part.schema.names, "shingles"],
                 )
 
-    texts = documents.select("doc_id", "text").where(maybe(spread))
+    texts = documents.select("doc_id", "text").where(maybe)
     return (
         texts.join(wanted, "doc_id")
         .dropDuplicates(["class"])
@@ -588,7 +541,7 @@ def jaccard_components(
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     both = kept(_described(documents, words), "sets")
     described = both.where("part is null").select("doc_id", "n", "class")
-    order = _merged(both.where("part is not null").select("part", "counts"), add=True)
+    order = merged(both.where("part is not null").select("part", "counts"), add=True)
     if not len(order):
         order = np.zeros(SKETCH, "<u4")
     windows = kept(_windows(documents, words, percent, order), "windows")
@@ -645,3 +598,24 @@ def jaccard_components(
         F.coalesce("component_id", "doc_id").alias("component_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
+
+
+def one_of_each(documents: DataFrame, words: int = 5, percent: int = 80, **options) -> DataFrame:
+    """One document of each component, the one with the least id, with all columns.
+
+    Texts without words are linked with nothing and stay; of rows with one id one stays; rows without an id stay.
+    """
+    found = jaccard_components(documents, words, percent, **options).where(F.col("doc_id").isNotNull())
+    doubtful = kept(
+        found.groupBy("doc_id")
+        .agg(F.max("component_id").alias("__head"), F.count(F.lit(1)).alias("__rows"))
+        .where((F.col("__head") != F.col("doc_id")) | (F.col("__rows") > 1))
+        .withColumnRenamed("doc_id", "__id"),
+        "doubtful",
+    )
+    marked = documents.withColumn("__maybe", in_sketch(doubtful.select(F.col("__id").alias("doc_id")), "doc_id"))
+    some = marked.where("__maybe").join(doubtful, F.col("doc_id") == F.col("__id"), "left")
+    clear = some.where(F.col("__id").isNull())
+    heads = some.where(F.col("__head") == F.col("doc_id")).dropDuplicates(["doc_id"])
+    out = marked.where(~F.col("__maybe")).drop("__maybe")
+    return out.unionByName(clear.select(*documents.columns)).unionByName(heads.select(*documents.columns))

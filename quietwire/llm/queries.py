@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quietwire.llm import chat, jaccard, mixing, packing, spotsigs, suffix_tree, topk, toxicity
+from quietwire.llm import chat, jaccard, kneser_ney, line_dedup, mixing, packing, spotsigs, suffix_tree, topk, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return kneser_ney.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
@@ -37,6 +41,12 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.without_repeats(table(spark, folder, "documents")).select(
+        "doc_id", "lines_dropped", "lines_near", F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
 def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     pieces = packing.token_pieces(documents, public_tokenizers.path("word_bpe_49k.json"))
@@ -72,7 +82,9 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
         "op2_exact_top_k": op2_exact_top_k,
+        "op3_quality": op3_quality,
         "op4_toxicity": op4_toxicity,
+        "op5_line_dedup": op5_line_dedup,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_mixing": op7_mixing,
         "op8_suffix_tree": op8_suffix_tree,
