@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 
 from quietwire.scratch import pin
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 """Texts of a batch are handled in slices of about so many bytes (a longer text is a slice)."""
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so invertible modulo 2**64
@@ -44,7 +44,7 @@ _BYTE = _mix_table()
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n-1 of the base and of its inverse."""
     if len(_POWERS.get("up", ())) < n:
-        size = 1 << max(16, (n - 1).bit_length())
+        size = -(-n // (1 << 18)) * (1 << 18)
         inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
         with np.errstate(over="ignore"):
             for name, base in (("up", _BASE), ("down", inverse)):
