@@ -25,6 +25,9 @@ from quietwire.llm.sketches import in_sketch
 LEAST_WORDS = 5
 """Shorter lines are left alone: one edit would be more than a fifth of them."""
 
+VARIANT_ROWS = 100_000
+"""Variants in one Arrow batch, about; a longer line is a batch."""
+
 _SECOND = np.uint64(0xA24BAED4963EE407)
 
 
@@ -156,29 +159,43 @@ def _variant_rows(lines: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, hashes, places, sizes = [], [], [], []
+            parts: list[tuple] = []
+            size = 0
             for i, x in enumerate(batch.column("words")):
                 words = np.frombuffer(x.as_py(), np.uint64)
                 n = len(words)
-                rows.append(np.full(n + 1, i))
-                hashes.append(np.append(variants(words), whole(words)))
-                places.append(np.append(np.arange(n), -1))
-                sizes.append(np.full(n + 1, n))
-            if rows:
-                take = pa.array(np.concatenate(rows))
-                yield pa.record_batch(
-                    [
-                        pa.array(np.concatenate(hashes).view(np.int64)),
-                        pa.array(np.concatenate(sizes).astype(np.int32)),
-                        pa.array(np.concatenate(places).astype(np.int32)),
-                        *(batch.column(c).take(take) for c in ("key", "doc_id", "line")),
-                    ],
-                    names=["hash", "n", "at", "key", "doc_id", "line"],
-                )
+                parts.append((np.full(n + 1, i), np.append(variants(words), whole(words)), np.full(n + 1, n), np.append(np.arange(n), -1)))
+                size += n + 1
+                if size >= VARIANT_ROWS:
+                    yield batch_of(batch, parts)
+                    parts, size = [], 0
+            if parts:
+                yield batch_of(batch, parts)
+
+    def batch_of(batch: pa.RecordBatch, parts: list[tuple]) -> pa.RecordBatch:
+        rows, hashes, sizes, places = (np.concatenate(c) for c in zip(*parts, strict=True))
+        return pa.record_batch(
+            [
+                pa.array(hashes.view(np.int64)),
+                pa.array(sizes.astype(np.int32)),
+                pa.array(places.astype(np.int32)),
+                *(batch.column(c).take(pa.array(rows)) for c in ("key", "doc_id", "line")),
+            ],
+            names=["hash", "n", "at", "key", "doc_id", "line"],
+        )
 
     return lines.mapInArrow(run, f"hash long, n int, at int, key binary, doc_id {kind}, line long")
 
 
+def _met(rows: DataFrame, column: str) -> DataFrame:
+    """The rows whose value of ``column`` stands in more than one row.
+
+    Only the values are counted by shuffle; of the rows those go on that a sketch of the repeated values lets pass.
+    """
+    often = kept(rows.groupBy(column).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(column), "often")
+    return rows.where(in_sketch(often, column)).join(often, column, "left_semi")
+
+
 def repeated_lines(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``doc_id, line, near``: the lines (numbered from 0) that repeat an earlier one.
 
@@ -190,13 +207,12 @@ def repeated_lines(documents: DataFrame, least_words: int = LEAST_WORDS) -> Data
     lines = kept(_lines(documents, least_words), "lines")
     firsts = kept(lines.groupBy("key").agg(F.min(F.struct("doc_id", "line", "halves")).alias("f")).select("key", "f.*"), "firsts")
     halves = firsts.select("key", "doc_id", "line", F.explode(F.array_distinct("halves")).alias("half"))
-    shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
-    wanted = kept(halves.join(shared, "half").select("key", "doc_id", "line").distinct(), "wanted")
+    wanted = kept(_met(halves, "half").select("key", "doc_id", "line").distinct(), "wanted")
     words = kept(_word_rows(documents, wanted, least_words), "words")
-    rows = _variant_rows(words)
+    rows = kept(_met(_variant_rows(words), "hash"), "variants")
     # Meetings: the earliest line of each deleted place (replacements), and of each hash as a whole line and as a variant.
     order = F.struct("doc_id", "line", "key")
-    meetings = kept(rows.groupBy("hash", "n", "at").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("rows")), "variants")
+    meetings = rows.groupBy("hash", "n", "at").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("rows"))
     replaced = meetings.where((F.col("at") >= 0) & (F.col("rows") > 1)).select("hash", "n", "at", F.col("first").alias("keeper"))
     sides = (
         meetings.groupBy("hash")

@@ -152,7 +152,7 @@ def train(
             F.sum(F.when(F.col("side") == 1, F.col("n")).otherwise(0)).alias("n1"),
             F.sum(F.when(F.col("side") == 0, F.col("n")).otherwise(0)).alias("n0"),
         )
-        .where((n1 + n0 <= MOST_SHARE * total) & (n1 / toxic > n0 / clean))
+        .where((n1 + n0 <= max(MOST_SHARE * total, 1.5 * toxic)) & (n1 / toxic > n0 / clean))
         .withColumn("ratio", ratio)
         .where(F.col("ratio") >= LEAST_RATIO)
         .orderBy(F.desc("ratio"), "feature")
