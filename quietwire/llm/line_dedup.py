@@ -150,7 +150,7 @@ def _word_rows(documents: DataFrame, wanted: DataFrame, least: int) -> DataFrame
 
     near = documents.select("doc_id", "text").where(in_sketch(wanted, "doc_id"))
     rows = near.mapInArrow(run, f"doc_id {kind}, line long, words binary").where(in_sketch(wanted, "doc_id", "line"))
-    return rows.join(wanted, ["doc_id", "line"])
+    return rows.join(wanted.hint("merge"), ["doc_id", "line"])
 
 
 def _variant_rows(lines: DataFrame) -> DataFrame:
@@ -191,9 +191,10 @@ def _met(rows: DataFrame, column: str) -> DataFrame:
     """The rows whose value of ``column`` stands in more than one row.
 
     Only the values are counted by shuffle; of the rows those go on that a sketch of the repeated values lets pass.
+    Joins with texts and rows are merge joins at every size here, so that small trials show what large runs do.
     """
     often = kept(rows.groupBy(column).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(column), "often")
-    return rows.where(in_sketch(often, column)).join(often, column, "left_semi")
+    return rows.where(in_sketch(often, column)).join(often.hint("merge"), column, "left_semi")
 
 
 def repeated_lines(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -278,7 +279,7 @@ def without_repeats(documents: DataFrame, least_words: int = LEAST_WORDS) -> Dat
     maybe = in_sketch(dropped.select(F.col("__id").alias("doc_id")), "doc_id")
     marked = plain.withColumn("__maybe", maybe)
     rest = marked.where(~F.col("__maybe")).drop("__maybe").select("*", F.lit(0).cast("long").alias("lines_dropped"), F.lit(0).cast("long").alias("lines_near"))
-    some = marked.where("__maybe").drop("__maybe").join(dropped, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
+    some = marked.where("__maybe").drop("__maybe").join(dropped.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
