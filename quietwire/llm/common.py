@@ -6,6 +6,7 @@ byte operations, so a batch of texts is handled as one byte array with numpy.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 
 from quietwire.scratch import pin
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 """Texts of a batch are handled in slices of about so many bytes (a longer text is a slice)."""
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so invertible modulo 2**64
@@ -22,6 +23,7 @@ _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -110,6 +112,13 @@ def chains(values: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between tasks and stages, beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def slices(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Pieces of a text column: index of the first text, bytes, and bounds of the texts in them.
 
@@ -133,6 +142,7 @@ def slices(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray,
         bounds = offsets[at : to + 1]
         yield at, data[bounds[0] : bounds[-1]], bounds - bounds[0]
         at = to
+    give_back()
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:

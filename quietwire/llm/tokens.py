@@ -13,7 +13,7 @@ import pyarrow as pa
 
 from quietwire.llm.common import Words, slices
 
-MOST_WORDS = 1_500_000
+MOST_WORDS = 700_000
 """A worker forgets its words when it holds so many; ids don't depend on it."""
 
 _MARK = "\x01"
