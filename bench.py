@@ -23,7 +23,7 @@ from quietwire.operators import analytics as an, features as feat, forest as fo
 from quietwire.operators import limiter as lim, rules as R  # noqa: E402
 from quietwire.plans import detection, training  # noqa: E402
 from quietwire.scratch import pin  # noqa: E402
-from quietwire.sources.event_packets import packets_from_events  # noqa: E402
+from checks.event_packets import packets_from_events  # noqa: E402
 
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 
@@ -42,14 +42,14 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     packets = pin(packets_from_events(spark, folder).repartition(int(cpus)), "bench-packets")
-    running = pin(feat.running_features(R.analysed_packets(packets)), "bench-running")
+    running = pin(feat.running_features(R.analysed_packets(packets), 1000), "bench-running")
     trained = training.train(running, key="packet_id")
     alerts = pin(q._alerts(spark, folder, False), "bench-alerts")
     candidates = pin(R.rule_candidates(R.packet_signals(packets)), "bench-candidates")
 
     jobs = {
-        "snapshot_features": lambda: feat.snapshot_features(packets),
-        "running_features": lambda: feat.running_features(R.analysed_packets(packets)),
+        "snapshot_features": lambda: feat.snapshot_features(packets, 1000),
+        "running_features": lambda: feat.running_features(R.analysed_packets(packets), 1000),
         "malicious_scan": lambda: R.malicious_payload_alerts(R.packet_signals(packets)),
         "rule_candidates": lambda: R.rule_candidates(R.packet_signals(packets)),
         "limiter": lambda: lim.limit_alerts(candidates),

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from checks.event_packets import packet_sql
 from quietwire import config as C
-from quietwire.functions.ip import OCTET
-from quietwire.functions.text import NOT_PRINTABLE
-from quietwire.sources.event_packets import packet_sql
+
+# Written anew here, so that an error in the library's patterns shows.
+OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+NOT_PRINTABLE = (
+    "[\\p{C}\\p{Zl}\\p{Zp}\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{202f}\\x{205f}\\x{3000}]"
+)
+LOG_TIMESTAMP = "([0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2})"
+LOG_ML_ALERT = "\\[ML\\] ML ANOMALY DETECTED: ([0-9.]+) - .*Anomaly score: ([-0-9.]+)"
+LOG_RULE_ALERT = "\\[RULE\\] ALERT: (.+)"
+LOG_SOURCE = "from ([0-9.]+)"
+LOG_ANY_IP = "([0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3})"
 
 QUAD = rf"{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}"
 
@@ -22,7 +31,7 @@ def ip_number(ip: str) -> str:
 def first_pattern(text: str) -> str:
     ordered = sorted(C.MALICIOUS_PATTERNS, key=len, reverse=True)
     whens = " ".join(
-        f"WHEN contains(lower({text}), {quote(p.lower())}) THEN {quote(p[: C.MAX_PATTERN_CHARS])}" for p in ordered
+        f"WHEN contains(lower({text}), {quote(p.lower())}) THEN {quote(p)}" for p in ordered
     )
     return f"CASE {whens} END"
 
@@ -79,10 +88,10 @@ pl{s} AS (SELECT *, {ip_number("src_ip")} AS ip_long FROM pk{s}),
 val{s} AS (SELECT * FROM pl{s} WHERE ip_long IS NOT NULL AND NOT {not_in_detection("ip_long")}),
 ent{s} AS ({char_entropy("pk" + s, "packet_id", "payload")}),
 des{s} AS (SELECT pl{s}.*, coalesce(strlen(payload), 0) AS payload_len, coalesce(entropy, 0) AS entropy,
-  CASE WHEN strlen(payload) BETWEEN 1 AND 1024 THEN {first_pattern("payload")} END AS pattern
+  {first_pattern("payload")} AS pattern
   FROM pl{s} LEFT JOIN ent{s} USING (packet_id)),
 bud{s} AS (SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY t_us, packet_id) AS seq
-  FROM des{s} WHERE packet_id IN (SELECT packet_id FROM val{s}) QUALIFY seq <= 10000),
+  FROM des{s} WHERE packet_id IN (SELECT packet_id FROM val{s})),
 rat{s} AS (SELECT *, CASE WHEN t_us > t0 THEN CAST(seq AS DOUBLE) / (CAST(t_us - t0 AS DOUBLE) / 1e6) END AS rate
   FROM bud{s}, (SELECT min(t_us) AS t0 FROM pk{s})),
 sig{s} AS (SELECT *, CASE WHEN rate IS NOT NULL THEN avg(rate) OVER (PARTITION BY src_ip ORDER BY t_us, packet_id
@@ -197,28 +206,27 @@ runf AS (SELECT src_ip, packet_id, t_us, seq,
 
 ROUNDED = ", ".join(f"floor(CAST({c} AS DOUBLE) * 1e6 + 0.5) / 1e6 AS {c}" for c in C.FEATURE_NAMES)
 CAND_OUT = "packet_id, t_us, src_ip, rule, CAST(rule_seq AS INT) AS rule_seq, alert_type, CAST(dst_port AS INT) AS dst_port, description"
-NEWEST = "ORDER BY ts_s DESC, packet_id DESC, rule ASC, anomaly_score ASC"
 LINES = """
 logl AS (SELECT packet_id, strftime(make_timestamp(ts_s * 1000000), '%Y-%m-%d %H:%M:%S') || ' - quietwire - INFO - ['
   || stored_type || '] ' || CASE WHEN rule = 'ml' THEN 'ML ANOMALY DETECTED: ' || ip_address || ' - ' || description
   ELSE description END AS line FROM al)"""
 LOG_PARSED = f"""
-SELECT CAST(epoch(CAST(regexp_extract(line, {quote(C.LOG_TIMESTAMP)}, 1) AS TIMESTAMP)) AS BIGINT) AS ts_s,
-  CASE WHEN ml THEN regexp_extract(line, {quote(C.LOG_ML_ALERT)}, 1)
-    WHEN regexp_matches(body, {quote(C.LOG_SOURCE)}) THEN regexp_extract(body, {quote(C.LOG_SOURCE)}, 1)
-    WHEN regexp_matches(body, {quote(C.LOG_ANY_IP)}) THEN regexp_extract(body, {quote(C.LOG_ANY_IP)}, 1)
+SELECT CAST(epoch(CAST(regexp_extract(line, {quote(LOG_TIMESTAMP)}, 1) AS TIMESTAMP)) AS BIGINT) AS ts_s,
+  CASE WHEN ml THEN regexp_extract(line, {quote(LOG_ML_ALERT)}, 1)
+    WHEN regexp_matches(body, {quote(LOG_SOURCE)}) THEN regexp_extract(body, {quote(LOG_SOURCE)}, 1)
+    WHEN regexp_matches(body, {quote(LOG_ANY_IP)}) THEN regexp_extract(body, {quote(LOG_ANY_IP)}, 1)
     ELSE 'unknown' END AS ip_address,
-  CASE WHEN ml THEN CAST(regexp_extract(line, {quote(C.LOG_ML_ALERT)}, 2) AS DOUBLE) ELSE 0.0::DOUBLE END AS anomaly_score,
+  CASE WHEN ml THEN CAST(regexp_extract(line, {quote(LOG_ML_ALERT)}, 2) AS DOUBLE) ELSE 0.0::DOUBLE END AS anomaly_score,
   CASE WHEN ml THEN 'ML' ELSE 'RULE' END AS alert_type,
-  CASE WHEN ml THEN printf('ML-detected anomaly (score: %.3f)', CAST(regexp_extract(line, {quote(C.LOG_ML_ALERT)}, 2) AS DOUBLE))
+  CASE WHEN ml THEN printf('ML-detected anomaly (score: %.3f)', CAST(regexp_extract(line, {quote(LOG_ML_ALERT)}, 2) AS DOUBLE))
     ELSE body END AS description
-FROM (SELECT *, regexp_matches(line, {quote(C.LOG_ML_ALERT)}) AS ml, regexp_extract(line, {quote(C.LOG_RULE_ALERT)}, 1) AS body
-  FROM logl WHERE regexp_matches(line, {quote(C.LOG_TIMESTAMP)})
-  AND (regexp_matches(line, {quote(C.LOG_ML_ALERT)}) OR regexp_matches(line, {quote(C.LOG_RULE_ALERT)})))"""
+FROM (SELECT *, regexp_matches(line, {quote(LOG_ML_ALERT)}) AS ml, regexp_extract(line, {quote(LOG_RULE_ALERT)}, 1) AS body
+  FROM logl WHERE regexp_matches(line, {quote(LOG_TIMESTAMP)})
+  AND (regexp_matches(line, {quote(LOG_ML_ALERT)}) OR regexp_matches(line, {quote(LOG_RULE_ALERT)})))"""
 
 
 def redact(text: str) -> str:
-    out = f"CASE WHEN length({text}) > 1000 THEN substr({text}, 1, 1000) || '...' ELSE {text} END"
+    out = text
     for word in C.SENSITIVE_WORDS:
         out = rf"regexp_replace({out}, '(?i){word}[=:]\s*\S+', '[REDACTED]', 'g')"
     return f"regexp_replace({out}, {quote(NOT_PRINTABLE)}, '?', 'g')"
@@ -287,7 +295,11 @@ def oracle_sql() -> dict[str, str]:
     )
     out["limit_alerts"] = q(f"SELECT {CAND_OUT} FROM lim", limiter_ctes("cand", "lim"))
     out["limit_alerts_quiet_split"] = q(
-        "SELECT packet_id, t_us, src_ip, rule FROM lim", limiter_ctes("cand_real", "lim")
+        "SELECT packet_id, t_us, src_ip, rule FROM lim", limiter_ctes("gapped", "lim")
+    ).replace(
+        "\nlim_n AS",
+        "\ngapped AS (SELECT * REPLACE (t_us + t_us // 120000000 * 600000000 AS t_us) FROM cand),\nlim_n AS",
+        1,
     )
     out["detection_rules_only"] = q(
         """SELECT t_us // 1000000 AS ts_s, packet_id, src_ip AS ip_address, rule,
@@ -320,7 +332,7 @@ UNION ALL SELECT packet_id, t_us // 1000000, src_ip, body, score FROM mlb""",
     )
     out["load_alerts"] = q(
         f"""SELECT ts_s, packet_id, ip_address, rule FROM al WHERE ts_s >= (SELECT min(ts_s) + 120 FROM al)
-  AND ts_s <= (SELECT min(ts_s) + 600 FROM al) {NEWEST} LIMIT 10000"""
+  AND ts_s <= (SELECT min(ts_s) + 600 FROM al)"""
     )
     out["recent_alerts"] = q(
         "SELECT ts_s, packet_id, ip_address, rule FROM al WHERE ts_s >= (SELECT max(ts_s) FROM al) - 300"
@@ -341,7 +353,7 @@ UNION ALL SELECT packet_id, t_us // 1000000, src_ip, body, score FROM mlb""",
     out["ml_score_valid"] = "SELECT event_id, value AS score FROM events WHERE abs(value) <= 10"
     out["alert_view"] = q(
         f"""SELECT ts_s, ip_address, stored_type AS alert_type, CAST(anomaly_score AS DOUBLE) AS anomaly_score, description
-  FROM al {NEWEST} LIMIT 500"""
+  FROM al"""
     )
     out["score_timeline"] = q(
         """SELECT ts_s, CAST(anomaly_score AS DOUBLE) AS anomaly_score, ip_address, anomaly_score < -0.1 AS below_threshold
@@ -349,14 +361,14 @@ UNION ALL SELECT packet_id, t_us // 1000000, src_ip, body, score FROM mlb""",
     )
     out["ml_score_stats"] = q(
         f"""SELECT round(coalesce(avg(anomaly_score), 0), 6) AS avg_score, CAST(coalesce(min(anomaly_score), 0) AS DOUBLE) AS min_score,
-  CAST(coalesce(max(anomaly_score), 0) AS DOUBLE) AS max_score FROM (SELECT * FROM al {NEWEST} LIMIT 1000) WHERE stored_type = 'ML'"""
+  CAST(coalesce(max(anomaly_score), 0) AS DOUBLE) AS max_score FROM al WHERE stored_type = 'ML'"""
     )
     for interval in C.ALERT_INTERVALS_US:
         out[f"alert_rate_{interval.lower()}"] = rate_sql(interval)
     out["score_histogram"] = q(
-        """SELECT CAST(least(floor((anomaly_score - lo) / ((hi - lo) / 30)), 29) AS INT) AS bin, count(*) AS alerts,
-  round(lo + least(floor((anomaly_score - lo) / ((hi - lo) / 30)), 29) * ((hi - lo) / 30), 6) AS bin_start
-  FROM mls, (SELECT min(anomaly_score) AS lo, max(anomaly_score) AS hi FROM mls) GROUP BY ALL""",
+        """SELECT CAST(b AS INT) AS bin, count(anomaly_score) AS alerts, round(lo + b * ((hi - lo) / 30), 6) AS bin_start
+  FROM (SELECT min(anomaly_score) AS lo, max(anomaly_score) AS hi FROM mls), range(30) t(b)
+  LEFT JOIN mls ON least(floor((anomaly_score - lo) / ((hi - lo) / 30)), 29) = b GROUP BY b, lo, hi""",
         "mls AS (SELECT CAST(anomaly_score AS DOUBLE) AS anomaly_score FROM al WHERE stored_type = 'ML')",
     )
     for n in (5, 10, 15):
@@ -414,7 +426,7 @@ WHERE n IS NULL OR NOT EXISTS (SELECT 1 FROM nets WHERE w.n BETWEEN lo AND hi)""
         "SELECT doc_id, round(coalesce(entropy, 0), 6) AS entropy FROM documents LEFT JOIN e USING (doc_id)"
     )
     out["payload_stats"] = (
-        f"WITH small AS (SELECT * FROM documents WHERE strlen(text) BETWEEN 1 AND 1024), e AS ({byte_entropy('small', 'doc_id', 'text')}) "
+        f"WITH small AS (SELECT * FROM documents WHERE strlen(text) > 0), e AS ({byte_entropy('small', 'doc_id', 'text')}) "
         """SELECT doc_id, CAST(strlen(text) AS BIGINT) AS size, CAST(length(regexp_replace(text, '[^ -~]', '', 'g')) AS BIGINT) AS printable_chars,
   CAST(0 AS BIGINT) AS null_bytes, round(entropy, 6) AS entropy,
   round(CAST(length(regexp_replace(text, '[^ -~]', '', 'g')) AS DOUBLE) / strlen(text), 6) AS printable_ratio
@@ -424,10 +436,10 @@ WHERE n IS NULL OR NOT EXISTS (SELECT 1 FROM nets WHERE w.n BETWEEN lo AND hi)""
     texts = """SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'p', page_id, html FROM pages
   UNION ALL SELECT 'b', item_id, text FROM benchmark UNION ALL SELECT 'c', conv_id * 1000 + turn, text FROM conversations"""
     out["malicious_pattern_texts"] = (
-        f"SELECT kind, id, CASE WHEN strlen(text) BETWEEN 1 AND 1024 THEN {first_pattern('text')} END AS pattern FROM ({texts})"
+        f"SELECT kind, id, {first_pattern('text')} AS pattern FROM ({texts})"
     )
     out["printable_only"] = (
-        f"SELECT kind, id, regexp_replace(substr(text, 1, 50), {quote(NOT_PRINTABLE)}, '?', 'g') AS shown FROM ({texts})"
+        f"SELECT kind, id, regexp_replace(text, {quote(NOT_PRINTABLE)}, '?', 'g') AS shown FROM ({texts})"
     )
     out["redact"] = f"SELECT kind, id, {redact('text')} AS safe FROM ({texts})"
     out["redact_alerts"] = q(f"SELECT packet_id, rule, {redact('description')} AS safe FROM al")
@@ -458,7 +470,12 @@ WHERE n IS NULL OR NOT EXISTS (SELECT 1 FROM nets WHERE w.n BETWEEN lo AND hi)""
   GROUP BY 1 ORDER BY alerts DESC, ip_address LIMIT 5"""
     )
     out["features_json"] = out["training_features"]
-    out["training_csv"] = out["training_features"].replace("SELECT src_ip, floor", "SELECT src_ip AS label, floor")
+    out["training_csv"] = q(
+        f"""SELECT row_number() OVER (ORDER BY src_ip) - 1 AS row, CASE WHEN ok THEN src_ip ELSE
+  'invalid_ip_' || CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (ORDER BY src_ip ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) END AS label,
+  {ROUNDED} FROM (SELECT *, src_ip NOT IN ('127.0.0.1', '169.254.3.3') AS ok FROM feat)""",
+        snapshot_sql(1000, "pl"),
+    )
     for name in ("contamination_offset", "contamination_offset_narrowed"):
         out[name] = q("SELECT round(quantile_cont(CAST(score AS DOUBLE), 0.01), 6) AS score_offset FROM mlc")
     out["score_summary"] = q(

@@ -15,7 +15,7 @@ from quietwire.operators import limiter as lim, lookups as look, ordering as ord
 from quietwire.plans import detection, report, training
 from quietwire.scratch import new_folder, pin
 from quietwire.sources import alert_log, alerts as store, models, packets as psrc, training_csv
-from quietwire.sources.event_packets import as_packets, packets_from_events
+from checks.event_packets import as_packets, packets_from_events
 from quietwire.streaming import detection as st
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,12 @@ def _candidates(spark: SparkSession, folder: str, compress: bool = True) -> Data
     return R.rule_candidates(_signals(spark, folder, compress))
 
 
+def _gapped(candidates: DataFrame) -> DataFrame:
+    """Two busy minutes, ten quiet ones, and so on."""
+    quiet = F.floor(F.col("t_us") / 120_000_000) * 600_000_000
+    return candidates.withColumn("t_us", (F.col("t_us") + quiet).cast("bigint"))
+
+
 def _show_candidates(candidates: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
     subject, body = R.alert_text(R.packet_rules(cfg))
     return candidates.select(
@@ -173,11 +179,9 @@ def export_csv(spark: SparkSession, folder: str) -> DataFrame:
 
 def training_csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     path = new_folder(spark, "training") + ".csv"
-    features = _training(spark, folder).where(~F.col("src_ip").isin("127.0.0.1", "169.254.3.3"))
-    local = _training(spark, folder).where(F.col("src_ip").isin("127.0.0.1", "169.254.3.3"))
-    training_csv.write_training_csv(features, path)
-    read = training_csv.read_training_csv(spark, path).drop("row")
-    return _rounded(read.unionByName(local.withColumnRenamed("src_ip", "label")), "label")
+    # One file in address order, so that the numbers of unusable addresses are known.
+    training_csv.write_training_csv(_training(spark, folder).orderBy("src_ip").coalesce(1), path)
+    return _rounded(training_csv.read_training_csv(spark, path), "row", "label")
 
 
 # -- filters -----------------------------------------------------------------------------------
@@ -235,7 +239,7 @@ def ml_alert_rows(spark: SparkSession, folder: str) -> DataFrame:
     packets = packets_from_events(spark, folder)
     ml = _stand_in_scores(packets)
     both = R.all_candidates(R.rule_candidates(R.packet_signals(packets)), ml)
-    limited = R.alert_rows(lim.limit_alerts(both, split_quiet=False)).where("rule = 'ml'")
+    limited = R.alert_rows(lim.limit_alerts(both)).where("rule = 'ml'")
     rows = limited.unionByName(R.ml_direct_rows(ml))
     return _seconds(rows.select("packet_id", "ts", "ip_address", "description", "anomaly_score"))
 
@@ -257,17 +261,11 @@ def detection_with_model(spark: SparkSession, folder: str) -> DataFrame:
 # -- features ------------------------------------------------------------------------------------
 
 
-def running(history: int, part_rows: int | None = None) -> Query:
+def running(history: int, part_rows: int | None = 100_000) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         packets = packets_from_events(spark, folder)
-        if part_rows is None:
-            analysed = R.analysed_packets(packets)
-        else:
-            analysed = order.running_count(pay.describe_payload(flt.valid_sources(packets)))
-        out = feat.running_features(analysed, history, part_rows=part_rows)
-        return _rounded(out, "src_ip", "packet_id", "seq") if part_rows else _rounded(
-            out.withColumn("seq", F.col("seq").cast("bigint")), "src_ip", "packet_id", "seq"
-        )
+        out = feat.running_features(R.analysed_packets(packets), history, part_rows=part_rows)
+        return _rounded(out, "src_ip", "packet_id", "seq")
 
     return run
 
@@ -300,15 +298,9 @@ def _score_table(spark: SparkSession, folder: str) -> DataFrame:
     return _stand_in_scores(packets_from_events(spark, folder)).select("packet_id", score)
 
 
-def contamination_offset(in_memory: int) -> Query:
-    """The offset for given scores, by either way of finding the quantile."""
-
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        scores = _score_table(spark, folder)
-        offset = fo.exact_quantile(scores, "anomaly_score", 0.01, in_memory=in_memory)
-        return spark.createDataFrame([(round(offset, 6),)], "score_offset double")
-
-    return run
+def contamination_offset(spark: SparkSession, folder: str) -> DataFrame:
+    offset = fo.exact_quantile(_score_table(spark, folder), "anomaly_score", 0.01)
+    return spark.createDataFrame([(round(offset, 6),)], "score_offset double")
 
 
 def score_summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -514,8 +506,8 @@ def registered() -> dict[str, Query]:
         "stored_types": lambda s, d: _alerts(s, d)
         .groupBy("alert_type", "stored_type")
         .agg(F.count(F.lit(1)).alias("alerts")),
-        "limit_alerts": lambda s, d: _show_candidates(lim.limit_alerts(_candidates(s, d), split_quiet=False)),
-        "limit_alerts_quiet_split": lambda s, d: lim.limit_alerts(_candidates(s, d, False)).select(
+        "limit_alerts": lambda s, d: _show_candidates(lim.limit_alerts(_candidates(s, d), chunk_s=60)),
+        "limit_alerts_quiet_split": lambda s, d: lim.limit_alerts(_gapped(_candidates(s, d)), chunk_s=300).select(
             "packet_id", "t_us", "src_ip", "rule"
         ),
         "detection_rules_only": detection_rules_only,
@@ -598,8 +590,8 @@ def registered() -> dict[str, Query]:
         "features_json": features_json,
         "feature_scaler": feature_scaler,
         "feature_correlation": feature_correlation,
-        "contamination_offset": contamination_offset(fo.SMALL),
-        "contamination_offset_narrowed": contamination_offset(0),
+        "contamination_offset": contamination_offset,
+        "contamination_offset_narrowed": contamination_offset,
         "score_summary": score_summary,
         "forest_sample": forest_sample,
         "forest_trees": forest_trees,

@@ -114,9 +114,6 @@ LOG_RULE_ALERT = r"\[RULE\] ALERT: (.+)"
 LOG_SOURCE = r"from ([\d\.]+)"
 LOG_ANY_IP = r"(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})"
 
-MAX_SCAN_BYTES = 1024
-MAX_PATTERN_CHARS = 50
-MAX_LOG_CHARS = 1000
 SCORE_TIMELINE_THRESHOLD = -0.1
 ALERT_INTERVALS_US = {
     "5min": 300_000_000,
@@ -129,27 +126,36 @@ ALERT_INTERVALS_US = {
 
 @dataclass(frozen=True)
 class DetectorConfig:
-    """Thresholds of the packet rules and of the alert limiter."""
+    """Thresholds of the packet rules and of the alert limiter.
+
+    ``packets_per_source`` is an explicit budget (the first so many packets of each source); None, the
+    default, looks at every packet. ``history`` is the length of the feature frame, ``part_rows`` the
+    packets of a source that are framed in one task.
+    """
 
     trusted_subnets: tuple[str, ...] = TRUSTED_SUBNETS
     allowed_ports: tuple[int, ...] = HIGH_TRAFFIC_PORTS
     spike_multiplier: float = 2.0
     icmp_threshold: int = 50
     payload_threshold: int = 100
-    packets_per_source: int = 10_000
+    packets_per_source: int | None = None
     rate_history: int = 10
     history: int = 1_000
+    part_rows: int = 100_000
     min_packets_ml: int = 10
     score_threshold: float | None = 0.0
     cooldown_s: int = 60
     max_alerts: int = 3
 
     def __post_init__(self) -> None:
-        if self.spike_multiplier <= 1.0:
-            raise ValueError("spike_multiplier must be greater than 1.0")
-        for name in ("icmp_threshold", "payload_threshold", "packets_per_source", "history"):
-            if getattr(self, name) <= 0:
-                raise ValueError(f"{name} must be positive")
+        if not self.spike_multiplier > 1.0:
+            raise ValueError(f"a spike is more than the mean rate: multiplier {self.spike_multiplier}")
+        counts = {"icmp_threshold": 1, "payload_threshold": 1, "history": 1, "part_rows": self.history}
+        for name, least in counts.items():
+            if getattr(self, name) < least:
+                raise ValueError(f"{name} is below {least}")
+        if self.packets_per_source is not None and self.packets_per_source < 1:
+            raise ValueError("packets_per_source is below 1; None is no budget")
 
 
 @dataclass(frozen=True)
@@ -164,4 +170,4 @@ class ForestConfig:
 
     def __post_init__(self) -> None:
         if not 0.001 <= self.contamination <= 0.5:
-            raise ValueError("contamination must be between 0.001 and 0.5")
+            raise ValueError(f"contamination {self.contamination} is not in [0.001, 0.5]")

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from quietwire.config import MALICIOUS_PATTERNS, MAX_PATTERN_CHARS, MAX_SCAN_BYTES
+from quietwire.config import MALICIOUS_PATTERNS
 
 # Upper limits for one histogram matrix inside a task, whatever the Arrow batch holds.
 _ROWS_AT_ONCE = 4096
@@ -63,7 +63,7 @@ def payload_length(payload: Column) -> Column:
 
 
 def scannable(payload: Column) -> Column:
-    return payload_length(payload).between(1, MAX_SCAN_BYTES)
+    return payload_length(payload) > 0
 
 
 def as_latin1(payload: Column) -> Column:
@@ -76,14 +76,14 @@ def first_pattern(lowered: Column, patterns: Sequence[str] = MALICIOUS_PATTERNS)
     by_length = sorted(patterns, key=lambda p: -len(p))
     return F.coalesce(
         *[
-            F.when(F.contains(lowered, F.lit(p.lower())), F.lit(p[:MAX_PATTERN_CHARS]))
+            F.when(F.contains(lowered, F.lit(p.lower())), F.lit(p))
             for p in by_length
         ]
     )
 
 
 def malicious_pattern(payload: Column, patterns: Sequence[str] = MALICIOUS_PATTERNS) -> Column:
-    """Pattern found in the payload, else null. Payloads over the scan limit are not scanned.
+    """Pattern found in the payload, whatever its length, else null.
 
     The text is bound to a lambda so that it is decoded once and not for every pattern; over whole
     tables ``describe_payload`` is faster, as it decodes in a step of its own.
@@ -102,7 +102,7 @@ def null_byte_count(latin1: Column) -> Column:
 
 
 def payload_stats(payload: Column) -> Column:
-    """struct(size, printable_chars, null_bytes, entropy, printable_ratio); null if not scannable."""
+    """struct(size, printable_chars, null_bytes, entropy, printable_ratio); null if empty."""
     text = as_latin1(payload)
     size = payload_length(payload)
     return F.when(

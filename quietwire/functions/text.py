@@ -19,16 +19,16 @@ def group_or_null(text: Column, pattern: str, group: int = 1) -> Column:
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
 
 
-def printable_only(text: Column, n: int = 50) -> Column:
-    return F.regexp_replace(F.substring(text, 1, n), NOT_PRINTABLE, "?")
+def printable_only(text: Column, n: int | None = None) -> Column:
+    """The text, or its first ``n`` characters, with '?' for what cannot be printed."""
+    return F.regexp_replace(text if n is None else F.substring(text, 1, n), NOT_PRINTABLE, "?")
 
 
-def redact(text: Column) -> Column:
-    """Cut long text, blank out secrets, replace what cannot be printed."""
-    cut = F.when(
-        F.length(text) > C.MAX_LOG_CHARS,
-        F.concat(F.substring(text, 1, C.MAX_LOG_CHARS), F.lit("...")),
-    ).otherwise(text)
+def redact(text: Column, n: int | None = None) -> Column:
+    """Blank out secrets and replace what cannot be printed; with ``n``, cut longer text first."""
+    cut = text
+    if n is not None:
+        cut = F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
     blanked = reduce(
         lambda acc, word: F.regexp_replace(acc, rf"(?iU){word}[=:]\s*\S+", "[REDACTED]"),
         C.SENSITIVE_WORDS,

@@ -56,14 +56,15 @@ def period_stats(alerts: DataFrame) -> DataFrame:
     )
 
 
-def newest_alerts(alerts: DataFrame, limit: int) -> DataFrame:
-    """The newest ``limit`` alerts, newest first; equal times by packet and rule."""
-    return alerts.orderBy(
+def newest_alerts(alerts: DataFrame, limit: int | None) -> DataFrame:
+    """Alerts, newest first (all, or the ``limit`` newest); equal times by packet and rule."""
+    newest = alerts.orderBy(
         F.col("ts").desc(), F.col("packet_id").desc(), F.col("rule").asc(), F.col("anomaly_score").asc()
-    ).limit(limit)
+    )
+    return newest if limit is None else newest.limit(limit)
 
 
-def alert_view(alerts: DataFrame, n: int = 500) -> DataFrame:
+def alert_view(alerts: DataFrame, n: int | None = None) -> DataFrame:
     return newest_alerts(alerts, n).select(
         F.col("ts").alias("timestamp"),
         "ip_address",
@@ -73,11 +74,11 @@ def alert_view(alerts: DataFrame, n: int = 500) -> DataFrame:
     )
 
 
-def ml_score_stats(alerts: DataFrame, last: int = 1000) -> DataFrame:
-    """Scores of the ML rows among the newest alerts; zeros where there are none."""
+def ml_score_stats(alerts: DataFrame, last: int | None = None) -> DataFrame:
+    """Scores of the ML rows, of all alerts or of the ``last`` newest; zeros where there are none."""
     zero = F.lit(0.0)
     return (
-        newest_alerts(alerts, last)
+        (alerts if last is None else newest_alerts(alerts, last))
         .where(IS_ML)
         .agg(
             F.coalesce(F.avg("anomaly_score"), zero).alias("avg_score"),
@@ -112,7 +113,7 @@ def alert_rate(alerts: DataFrame, interval: str = "1H") -> DataFrame:
 
 
 def score_histogram(alerts: DataFrame, bins: int = 30) -> DataFrame:
-    """ML scores in equal bins between the lowest and the highest score."""
+    """ML scores in equal bins between the lowest and the highest score, empty bins included."""
     ml = alerts.where(IS_ML).select("anomaly_score")
     bounds = ml.agg(
         F.struct(F.min("anomaly_score").alias("low"), F.max("anomaly_score").alias("high"))
@@ -123,12 +124,9 @@ def score_histogram(alerts: DataFrame, bins: int = 30) -> DataFrame:
     bin_no = F.when(
         width > 0, F.least(F.floor((score - low) / F.when(width > 0, width)), F.lit(bins - 1))
     ).otherwise(F.lit(0))
-    return (
-        ml.select(bin_no.cast("int").alias("bin"))
-        .groupBy("bin")
-        .agg(F.count(F.lit(1)).alias("alerts"))
-        .withColumn("bin_start", low + F.col("bin") * width)
-    )
+    counts = ml.select(bin_no.cast("int").alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("alerts"))
+    grid = ml.limit(1).select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return fill_grid(counts, grid, ["bin"], "alerts").withColumn("bin_start", low + F.col("bin") * width)
 
 
 def top_ips(alerts: DataFrame, n: int = 10) -> DataFrame:

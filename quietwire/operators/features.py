@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quietwire.config import FEATURE_COMMON_PORTS, FEATURE_NAMES
 from quietwire.functions.payload import describe_payload
-from quietwire.operators.ordering import split_with_halo, take_per_source
+from quietwire.operators.ordering import null_safe_join, split_with_halo, take_per_source
 
 # Running entropy sums are kept in whole units of 1e-12 bit: exact, and free of the order of adding.
 _ENTROPY_UNITS = 1_000_000_000_000
+MOST_PART_ROWS = 1_000_000
 
 
 def seconds(us: Column) -> Column:
@@ -26,7 +27,7 @@ def is_uncommon(port: Column) -> Column:
 
 
 def snapshot_features(
-    packets: DataFrame, as_of_us: int | None = None, history: int = 1000, min_packets: int = 3
+    packets: DataFrame, history: int, as_of_us: int | None = None, min_packets: int = 3
 ) -> DataFrame:
     """One row of features per source with at least ``min_packets`` packets.
 
@@ -95,14 +96,14 @@ def snapshot_features(
         "avg_payload_size": F.coalesce(F.col("mean_payload"), zero),
         "payload_size_variance": F.coalesce(F.col("payload_var"), zero),
     }
-    return life.join(hist, "src_ip").select("src_ip", *[columns[c].alias(c) for c in FEATURE_NAMES])
+    return null_safe_join(life, hist, ["src_ip"]).select("src_ip", *[columns[c].alias(c) for c in FEATURE_NAMES])
 
 
 def running_features(
     sequenced: DataFrame,
-    history: int = 1000,
+    history: int,
     min_packets: int = 10,
-    part_rows: int | None = None,
+    part_rows: int | None = 100_000,
 ) -> DataFrame:
     """The features of a source as they stood at each of its packets, from ``min_packets`` on.
 
@@ -111,6 +112,8 @@ def running_features(
     ``part_rows`` must be given where a source may be large (see ``split_with_halo``); the
     lifetime sums of earlier parts are then added from a small table of part totals.
     """
+    if part_rows is not None and part_rows > MOST_PART_ROWS:
+        raise ValueError(f"running sums of entropy hold at most {MOST_PART_ROWS} packets a part")
     rows = split_with_halo(sequenced, part_rows, history)
     part = Window.partitionBy("src_ip", "part")
     ordered = part.orderBy("t_us", "packet_id")
@@ -195,10 +198,12 @@ def running_features(
         ).cast("double")
         / (count.cast("double") * count.cast("double")),
     ).otherwise(F.lit(0.0))
-    gap_variance = (
-        gaps.cast("decimal(10,0)") * F.col("_f_gap2").cast("decimal(28,0)")
-        - (span.cast("decimal(19,0)") * span.cast("decimal(19,0)")).cast("decimal(38,0)")
-    ).cast("double") / (gaps.cast("double") * gaps.cast("double"))
+    # Squares around the whole part of the mean gap: exact, and small enough for gaps of decades.
+    middle = F.floor(span / gaps).cast("bigint")
+    wide = lambda c: c.cast("decimal(19,0)")
+    around = F.col("_f_gap2") - (wide(middle) * wide(2 * span - gaps * middle)).cast("decimal(38,0)")
+    off = (span - gaps * middle).cast("double") / gaps.cast("double")
+    gap_variance = around.cast("double") / gaps.cast("double") - off * off
     columns = {
         "packets_per_second": n / F.greatest(age_s, F.lit(0.001)),
         "bytes_per_second": F.col("_life_bytes").cast("double") / F.greatest(age_s, F.lit(0.001)),
@@ -243,7 +248,7 @@ def _add_earlier_parts(
         )
     )
     return (
-        rows.join(totals, ["src_ip", "part"])
+        null_safe_join(rows, totals, ["src_ip", "part"])
         .withColumns({f"_life_{c}": F.col(f"_life_{c}") + F.col(f"_add_{c}") for c in life})
         .withColumn("_first", F.col("_start"))
     )

@@ -26,7 +26,6 @@ EULER = 0.5772156649
 EPSILON = 2.220446049250313e-16
 _HASH_RANGE = 1 << 31
 _ROWS_AT_ONCE = 1024
-SMALL = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -269,18 +268,13 @@ def kth_smallest(values: DataFrame, column: str, k: int, bins: int = 1024) -> fl
     return float(low)
 
 
-def exact_quantile(
-    values: DataFrame, column: str, q: float, n: int | None = None, in_memory: int = SMALL
-) -> float:
-    """Linearly interpolated quantile of any number of rows.
+def exact_quantile(values: DataFrame, column: str, q: float, n: int | None = None) -> float:
+    """Linearly interpolated quantile of any number of rows, found by narrowing histograms.
 
-    Up to ``in_memory`` rows Spark's exact percentile does it in one pass; it keeps all values of a
-    column in one task, so larger tables are narrowed by histograms instead.
+    Spark's exact percentile keeps all values of a column in one task; this way keeps none.
     """
     if n is None:
         n = values.count()
-    if n <= in_memory:
-        return float(values.agg(F.percentile(column, F.lit(q))).first()[0])
     values = pin(values.select(column), "quantile")
     at = (n - 1) * q
     k = math.floor(at)

@@ -9,8 +9,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
+from quietwire.operators.ordering import null_safe_join
+from quietwire.scratch import pin
+
 KEY = ("src_ip", "alert_type")
 ORDER = ("t_us", "packet_id", "rule_seq")
+CHUNK, ENTRY = "_chunk", "_entry"
+CHUNK_S = 3_600
 
 
 def kept_positions(times: np.ndarray, kept: list[int], cooldown_us: int, max_alerts: int) -> list[int]:
@@ -34,71 +39,108 @@ def kept_positions(times: np.ndarray, kept: list[int], cooldown_us: int, max_ale
     return out
 
 
-def _limit_sorted(
-    batches: Iterator[pa.RecordBatch], key: tuple[str, ...], cooldown_us: int, max_alerts: int
+def _fold(
+    batches: Iterator[pa.RecordBatch], cooldown_us: int, max_alerts: int, states: bool
 ) -> Iterator[pa.RecordBatch]:
-    """Stream over key-sorted batches; the state is the current key and its last kept times."""
-    current, kept = None, []
+    """Stream over rows sorted by chunk, each with its chunk's entry state.
+
+    Gives the rows that pass, or with ``states`` one row per chunk with its exit state. Memory is one batch
+    and the last kept times.
+    """
+    current, kept, last = None, [], None
+    ends: list[tuple] = []
     for batch in batches:
         n = batch.num_rows
         if n == 0:
             continue
         changed = np.zeros(n, dtype=bool)
-        for name in key:
+        for name in (*KEY, CHUNK):
             column = batch.column(name)
-            changed[1:] |= np.asarray(pc.not_equal(column[1:], column[:-1]))
+            # Beside a null it is looked at again below.
+            changed[1:] |= np.asarray(pc.fill_null(pc.not_equal(column[1:], column[:-1]), True))
         starts = np.flatnonzero(changed)
         times = batch.column("t_us").to_numpy(zero_copy_only=False)
         take: list[int] = []
-        for lo, hi in zip([0, *starts], [*starts, n]):
-            name = tuple(batch.column(k)[int(lo)].as_py() for k in key)
-            if name != current:
-                current, kept = name, []
-            take += [int(lo) + p for p in kept_positions(times[lo:hi], kept, cooldown_us, max_alerts)]
-        if take:
-            yield batch.take(pa.array(take))
+        for lo, hi in zip([0, *starts.tolist()], [*starts.tolist(), n], strict=True):
+            name = tuple(batch.column(k)[lo].as_py() for k in (*KEY, CHUNK))
+            if last is None or name != current:
+                if last is not None:
+                    ends.append((*current, kept))
+                current, kept = name, list(batch.column(ENTRY)[lo].as_py() or ())
+            last = batch
+            take += [lo + p for p in kept_positions(times[lo:hi], kept, cooldown_us, max_alerts)]
+        if states and ends:
+            yield _exits(ends, batch)
+            ends = []
+        if not states and take:
+            yield batch.drop_columns([CHUNK, ENTRY]).take(pa.array(take))
+        ends = ends if states else []
+    if states and last is not None:
+        yield _exits([(*current, kept)], last)
 
 
-def quiet_spells(candidates: DataFrame, cooldown_s: int) -> DataFrame:
-    """Add ``spell``: candidates of a key in different spells are more than a cooldown apart.
+def _exits(ends: list[tuple], batch: pa.RecordBatch) -> pa.RecordBatch:
+    types = [*(batch.schema.field(k).type for k in (*KEY, CHUNK)), pa.list_(pa.int64())]
+    columns = zip(*ends, strict=True)
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[*KEY, CHUNK, "_exit"])
 
-    Time is cut into slices of one cooldown. A slice without candidates separates its neighbours
-    by more than the cooldown, so the limiter starts afresh after it. Only the occupied slices
-    are put in order, not the candidates.
-    """
-    slice_us = cooldown_s * 1_000_000
-    sliced = candidates.withColumn("_slice", F.floor(F.col("t_us") / slice_us).cast("bigint"))
-    by_time = Window.partitionBy(*KEY).orderBy("_slice")
-    fresh = F.col("_slice") - F.lag("_slice").over(by_time) > 1
-    spells = (
-        sliced.select(*KEY, "_slice")
-        .distinct()
-        .withColumn("_fresh", F.when(fresh, 1).otherwise(0))
-        .withColumn("spell", F.sum("_fresh").over(by_time))
-        .drop("_fresh")
+
+def _folded(rows: DataFrame, entries: DataFrame, cooldown_us: int, max_alerts: int, states: bool) -> DataFrame:
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    out = [*KEY, CHUNK] if states else [c for c in rows.columns if c != CHUNK]
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in out) + (", _exit array<bigint>" if states else "")
+    return (
+        null_safe_join(rows, entries, [*KEY, CHUNK])
+        .repartition(*KEY, CHUNK)
+        .sortWithinPartitions(*KEY, CHUNK, *ORDER)
+        .mapInArrow(lambda batches: _fold(batches, cooldown_us, max_alerts, states), schema)
     )
-    return sliced.join(spells, [*KEY, "_slice"]).drop("_slice")
 
 
 def limit_alerts(
-    candidates: DataFrame, cooldown_s: int = 60, max_alerts: int = 3, split_quiet: bool = True
+    candidates: DataFrame, cooldown_s: int = 60, max_alerts: int = 3, chunk_s: int = CHUNK_S
 ) -> DataFrame:
     """Keep a candidate unless ``max_alerts`` kept ones of its source and type are within the cooldown.
 
-    Which alerts pass depends on those that passed before, so one key is a sequence. Hot keys are
-    cut at quiet spells, and each spell streams through its task in sorted order with constant
-    memory. ``split_quiet`` may be off where keys are known to be limited, as behind the packet
-    budget.
+    Which alerts pass depends on those that passed before, so a key is a sequence. Its candidates are
+    cut into chunks of time, and all chunks are folded at once, as narrow rows in sorted order with constant
+    memory. What a chunk leaves behind (at most ``max_alerts`` times) is the entry state of the next one; chunks
+    whose entry has changed are folded again until none has. A quiet spell or a full period forgets what was before, so a few
+    rounds do; a key that is busy throughout may need as many rounds as it has chunks, of ever fewer rows.
+    Runs jobs; the narrow rows and the states are written to the shared folder.
     """
-    key = KEY
-    rows = candidates
-    if split_quiet:
-        rows, key = quiet_spells(candidates, cooldown_s), (*KEY, "spell")
-    limited = (
-        rows.repartition(*key)
-        .sortWithinPartitions(*key, *ORDER)
-        .mapInArrow(
-            lambda batches: _limit_sorted(batches, key, cooldown_s * 1_000_000, max_alerts), rows.schema
-        )
+    cooldown_us = cooldown_s * 1_000_000
+    narrow = pin(
+        candidates.select(*KEY, *ORDER).withColumn(CHUNK, F.floor(F.col("t_us") / (chunk_s * 1_000_000)).cast("bigint")),
+        "limiter",
     )
-    return limited.select(*candidates.columns)
+    before = Window.partitionBy(*KEY).orderBy(CHUNK)
+    nothing = F.array().cast("array<bigint>")
+    chunks = narrow.groupBy(*KEY, CHUNK).agg(F.min("t_us").alias("_first")).withColumn(ENTRY, nothing)
+    exits = _folded(narrow, chunks.drop("_first"), cooldown_us, max_alerts, states=True)
+    state = pin(null_safe_join(chunks, exits, [*KEY, CHUNK]), "limiter-state")
+    while True:
+        # A kept time counts in the next chunk as long as it is within the cooldown of its first candidate.
+        coming = F.filter(F.lag("_exit").over(before), lambda t: t + cooldown_us >= F.col("_first"))
+        marked = state.withColumn("_next", F.coalesce(coming, nothing))
+        stale = marked.where(F.col("_next") != F.col(ENTRY)).select(*KEY, CHUNK, F.col("_next").alias(ENTRY))
+        stale = pin(stale, "limiter-stale")
+        if stale.isEmpty():
+            break
+        again = _folded(narrow, stale, cooldown_us, max_alerts, states=True).withColumnRenamed("_exit", "_new_exit")
+        renewed = null_safe_join(again, stale.withColumnRenamed(ENTRY, "_new_entry"), [*KEY, CHUNK])
+        state = pin(
+            null_safe_join(state, renewed, [*KEY, CHUNK], "left").select(
+                *KEY,
+                CHUNK,
+                "_first",
+                F.coalesce("_new_entry", ENTRY).alias(ENTRY),
+                F.coalesce("_new_exit", "_exit").alias("_exit"),
+            ),
+            "limiter-state",
+        )
+    entries = state.select(*KEY, CHUNK, ENTRY)
+    if set(candidates.columns) == {*KEY, *ORDER}:
+        return _folded(narrow, entries, cooldown_us, max_alerts, states=False).select(*candidates.columns)
+    passed = _folded(narrow, entries, cooldown_us, max_alerts, states=False)
+    return null_safe_join(candidates, passed, [*KEY, *ORDER], "left_semi")

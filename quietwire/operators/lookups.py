@@ -9,9 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from quietwire.config import KNOWN_IPS
 from quietwire.functions.ip import ip_to_long, network_category
 
-# A table of networks is broadcast up to this many lookup rows, and joined by shuffle beyond.
-MAX_BROADCAST_ROWS = 200_000
-
 
 def known_ips(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(KNOWN_IPS), "ip_address string, entity string")
@@ -58,15 +55,13 @@ def network_blocks(subnets: DataFrame) -> DataFrame:
 def outside_networks(packets: DataFrame, subnets: DataFrame, ip: str = "src_ip") -> DataFrame:
     """Packets whose source lies in none of the networks; an equi-join on /16 blocks plus a range test.
 
-    A larger table of networks is matched against the distinct sources first, so that a hot
-    source or block is one row there; AQE splits the skewed side of the final anti join.
+    The networks are matched against the distinct sources first, so that a hot source or block is
+    one row there; AQE splits the skewed side of the final anti join. Whether a side is broadcast is left to
+    Spark, which knows its size by then.
     """
     blocks = network_blocks(subnets)
     number = ip_to_long(F.col(ip))
     inside = (F.col("_block") == F.col("block")) & F.col("_ip").between(F.col("lo"), F.col("hi"))
-    if blocks.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
-        keyed = packets.withColumn("_ip", number).withColumn("_block", F.shiftright("_ip", 16))
-        return keyed.join(F.broadcast(blocks), inside, "left_anti").drop("_ip", "_block")
     sources = (
         packets.select(ip).distinct().withColumn("_ip", number).withColumn("_block", F.shiftright("_ip", 16))
     )

@@ -7,21 +7,15 @@ only used on rows that are already limited per source. Everything else goes thro
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quietwire.scratch import pin
 
 PACKET_ORDER = ("t_us", "packet_id")
 
 
-def allow_limit(spark: SparkSession, n: int) -> None:
-    """Let Spark turn ``row_number() <= n`` into a limit before the shuffle for this n as well."""
-    setting = "spark.sql.optimizer.windowGroupLimitThreshold"
-    if int(spark.conf.get(setting)) < n:
-        spark.conf.set(setting, n)
-
-
 def take_per_source(
     rows: DataFrame,
     n: int,
@@ -36,9 +30,9 @@ def take_per_source(
     Two rounds. The first ranks within (source, salt), where the salt comes from the input
     partition: every task sends at most ``n`` rows of a source, and a hot source is spread over
     ``salts`` groups. The second ranks what is left, at most ``n * salts`` rows per source. Which
-    rows are taken does not depend on the salt.
+    rows are taken does not depend on the salt. Beyond the session's
+    ``spark.sql.optimizer.windowGroupLimitThreshold`` Spark ranks before it drops rows.
     """
-    allow_limit(rows.sparkSession, n)
     by = [F.col(c).desc() if newest else F.col(c).asc() for c in order]
     salted = rows.withColumn("_salt", F.pmod(F.hash(F.spark_partition_id()), F.lit(salts)))
     inner = Window.partitionBy(key, "_salt").orderBy(*by)
@@ -52,6 +46,13 @@ def take_per_source(
     )
 
 
+def null_safe_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join in which null keys are equal; the keys of ``table`` are dropped."""
+    named = table.select(*[F.col(c).alias(f"_on_{c}" if c in keys else c) for c in table.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in keys]
+    return rows.join(named, reduce(Column.__and__, same), how).drop(*[f"_on_{c}" for c in keys])
+
+
 def running_totals(
     rows: DataFrame,
     totals: dict[str, Column],
@@ -90,7 +91,7 @@ def running_totals(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return runs.join(before, [*keys, "_run"]).select(
+    return null_safe_join(runs, before, [*keys, "_run"]).select(
         *rows.columns,
         *[(F.col(f"_before_{name}") + F.sum(f"_x_{name}").over(within)).alias(name) for name in names],
     )

@@ -1,4 +1,7 @@
-"""Packet rules: from described packets to candidate alerts."""
+"""Packet rules: from described packets to candidate alerts.
+
+The wording of the alerts is fixed: what reads the alert log depends on it.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +15,7 @@ from quietwire.functions.ip import safe_ip
 from quietwire.functions.payload import describe_payload
 from quietwire.functions.text import features_json
 from quietwire.operators.filters import ml_score_valid, per_source_budget, valid_port, valid_sources
-from quietwire.operators.ordering import split_with_halo
+from quietwire.operators.ordering import running_count, split_with_halo
 
 CANDIDATE = (
     "packet_id",
@@ -141,14 +144,18 @@ def ml_rule() -> Rule:
 
 
 def analysed_packets(packets: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
-    """What detection looks at: usable sources, narrow rows, the first packets of each source."""
-    return per_source_budget(
-        describe_payload(valid_sources(packets, cfg.trusted_subnets)), cfg.packets_per_source
-    )
+    """What detection looks at: narrow rows of usable sources, with their running count ``seq``.
+
+    All packets of a source, unless the configuration gives a budget.
+    """
+    usable = describe_payload(valid_sources(packets, cfg.trusted_subnets))
+    if cfg.packets_per_source is not None:
+        return per_source_budget(usable, cfg.packets_per_source)
+    return running_count(usable)
 
 
 def packet_rates(
-    analysed: DataFrame, start_us: Column, history: int = 10, part_rows: int | None = None
+    analysed: DataFrame, start_us: Column, history: int = 10, part_rows: int | None = 100_000
 ) -> DataFrame:
     """Add ``rate`` (packets of the source per second since start) and its rolling mean.
 
@@ -181,7 +188,7 @@ def packet_signals(
 ) -> DataFrame:
     """All columns the rules read, for every analysed packet."""
     start = first_packet_time(packets) if start_us is None else start_us
-    return packet_rates(analysed_packets(packets, cfg), start, cfg.rate_history)
+    return packet_rates(analysed_packets(packets, cfg), start, cfg.rate_history, cfg.part_rows)
 
 
 def _candidate_columns(name: Column, order: Column, alert_type: Column) -> list[Column]:
@@ -317,7 +324,7 @@ def _alert_row(description: Column, score: Column, raw_data: Column) -> list[Col
 def alert_rows(kept: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
     """Alert table rows of limited candidates: text is only built for what is stored."""
     subject, body = alert_text([ml_rule(), *packet_rules(cfg)])
-    description = F.concat(F.substring(subject, 1, 200), F.lit(" - "), F.substring(body, 1, 500))
+    description = F.concat(subject, F.lit(" - "), body)
     return kept.select(*_alert_row(description, F.lit(0.0), F.lit(None).cast("string")))
 
 

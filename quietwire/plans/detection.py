@@ -21,19 +21,19 @@ def detect(
 ) -> DataFrame:
     """Alert rows of the packet rules and, with a forest, of the model.
 
-    The packet budget limits every source before anything is ordered, so the windows and the
-    limiter behind it work on groups of known size. With a forest, what two branches read (the
-    analysed packets, the scored candidates) is written once instead of computed twice.
+    Every packet of a usable source is looked at (a budget is an option of the configuration).
+    Sources are counted by ranges and framed in parts, so that no source is one task. With a
+    forest, what two branches read (the analysed packets, the scored candidates) is written once.
     """
     start = R.first_packet_time(packets) if start_us is None else start_us
     analysed = R.analysed_packets(packets, cfg)
     if forest is not None:
         analysed = pin(analysed, "analysed")
-    rules = R.rule_candidates(R.packet_rates(analysed, start, cfg.rate_history), cfg)
+    rules = R.rule_candidates(R.packet_rates(analysed, start, cfg.rate_history, cfg.part_rows), cfg)
     if forest is None:
-        return R.alert_rows(limit_alerts(rules, cfg.cooldown_s, cfg.max_alerts, split_quiet=False), cfg)
-    running = running_features(analysed, cfg.history, cfg.min_packets_ml)
+        return R.alert_rows(limit_alerts(rules, cfg.cooldown_s, cfg.max_alerts), cfg)
+    running = running_features(analysed, cfg.history, cfg.min_packets_ml, cfg.part_rows)
     scored = predict(forest, ml_ready(running, cfg.min_packets_ml))
     ml = pin(R.ml_candidates(scored, cfg.score_threshold), "ml-candidates")
-    limited = limit_alerts(R.all_candidates(rules, ml), cfg.cooldown_s, cfg.max_alerts, split_quiet=False)
+    limited = limit_alerts(R.all_candidates(rules, ml), cfg.cooldown_s, cfg.max_alerts)
     return R.alert_rows(limited, cfg).unionByName(R.ml_direct_rows(ml))

@@ -24,7 +24,7 @@ class Trained:
 
 def training_features(packets: DataFrame, as_of_us: int | None = None, history: int = 1000) -> DataFrame:
     """Features of every source whose address parses; training uses no other filter and no budget."""
-    return snapshot_features(valid_sources(packets, parse_only=True), as_of_us, history)
+    return snapshot_features(valid_sources(packets, parse_only=True), history, as_of_us)
 
 
 def train(features: DataFrame, cfg: ForestConfig = ForestConfig(), key: str = "src_ip") -> Trained:

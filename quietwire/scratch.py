@@ -2,26 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared scratch folder: ``spark.checkpoint.dir`` where set.
-
-    Only a local master may fall back to a temporary folder of this machine; a cluster without
-    the setting is an error, because executors could not see each other's files.
-    """
+    """Shared scratch folder: below ``spark.checkpoint.dir`` where set, else below the warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", ""
     )
-    if not configured:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        configured = tempfile.mkdtemp(prefix="quietwire-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+    configured = configured or spark.conf.get("spark.sql.warehouse.dir")
     return f"{configured.rstrip('/')}/quietwire/{spark.sparkContext.applicationId}"
 
 

@@ -55,7 +55,7 @@ def parse_log_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
-def read_alert_log(spark: SparkSession, path: str, last: int | None = 10_000) -> DataFrame:
+def read_alert_log(spark: SparkSession, path: str, last: int | None = None) -> DataFrame:
     """Alert rows of the ``last`` lines of a log (all lines for None)."""
     lines = spark.read.text(path)
     if last is not None:

@@ -69,9 +69,9 @@ def load_alerts(
     path: str,
     start: datetime | None = None,
     end: datetime | None = None,
-    limit: int = 10_000,
+    limit: int | None = None,
 ) -> DataFrame:
-    """The newest ``limit`` alerts of a period, newest first."""
+    """The alerts of a period, newest first: all of them, or the ``limit`` newest."""
     return newest_alerts(between(alert_table(spark, path), start, end), limit)
 
 

@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from quietwire.config import FEATURE_NAMES
 from quietwire.operators.filters import clean_features, usable_label
+from quietwire.operators.ordering import running_totals
 
-MAX_ROWS = 50_000
-MAX_COLUMNS = 50
+ROW_ORDER = ("_file", "_block", "_row")
 
 
 def read_training_csv(
-    spark: SparkSession, path: str, max_rows: int = MAX_ROWS, max_cols: int = MAX_COLUMNS
+    spark: SparkSession, path: str, max_rows: int | None = None, max_cols: int | None = None
 ) -> DataFrame:
-    """The first ``max_rows`` rows of a feature CSV: ``row``, ``label``, cleaned feature columns.
+    """A feature CSV, or its first ``max_rows`` rows: ``row``, ``label``, cleaned feature columns.
 
     Column ``ip`` is optional; unusable addresses become ``invalid_ip_{k}`` and rows without the
     column ``ip_{row}``.
@@ -26,7 +26,7 @@ def read_training_csv(
         names = spark.read.option("header", True).csv(path).columns
     except AnalysisException as error:
         raise FileNotFoundError(path) from error
-    if len(names) > max_cols:
+    if max_cols is not None and len(names) > max_cols:
         raise ValueError(f"too many columns: {len(names)} (at most {max_cols})")
     schema = T.StructType(
         [T.StructField(n, T.StringType() if n == "ip" else T.DoubleType()) for n in names]
@@ -41,26 +41,22 @@ def read_training_csv(
             F.col("_metadata.file_block_start").alias("_block"),
             F.monotonically_increasing_id().alias("_row"),
         )
-        .orderBy("_file", "_block", "_row")
-        .limit(max_rows)
     )
+    if max_rows is not None:
+        rows = rows.orderBy(*ROW_ORDER).limit(max_rows)
     if rows.isEmpty():
         raise ValueError(f"no rows in {path}")
-    # At most max_rows rows are left, so one ordered window over all of them is small.
-    in_order = Window.orderBy("_file", "_block", "_row")
+    # Row numbers by ranges of rows: no task sees all of them.
+    bad = F.lit(0) if "ip" not in names else F.when(usable_label(F.col("ip")), 0).otherwise(1)
+    one = F.lit(1).cast("bigint")
+    counted = running_totals(rows, {"_n": one, "_bad": bad.cast("bigint")}, keys=(), order=ROW_ORDER)
+    row = F.col("_n") - 1
+    label = F.concat(F.lit("ip_"), row.cast("string"))
     if "ip" in names:
-        usable = usable_label(F.col("ip"))
-        bad = F.sum(F.when(usable, 0).otherwise(1)).over(
-            in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-        label = F.when(usable, F.col("ip")).otherwise(
-            F.concat(F.lit("invalid_ip_"), (bad - 1).cast("string"))
-        )
-    else:
-        label = F.concat(F.lit("ip_"), (F.row_number().over(in_order) - 1).cast("string"))
+        numbered = F.concat(F.lit("invalid_ip_"), (F.col("_bad") - 1).cast("string"))
+        label = F.when(usable_label(F.col("ip")), F.col("ip")).otherwise(numbered)
     features = [n for n in names if n != "ip"]
-    row = (F.row_number().over(in_order) - 1).alias("row")
-    return clean_features(rows.select(row, label.alias("label"), *features), features)
+    return clean_features(counted.select(row.alias("row"), label.alias("label"), *features), features)
 
 
 def write_training_csv(features: DataFrame, path: str, ip: str = "src_ip") -> None:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -22,12 +21,16 @@ LIMITER_STATE = "kept array<bigint>"
 
 
 def earliest(
-    chunks: Iterator[pd.DataFrame], order: list[str], limit: int
+    chunks: Iterator[pd.DataFrame], order: list[str], limit: int | None
 ) -> tuple[pd.DataFrame | None, int, int]:
-    """The first ``limit`` rows of one key in order, how many rows there were, and the last time.
+    """The rows of one key in order, how many there were, and the last time.
 
-    Chunks are merged one at a time, so a hot source costs ``limit`` rows and a chunk of memory.
+    With a ``limit`` only the first so many: chunks are merged one at a time then. Without one they are all the rows of the
+    key in this micro-batch, whose size the trigger sets (``max_files`` of ``packet_stream``).
     """
+    if limit is None:
+        rows = in_order(chunks, order)
+        return (rows, len(rows), int(rows["t_us"].iloc[-1])) if len(rows) else (None, 0, 0)
     best, total, newest = None, 0, 0
     for chunk in chunks:
         if chunk.empty:
@@ -53,7 +56,7 @@ def expire(state: GroupState, newest_us: int, ttl_ms: int | None) -> None:
 
 
 def rate_signals(
-    start_us: int, history: int, cap: int, ttl_ms: int | None, columns: list[str]
+    start_us: int, history: int, cap: int | None, ttl_ms: int | None, columns: list[str]
 ) -> Callable[[Any, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
     """Count and rolling rate of a source; packets over the budget are counted but not emitted."""
 
@@ -64,7 +67,7 @@ def rate_signals(
             state.remove()
             return
         seen, rates = state.get if state.exists else (0, [])
-        rows, total, newest = earliest(chunks, ["t_us", "packet_id"], cap - seen)
+        rows, total, newest = earliest(chunks, ["t_us", "packet_id"], None if cap is None else cap - seen)
         expire(state, newest, ttl_ms)
         if rows is None:
             state.update((seen + total, rates))
@@ -78,13 +81,35 @@ def rate_signals(
         mean = np.full(len(rows), np.nan)
         if live.any():
             at = len(rates) + np.arange(live.sum())
-            mean[live] = [pool[max(0, i - history + 1) : i + 1].mean() for i in at]
+            low = np.maximum(at - history + 1, 0)
+            sums = np.concatenate([[0.0], np.cumsum(pool)])
+            mean[live] = (sums[at + 1] - sums[low]) / (at + 1 - low)
         state.update((seen + total, pool[-history:].tolist()))
         yield rows.assign(seq=seq, rate=rate, avg_rate=mean)[columns]
 
     return update
 
 
+def distinct_in_frames(values: np.ndarray, history: int) -> np.ndarray:
+    """Number of distinct values (NaN is none) among the last ``history`` rows, at every row.
+
+    A value enters a frame unless it stood in it already, and leaves it with its last occurrence.
+    """
+    n = len(values)
+    order = np.argsort(values, kind="stable")
+    order = order[~np.isnan(values[order])]
+    before, after = np.full(n, -history - 1), np.full(n, n + history)
+    same = values[order[1:]] == values[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    after[order[:-1][same]] = order[1:][same]
+    there, place = ~np.isnan(values), np.arange(n)
+    enters = np.cumsum(there & (before <= place - history))
+    leaves = np.cumsum(there & (after >= place + history))
+    gone = np.zeros(n, dtype=np.int64)
+    gone[history:] = leaves[: max(n - history, 0)]
+    return (enters - gone).astype(float)
+
+
 def frame_features(ring: dict[str, np.ndarray], old: int, history: int) -> pd.DataFrame:
     """Frame parts of the features at every row from position ``old`` on.
 
@@ -120,19 +145,7 @@ def frame_features(ring: dict[str, np.ndarray], old: int, history: int) -> pd.Da
     common = ring["common"]
     has_port = ~np.isnan(port)
     uncommon = has_port & ~np.isin(port, common)
-    in_frame: Counter = Counter(port[low[0] : old][has_port[low[0] : old]]) if len(at) else Counter()
-    ports = np.zeros(len(at))
-    begin = int(low[0]) if len(at) else 0
-    for i, (position, first) in enumerate(zip(at, low)):
-        while begin < first:
-            if has_port[begin]:
-                in_frame[port[begin]] -= 1
-                if in_frame[port[begin]] == 0:
-                    del in_frame[port[begin]]
-            begin += 1
-        if has_port[position]:
-            in_frame[port[position]] += 1
-        ports[i] = len(in_frame)
+    ports = distinct_in_frames(port, history)[at]
     some = (length > 0).astype(float)
     return pd.DataFrame(
         {
@@ -151,7 +164,7 @@ def frame_features(ring: dict[str, np.ndarray], old: int, history: int) -> pd.Da
 
 
 def feature_rows(
-    history: int, cap: int, min_packets: int, common: tuple[int, ...], ttl_ms: int | None, columns: list[str]
+    history: int, cap: int | None, min_packets: int, common: tuple[int, ...], ttl_ms: int | None, columns: list[str]
 ) -> Callable[[Any, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
     """The 18 features of a source at each packet, with its last ``history`` packets as state."""
 
@@ -164,7 +177,7 @@ def feature_rows(
         seen, first_us, nbytes, tcp, udp, icmp, kept = 0, None, 0, 0, 0, 0, [[]] * len(RING_COLUMNS)
         if state.exists:
             seen, first_us, nbytes, tcp, udp, icmp, *kept = state.get
-        rows, _, newest = earliest(chunks, ["t_us", "packet_id"], cap - seen)
+        rows, _, newest = earliest(chunks, ["t_us", "packet_id"], None if cap is None else cap - seen)
         expire(state, newest, ttl_ms)
         if rows is None:
             return

@@ -38,7 +38,7 @@ def test_store(spark, tmp_path):
     assert ids() == [5, 4, 3, 2, 1]
     assert ids(start=NOW + timedelta(minutes=1), end=NOW + timedelta(minutes=61)) == [3, 2]
     assert ids(limit=2) == [5, 4]
-    plan = store.load_alerts(spark, path, start=NOW)._jdf.queryExecution().executedPlan().toString()
+    plan = store.load_alerts(spark, path, start=NOW, limit=2)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "PartitionFilters: [isnotnull(date" in plan
     assert "GreaterThanOrEqual(ts" in plan
 
@@ -121,7 +121,10 @@ def test_histogram(spark):
     got = {r.bin: r.alerts for r in an.score_histogram(table(spark, rows)).collect()}
     assert sum(got.values()) == 61 and max(got) == 29 and min(got) == 0
     same = an.score_histogram(table(spark, [alert(1, 0, "1.1.1.1", "ML", -0.5)] * 3)).collect()
-    assert [(r.bin, r.alerts) for r in same] == [(0, 3)]
+    assert sorted((r.bin, r.alerts) for r in same) == [(0, 3)] + [(i, 0) for i in range(1, 30)]
+    two = an.score_histogram(table(spark, [alert(i, 0, "1.1.1.1", "ML", -i / 2) for i in (0, 1)])).collect()
+    assert {r.bin: r.alerts for r in two} == {i: int(i in (0, 29)) for i in range(30)}
+    assert an.score_histogram(table(spark, [])).count() == 0
 
 
 def test_export(spark, tmp_path):

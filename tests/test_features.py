@@ -87,10 +87,29 @@ def test_running_against_brute_force(spark, history, part_rows):
         assert_close(row, brute(mine, mine[-1][1], history))
 
 
+def test_gaps_of_years(spark):
+    ten_years = 10 * 365 * 86_400
+    rows = [packet(i, i + (ten_years if i > 15 else 0), "1.1.1.1") for i in range(40)]
+    sequenced = ordering.running_count(describe_payload(packets_df(spark, rows)))
+    got = feat.running_features(sequenced, 1000).collect()
+    assert len(got) == 31
+    for row in got:
+        mine = rows[: row.seq]
+        assert row.inter_arrival_std == pytest.approx(brute(mine, mine[-1][1], 1000)["inter_arrival_std"], rel=1e-9)
+
+
+def test_null_sources_are_a_source(spark):
+    rows = [packet(i, i, None if i % 2 else "1.1.1.1") for i in range(20)]
+    got = ordering.running_count(packets_df(spark, rows)).collect()
+    assert sorted((r.packet_id, r.seq) for r in got) == [(i, i // 2 + 1) for i in range(20)]
+    described = describe_payload(packets_df(spark, rows))
+    assert feat.snapshot_features(described.withColumn("payload", F.lit(None).cast("binary")), 100).count() == 2
+
+
 def test_protocol_mix_and_too_few(spark):
     rows = [packet(0, 0, "1.1.1.1", "TCP", 80), packet(1, 1, "1.1.1.1", "TCP", 443)]
     rows += [packet(2, 2, "1.1.1.1", "UDP", 53), packet(3, 3, "1.1.1.1", "ICMP", None), packet(4, 4, "2.2.2.2")]
-    got = feat.snapshot_features(packets_df(spark, rows)).collect()
+    got = feat.snapshot_features(packets_df(spark, rows), 1000).collect()
     assert len(got) == 1
     assert (got[0].tcp_ratio, got[0].udp_ratio, got[0].icmp_ratio) == (0.5, 0.25, 0.25)
     assert got[0].unique_ports == 3 and got[0].uncommon_port_ratio == 0
@@ -116,13 +135,13 @@ def test_take_per_source_first_and_newest(spark):
 
 def test_no_window_over_a_whole_source(spark):
     """History is picked by a limit inside Spark before the shuffle, and again per salt."""
-    plan = feat.snapshot_features(packets_df(spark, random_packets(n=50)))._jdf.queryExecution().executedPlan().toString()
+    plan = feat.snapshot_features(packets_df(spark, random_packets(n=50)), 1000)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 3
 
 
 def test_as_of_in_the_future(spark):
     rows = [packet(i, i, "1.1.1.1") for i in range(5)]
-    got = feat.snapshot_features(packets_df(spark, rows), as_of_us=T0 + 100_000_000).first()
+    got = feat.snapshot_features(packets_df(spark, rows), 1000, as_of_us=T0 + 100_000_000).first()
     assert got.session_duration == 100.0 and got.burst_rate == 0.0
     assert math.isclose(got.packets_per_second, 0.05)
     assert got.inter_arrival_mean == 1.0 and got.inter_arrival_std == 0.0

@@ -153,7 +153,8 @@ def test_csv_rules(spark, tmp_path):
         training_csv.read_training_csv(spark, f"{tmp_path}/none.csv")
     (tmp_path / "wide.csv").write_text(",".join(f"c{i}" for i in range(51)) + "\n" + ",".join(["1"] * 51) + "\n")
     with pytest.raises(ValueError, match="too many columns"):
-        training_csv.read_training_csv(spark, f"{tmp_path}/wide.csv")
+        training_csv.read_training_csv(spark, f"{tmp_path}/wide.csv", max_cols=50)
+    assert training_csv.read_training_csv(spark, f"{tmp_path}/wide.csv").count() == 1
     (tmp_path / "empty.csv").write_text("a,b\n")
     with pytest.raises(ValueError, match="no rows"):
         training_csv.read_training_csv(spark, f"{tmp_path}/empty.csv")
