@@ -23,7 +23,6 @@ _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -115,8 +114,9 @@ def chains(values: np.ndarray, size: int) -> np.ndarray:
 def give_back() -> None:
     """Return freed memory to the system: workers live on between tasks and stages, beside the JVM."""
     pa.default_memory_pool().release_unused()
-    if _TRIM is not None:
-        _TRIM(0)
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def slices(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
