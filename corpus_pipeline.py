@@ -10,13 +10,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quietwire.llm import jaccard, kneser_ney, line_dedup, mixing, packing
-from quietwire.llm.common import kept
+from quietwire.llm.common import bounded_batches, kept
 
 ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that read like the trusted ones; rejected documents go."""
+    bounded_batches(spark)
     return kneser_ney.accepted_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -25,6 +26,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ``n_chars``, where there is one, follows the text.
     """
+    bounded_batches(spark)
     out = line_dedup.without_repeats(docs)
     empty = ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     out = out.where(~((F.col("lines_dropped") > 0) & empty) | F.col("text").isNull())
@@ -37,6 +39,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, Jaccard 0.8 or more)."""
+    bounded_batches(spark)
     return jaccard.one_of_each(docs)
 
 
@@ -47,6 +50,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents and their places in sequences."""
+    bounded_batches(spark)
     pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from quietwire.scratch import pin
 
@@ -145,6 +145,15 @@ def slices(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray,
     give_back()
 
 
+def bounded_batches(spark: SparkSession, megabytes: int = 4) -> None:
+    """Set-up of a job: texts go to Python workers in batches of at most so many MB.
+
+    Spark's own bound counts rows (10,000) first, which is a lot of memory, once in the JVM and twice in Python, where rows are
+    whole texts. Results don't depend on it. Operators don't call this; queries and pipeline stages do.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared scratch folder and read back; survives lost executors."""
     return pin(df, f"llm-{name}")

@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quietwire.llm import chat, jaccard, kneser_ney, line_dedup, mixing, packing, spotsigs, suffix_tree, topk, toxicity
+from quietwire.llm.common import bounded_batches
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
