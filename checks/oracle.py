@@ -420,6 +420,16 @@ WHERE n IS NULL OR NOT EXISTS (SELECT 1 FROM nets WHERE w.n BETWEEN lo AND hi)""
   CASE WHEN n IS NULL THEN '<invalid_ip>' ELSE ip END AS safe, {category('ip')} AS category
   FROM (SELECT *, {ip_number('ip')} AS n FROM wip)"""
     )
+    out["ipv6_functions"] = """
+WITH t AS (SELECT l_orderkey, l_linenumber, l_orderkey % 10 <> 0 AS ok, CASE l_linenumber WHEN 1 THEN '::1'
+  WHEN 2 THEN 'fe80::' || hex(l_partkey) WHEN 3 THEN '2001:db8::' || hex(l_partkey) || ':1' WHEN 4 THEN 'FF02::' || hex(l_partkey)
+  WHEN 5 THEN '2606:4700:0:0:0:0:0:' || hex(l_partkey) WHEN 6 THEN '::ffff:10.0.0.' || CAST(l_partkey % 256 AS VARCHAR)
+  ELSE '4000::' || hex(l_partkey) END AS x FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN ok THEN x ELSE x || ':::' END AS ip, ok AS is_ipv6,
+  CASE WHEN ok THEN x ELSE '<invalid_ip>' END AS safe,
+  CASE WHEN NOT ok THEN 'Unknown/Invalid' WHEN l_linenumber = 1 THEN 'Localhost (Loopback)' WHEN l_linenumber IN (2, 3, 6) THEN 'Local Network (Private)'
+    WHEN l_linenumber = 4 THEN 'Multicast' WHEN l_linenumber = 5 THEN 'Public Internet' ELSE 'Reserved' END AS category,
+  ok AND l_linenumber NOT IN (1, 2) AS usable FROM t"""
     out["byte_entropy_packets"] = q("SELECT packet_id, round(entropy, 6) AS entropy FROM des")
     out["byte_entropy_documents"] = (
         f"WITH e AS ({byte_entropy('documents', 'doc_id', 'text')}) "

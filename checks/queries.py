@@ -368,6 +368,29 @@ def ip_functions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def ipv6_functions(spark: SparkSession, folder: str) -> DataFrame:
+    """IPv6 texts of every kind, made from the line items; each tenth order has broken ones."""
+    h, n = F.hex("l_partkey"), F.col("l_linenumber")
+    text = (
+        F.when(n == 1, F.lit("::1"))
+        .when(n == 2, F.concat(F.lit("fe80::"), h))
+        .when(n == 3, F.concat(F.lit("2001:db8::"), h, F.lit(":1")))
+        .when(n == 4, F.concat(F.lit("FF02::"), h))
+        .when(n == 5, F.concat(F.lit("2606:4700:0:0:0:0:0:"), h))
+        .when(n == 6, F.concat(F.lit("::ffff:10.0.0."), (F.col("l_partkey") % 256).cast("string")))
+        .otherwise(F.concat(F.lit("4000::"), h))
+    )
+    ip = F.when(F.col("l_orderkey") % 10 == 0, F.concat(text, F.lit(":::"))).otherwise(text)
+    rows = _table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", ip.alias("ip"))
+    return rows.select(
+        "*",
+        ipf.is_ipv6(F.col("ip")).alias("is_ipv6"),
+        ipf.safe_ip(F.col("ip")).alias("safe"),
+        ipf.ip_category(F.col("ip")).alias("category"),
+        flt.usable_label(F.col("ip")).alias("usable"),
+    )
+
+
 def outside_networks(spark: SparkSession, folder: str) -> DataFrame:
     nets = ["10.0.0.0/8", "192.168.0.0/16", "8.8.8.0/24", "0.0.0.0/8", "10.0.0.1/8", "no network"]
     subnets = spark.createDataFrame([(n,) for n in nets], "cidr string")
@@ -564,6 +587,7 @@ def registered() -> dict[str, Query]:
         "known_ips_table": lambda s, d: an.known_ips_table(_alerts(s, d)),
         "outside_networks": outside_networks,
         "ip_functions": ip_functions,
+        "ipv6_functions": ipv6_functions,
         "byte_entropy_packets": lambda s, d: packets(s, d).select(
             "packet_id", F.round(pay.byte_entropy(F.col("payload")), 6).alias("entropy")
         ),

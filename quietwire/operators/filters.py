@@ -12,9 +12,12 @@ from quietwire.operators.ordering import running_totals, take_per_source
 
 
 def valid_source(ip: Column, trusted: Sequence[str] = TRUSTED_SUBNETS, parse_only: bool = False) -> Column:
+    """An IPv4 or IPv6 address; unless ``parse_only``, outside loopback, link-local and trusted networks."""
     if parse_only:
-        return ipf.is_ipv4(ip)
-    return ipf.is_ipv4(ip) & ~ipf.in_networks(ip, (*ipf.LOOPBACK, *ipf.LINK_LOCAL, *trusted))
+        return ipf.is_ip(ip)
+    out4 = ipf.is_ipv4(ip) & ~ipf.in_networks(ip, (*ipf.LOOPBACK, *ipf.LINK_LOCAL, *trusted))
+    out6 = ipf.is_ipv6(ip) & ~ipf.in_networks6(ip, (*ipf.LOOPBACK6, *ipf.LINK_LOCAL6, *trusted))
+    return F.when(F.contains(ip, F.lit(":")), out6).otherwise(out4)
 
 
 def valid_sources(

@@ -10,7 +10,7 @@ from quietwire.functions import ip as ipf
 from quietwire.operators import filters as flt, lookups as look
 from tests.conftest import packet, packets_df
 
-ODD = ["0.0.0.0", "256.1.1.1", "1.2.3", "01.2.3.4", "1.2.3.4 ", "1.2.3.4\n", "", "abc", None, "::1", "192.0.0.9", "192.0.0.170", "172.32.0.1", "172.31.255.255", "8.8.8.8", "224.0.0.1", "240.0.0.1", "255.255.255.255", "192.168.65.1", "198.19.3.3"]
+ODD = ["0.0.0.0", "256.1.1.1", "1.2.3", "01.2.3.4", "1.2.3.4 ", "1.2.3.4\n", "", "abc", None, "192.0.0.9", "192.0.0.170", "172.32.0.1", "172.31.255.255", "8.8.8.8", "224.0.0.1", "240.0.0.1", "255.255.255.255", "192.168.65.1", "198.19.3.3"]
 
 
 def addresses() -> list[str | None]:
@@ -78,3 +78,28 @@ def test_label_training_ips(spark):
     rows = [packet(i, 0, ip) for i, ip in enumerate(ips)]
     got = flt.label_training_ips(packets_df(spark, rows)).orderBy("packet_id").collect()
     assert [r.label for r in got] == ["10.0.0.1", "invalid_ip_0", "invalid_ip_1", "8.8.8.8", "invalid_ip_2", "invalid_ip_3"]
+
+
+def test_ipv6_against_the_standard_library(spark):
+    rng = random.Random(6)
+    cases = ["::", "::1", "::1%eth0", "1:2:3:4:5:6:7::", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8:9", "::g", ":::", "1::2::3", "::1.2.3.4"]
+    cases += ["::ffff:127.0.0.1", "::ffff:10.0.0.1", "::ffff:8.8.8.8", "1:2:3:4:5:6:1.2.3.4", "fe80::1", "ff02::1", "::1%", "12345::"]
+    cases += ["2001:3::1", "2001:20::1", "2001:1::1", "2001:db8::", "fd00::1", "4000::1", "64:ff9b:1::1", "100::1", "::256.1.1.1", None, "1:"]
+    for _ in range(400):
+        number = rng.getrandbits(128) >> rng.choice([0, 0, 0, 64, 100])
+        cases.append(rng.choice([str, lambda a: a.exploded])(ipaddress.IPv6Address(number)))
+
+    def want(text):
+        try:
+            a = ipaddress.IPv6Address(text)
+        except ValueError:
+            return (False, "Unknown/Invalid")
+        a = a.ipv4_mapped or a
+        known = dict(C.KNOWN_IPS).get(str(text))
+        kinds = ((a.is_loopback, "Localhost (Loopback)"), (a.is_private, "Local Network (Private)"), (a.is_multicast, "Multicast"), (a.is_reserved, "Reserved"))
+        return (True, known or next((name for yes, name in kinds if yes), "Public Internet"))
+
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, ip string")
+    got = {r.i: (r.v, r.c) for r in df.select("i", ipf.is_ipv6(F.col("ip")).alias("v"), ipf.ip_category(F.col("ip")).alias("c")).collect()}
+    skip = {i for i, c in enumerate(cases) if c and c.lower().startswith(("3fff", "2002"))}  # differ between library versions
+    assert {i: got[i] for i in got if i not in skip} == {i: want(c) for i, c in enumerate(cases) if i not in skip}
