@@ -113,14 +113,15 @@ def chains(values: np.ndarray, size: int) -> np.ndarray:
 
 def give_back() -> None:
     """Return freed memory to the system: workers live on between tasks and stages, beside the JVM."""
+    _POWERS.clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
 
 
-def slices(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Pieces of a text column: index of the first text, bytes, and bounds of the texts in them.
+def slices(texts: pa.Array | pa.ChunkedArray, size: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Pieces of a text column, of about ``size`` bytes: index of the first text, bytes, and bounds of the texts in them.
 
     A null text is empty.
     """
@@ -137,7 +138,7 @@ def slices(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray,
     data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
     at = 0
     while at < len(texts):
-        to = int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, side="right")) - 1
+        to = int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1
         to = min(max(to, at + 1), len(texts))
         bounds = offsets[at : to + 1]
         yield at, data[bounds[0] : bounds[-1]], bounds - bounds[0]

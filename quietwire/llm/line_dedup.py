@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quietwire.llm.common import Words, kept, mix, powers, slices
+from quietwire.llm.common import Words, give_back, kept, mix, powers, slices
 from quietwire.llm.sketches import in_sketch
 
 LEAST_WORDS = 5
@@ -28,6 +28,9 @@ LEAST_WORDS = 5
 VARIANT_ROWS = 100_000
 """Variants in one Arrow batch, about; a longer line is a batch."""
 
+LINE_BYTES = 200_000
+"""Texts are cut into lines in slices of about so many bytes: several workers serve a task here."""
+
 _SECOND = np.uint64(0xA24BAED4963EE407)
 
 
@@ -113,7 +116,7 @@ def _lines(documents: DataFrame, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, data, bounds in slices(batch.column("text")):
+            for at, data, bounds in slices(batch.column("text"), LINE_BYTES):
                 found = Lines(Words(data, bounds), least)
                 halves = found.halves()
                 n = len(found.first)
@@ -136,7 +139,7 @@ def _word_rows(documents: DataFrame, wanted: DataFrame, least: int) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, data, bounds in slices(batch.column("text")):
+            for at, data, bounds in slices(batch.column("text"), LINE_BYTES):
                 found = Lines(Words(data, bounds), least)
                 spans = zip(found.first.tolist(), found.last.tolist(), strict=True)
                 yield pa.record_batch(
@@ -171,6 +174,8 @@ def _variant_rows(lines: DataFrame) -> DataFrame:
                     parts, size = [], 0
             if parts:
                 yield batch_of(batch, parts)
+            parts = []
+            give_back()
 
     def batch_of(batch: pa.RecordBatch, parts: list[tuple]) -> pa.RecordBatch:
         rows, hashes, sizes, places = (np.concatenate(c) for c in zip(*parts, strict=True))
@@ -301,6 +306,8 @@ def without_repeats(documents: DataFrame, least_words: int = LEAST_WORDS) -> Dat
                 [*keep.columns, pa.array(counts, pa.int64()), near.cast(pa.int64())],
                 names=[*keep.schema.names, "lines_dropped", "lines_near"],
             )
+            del texts, out, keep
+            give_back()
 
     changed = some.mapInArrow(run, f"{fields}, lines_dropped long, lines_near long")
     return changed.unionByName(rest)

@@ -10,6 +10,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quietwire.llm.common import give_back
+
 SLICES = 64
 BLOOM_BITS = 1 << 24
 
@@ -51,6 +53,8 @@ def in_sketch(rows: DataFrame, *columns: str) -> Column:
         for batch in batches:
             bits[batch.column(0).to_numpy() % BLOOM_BITS] = True
         yield parts(np.packbits(bits))
+        del bits
+        give_back()
 
     found = merged(rows.select(spread.alias("x")).mapInArrow(run, "part int, counts binary"), add=False)
     bits = rows.sparkSession.sparkContext.broadcast(found)
