@@ -91,7 +91,7 @@ def mix_sources(
     Input: ``doc_id, text, source`` and any other columns (``quality`` may use them). Returns
     ``doc_id, source, size, source_size, target, taken, copies`` for every input row.
 
-    A null text has size 0 and is never taken; a null source is a source; a null id draws the key
+    A null text has size 0 and is never taken; a null source is a source; a source without words has a target of 0; a null id draws the key
     of an empty id. Repeated rows are separate documents (equal keys, so they stand side by side).
     No rows give no rows. Runs jobs: the sizes are written once to the shared folder.
     """
@@ -109,7 +109,7 @@ def mix_sources(
     bins = base.groupBy("source", "bin").agg(F.sum("size").alias("words"))
     targets = source_targets(
         bins.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most_epochs
-    ).withColumn("epochs", F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0))).withColumn(
+    ).withColumn("epochs", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0))).withColumn(
         "rest", F.coalesce(F.col("target") - F.col("epochs") * F.col("source_size"), F.lit(0.0))
     )
     upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)

@@ -428,3 +428,11 @@ def test_pipeline_stages(spark, odd_documents):
         assert name == "sequences" or out.columns == rows.columns
         rows = out
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_mixing_with_sources_without_words(spark):
+    rows = [(1, "a", "x y z"), (2, "a", None), (3, "b", None), (4, "b", ""), (5, None, " "), (6, "c", "1 2 3 4")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    found = {r.doc_id: (r.target, r.taken) for r in mixing.mix_sources(docs).collect()}
+    assert found == {1: (6.0, 6), 2: (6.0, 0), 3: (0.0, 0), 4: (0.0, 0), 5: (0.0, 0), 6: (4.5, 4)}
+    assert sorted(r.doc_id for r in mixing.mixed_documents(docs).collect()) == [1, 1, 6]
