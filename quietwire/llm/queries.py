@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quietwire.llm import chat, jaccard, kneser_ney, line_dedup, mixing, packing, pii, spotsigs, suffix_tree, topk, toxicity
+from quietwire.llm import chat, jaccard, kneser_ney, line_dedup, merkle, mixing, packing, pii, spotsigs, suffix_tree, topk, toxicity
 from quietwire.llm.common import bounded_batches
 
 
@@ -80,6 +80,10 @@ def op10_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digest_chats(chat.format_chats(given.unionByName(own), ranks, pattern), ranks, pattern)
 
 
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.manifest(table(spark, folder, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+
+
 def op13_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digest(pii.find_spans(table(spark, folder, "documents").select("doc_id", "text")))
 
@@ -96,9 +100,15 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_tree": op8_suffix_tree,
         "op9_fingerprints": op9_fingerprints,
         "op10_chat_formatting": op10_chat_formatting,
+        "op12_merkle_manifest": op12_merkle_manifest,
         "op13_pii": op13_pii,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_top_k": topk.TOP_K_SQL, "op7_mixing": mixing.MIXING_SQL, "op13_pii": pii.PII_SQL}
+    return {
+        "op2_exact_top_k": topk.TOP_K_SQL,
+        "op7_mixing": mixing.MIXING_SQL,
+        "op12_merkle_manifest": merkle.MANIFEST_SQL,
+        "op13_pii": pii.PII_SQL,
+    }
