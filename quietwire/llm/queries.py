@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quietwire.llm import chat, jaccard, kneser_ney, line_dedup, merkle, mixing, packing, pii, spotsigs, suffix_tree, topk, toxicity
+from quietwire.llm import chat, crosstok, jaccard, kneser_ney, line_dedup, merkle, mixing, packing, pii, spotsigs
+from quietwire.llm import suffix_tree, topk, toxicity
 from quietwire.llm.common import bounded_batches
 
 
@@ -80,6 +81,11 @@ def op10_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digest_chats(chat.format_chats(given.unionByName(own), ranks, pattern), ranks, pattern)
 
 
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return crosstok.align_documents(table(spark, folder, "documents"), a, b)
+
+
 def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.manifest(table(spark, folder, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
 
@@ -100,6 +106,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_tree": op8_suffix_tree,
         "op9_fingerprints": op9_fingerprints,
         "op10_chat_formatting": op10_chat_formatting,
+        "op11_token_alignment": op11_token_alignment,
         "op12_merkle_manifest": op12_merkle_manifest,
         "op13_pii": op13_pii,
     }
