@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +141,67 @@ def test_limiter_against_brute_force(spark, seed, chunk_s):
     assert {r.packet_id for r in got.collect()} == brute_limit(rows)
 
 
+@pytest.mark.parametrize(("fanout", "most"), [(2, 3), (3, 1), (2, 5), (32, 2)])
+def test_transition_tables_compose(fanout, most):
+    """Tables, composition and walk by themselves, against a plain fold: many chunks, bursts, gaps and equal times."""
+    for seed in range(60):
+        rng = random.Random(seed)
+        t, times = 0, []
+        for _ in range(rng.randint(1, 250)):
+            t += rng.choice([0, 0, 1, 1, 2, 5, 9, 30]) if rng.random() < 0.8 else rng.randint(0, 20)
+            times.append(t)
+        cooldown = rng.choice([3, 10, 40])
+        times = np.array(times, dtype=np.int64)
+        cuts = sorted(rng.sample(range(len(times)), min(len(times) - 1, rng.randint(0, 12))) + [0])
+        chunks = [c for c in np.split(times, cuts) if len(c)]
+        tables, before = [], lim.NEVER
+        for c in chunks:
+            tables.append(lim.transition_table(c, before, cooldown, most, most * 3))
+            before = int(c[-1])
+        kept: list[int] = []
+        state = np.full((1, most), lim.NEVER, dtype=np.int64)
+        for c, table in zip(chunks, tables, strict=True):
+            assert [x for x in state[0].tolist() if x > lim.NEVER] == kept
+            total, new = lim.through(state, table, cooldown, most)
+            state = lim._newest(total, new, state[:, ::-1], most)[:, ::-1]
+            assert int(total[0]) == len(lim.kept_positions(c, kept, cooldown, most))
+        for start in range(len(chunks)):
+            run = chunks[start : start + fanout]
+            before = int(chunks[start - 1][-1]) if start else lim.NEVER
+            found = lim.composed(tables[start], tables[start + 1 : start + fanout], before, cooldown, most)
+            whole = lim.transition_table(np.concatenate(run), before, cooldown, most, 2 * most)
+            assert all((x == y).all() for x, y in zip(found, whole, strict=True))
+
+
+@pytest.mark.parametrize(("chunk_s", "seed"), [(60, 3), (7, 4)])
+def test_limiter_composes_levels_of_tables(spark, monkeypatch, chunk_s, seed):
+    monkeypatch.setattr(lim, "FANOUT", 2)
+    rng, rows, t = random.Random(seed), [], 0.0
+    for i in range(1500):
+        t += rng.choice([0, 0.5, 1, 3]) if rng.random() < 0.97 else rng.choice([50, 61, 300])
+        rows.append((i, t, rng.choice(["10.0.0.1", "10.0.0.1", None]), rng.choice(["RULE", "ML"])))
+    rounds: list[str] = []
+    got = lim.limit_alerts(candidates(spark, rows), chunk_s=chunk_s, rounds=rounds)
+    assert {r.packet_id for r in got.collect()} == brute_limit(rows)
+    assert rounds.count("compose") >= 2 and rounds.count("walk") == rounds.count("compose") + 1
+
+
+@pytest.mark.parametrize(("every_us", "jitter_us"), [(1_000_000, 1), (1_500_000, 1_400_000)])
+def test_a_key_busy_for_a_week_takes_few_rounds(spark, every_us, jitter_us):
+    rows = spark.range(7 * 86_400_000_000 // every_us).selectExpr(
+        "id AS packet_id",
+        f"{T0} + id * {every_us} + pmod(xxhash64(id), {jitter_us}) AS t_us",
+        "'10.0.0.1' AS src_ip",
+        "'RULE' AS alert_type",
+        "3 AS rule_seq",
+    )
+    rounds: list[str] = []
+    got = [r.t_us for r in lim.limit_alerts(rows, rounds=rounds).select("t_us").orderBy("t_us").collect()]
+    times = np.sort(np.array([r[0] for r in rows.select("t_us").collect()]))
+    want = times[lim.kept_positions(times, [], 60_000_000, 3)].tolist()
+    assert got == want and 0 < len(rounds) <= 10
+
+
 def test_limiter_across_arrow_batches(spark):
     rows = [(i, i * 0.7, "10.0.0.1", "RULE") for i in range(2000)]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
