@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from checks.event_packets import packet_sql
+from checks.forest_sql import forest_ctes, offset_cte, score_ctes, stats_select
 from quietwire import config as C
 
 # Written anew here, so that an error in the library's patterns shows.
@@ -493,7 +494,35 @@ SELECT l_orderkey, l_linenumber, CASE WHEN ok THEN x ELSE x || ':::' END AS ip,
   round(CAST(count(*) FILTER (WHERE score < -0.3) AS DOUBLE) / count(*), 6) AS anomaly_rate, round(avg(score), 6) AS score_mean,
   round(stddev_pop(score), 6) AS score_std, round(min(score), 6) AS score_min, round(max(score), 6) AS score_max FROM mlc"""
     )
+    matrix = (running_sql(100), forest_ctes("runf", "packet_id"))
+    out["forest_sample"] = q("SELECT tree, k AS packet_id FROM fs", *matrix)
+    out["forest_trees"] = q("SELECT * REPLACE (round(threshold, 6) AS threshold) FROM ft", *matrix)
+    out["forest_scores"] = q(
+        """SELECT src_ip, packet_id, round(score, 6) AS anomaly_score, CAST(CASE WHEN score < cut THEN -1 ELSE 1 END AS INT) AS prediction
+  FROM fv JOIN runf ON packet_id = k, fo""",
+        *matrix,
+        score_ctes("runf", "packet_id"),
+        offset_cte(),
+    )
+    sources = (snapshot_sql(1000, "pl"), forest_ctes("feat", "src_ip"))
+    own = (*sources, score_ctes("feat", "src_ip"))
+    out["training_stats"] = q(stats_select(), *own, offset_cte(contamination=0.1))
+    out["stored_model"] = q(stats_select(features=False), *own, offset_cte())
+    scored = (*sources, running_sql(1000), score_ctes("runf", "packet_id"))
+    out["detection_with_model"] = q(
+        """SELECT t_us // 1000000 AS ts_s, packet_id, src_ip AS ip_address, rule,
+  CASE WHEN alert_type IN ('RULE', 'ML') THEN alert_type ELSE 'UNKNOWN' END AS stored_type, 0.0::DOUBLE AS anomaly_score FROM lim
+UNION ALL SELECT t_us // 1000000, packet_id, src_ip, 'ml', 'ML', round(score, 6) FROM fv JOIN runf ON packet_id = k""",
+        *scored,
+        """
+all_m AS (SELECT packet_id, t_us, src_ip, rule, rule_seq, alert_type FROM cand
+  UNION ALL SELECT packet_id, t_us, src_ip, 'ml', 0, 'ML' FROM runf)""",
+        limiter_ctes("all_m", "lim"),
+    )
     # Streams must give what the batch gives.
+    out["stream_ml_alerts"] = q(
+        "SELECT packet_id, src_ip, CAST(seq AS BIGINT) AS seq, round(score, 6) AS score FROM fv JOIN runf ON packet_id = k", *scored
+    )
     out["stream_rules"] = q(f"SELECT {CAND_OUT} FROM cand WHERE rule IN ('uncommon_port', 'large_payload', 'malicious_payload')")
     out["stream_alert_sink"] = q(
         """SELECT t_us // 1000000 AS ts_s, packet_id, src_ip AS ip_address, rule, 'RULE' AS stored_type FROM cand

@@ -255,7 +255,8 @@ def detection_with_model(spark: SparkSession, folder: str) -> DataFrame:
     packets = packets_from_events(spark, folder)
     forest = training.train(training.training_features(packets)).forest
     alerts = detection.detect(packets, forest)
-    return _seconds(alerts.select("ts", "packet_id", "ip_address", "rule", "stored_type", "anomaly_score"))
+    score = F.round("anomaly_score", 6).alias("anomaly_score")
+    return _seconds(alerts.select("ts", "packet_id", "ip_address", "rule", "stored_type", score))
 
 
 # -- features ------------------------------------------------------------------------------------
@@ -328,16 +329,21 @@ def forest_sample(spark: SparkSession, folder: str) -> DataFrame:
 def forest_trees(spark: SparkSession, folder: str) -> DataFrame:
     features = _event_matrix(spark, folder)
     scaler = fo.fit_scaler(features)
-    return fo.fit_trees(fo.scale(features, scaler), scaler.n_rows, key="packet_id")
+    trees = fo.fit_trees(fo.scale(features, scaler), scaler.n_rows, key="packet_id")
+    return trees.withColumn("threshold", F.round("threshold", 6))
 
 
 def forest_scores(spark: SparkSession, folder: str) -> DataFrame:
     trained = training.train(_event_matrix(spark, folder), key="packet_id")
-    return trained.scored.select("src_ip", "packet_id", "anomaly_score", "prediction")
+    return trained.scored.select("src_ip", "packet_id", F.round("anomaly_score", 6).alias("anomaly_score"), "prediction")
+
+
+def _six(stats: DataFrame) -> DataFrame:
+    return stats.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in stats.dtypes])
 
 
 def training_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return training.train(_training(spark, folder), ForestConfig(contamination=0.1)).stats
+    return _six(training.train(_training(spark, folder), ForestConfig(contamination=0.1)).stats)
 
 
 def stored_model(spark: SparkSession, folder: str) -> DataFrame:
@@ -345,7 +351,7 @@ def stored_model(spark: SparkSession, folder: str) -> DataFrame:
     trained = training.train_and_save(packets_from_events(spark, folder), path, 1)
     models.save_forest(trained.forest, path, 2)
     loaded = models.load_forest(spark, path)
-    return fo.validate_model(loaded, _training(spark, folder))
+    return _six(fo.validate_model(loaded, _training(spark, folder)))
 
 
 def pca_2d(spark: SparkSession, folder: str) -> DataFrame:
@@ -475,7 +481,7 @@ def stream_ml_alerts(spark: SparkSession, folder: str) -> DataFrame:
     features = st.running_features(_packet_stream(spark, folder))
     st.write_ml_candidates(features, forest, path, new_folder(spark, "ml-checkpoint")).awaitTermination()
     found = spark.read.parquet(path)
-    return found.select("packet_id", "src_ip", "seq", "score")
+    return found.select("packet_id", "src_ip", "seq", F.round("score", 6).alias("score"))
 
 
 def stream_alert_sink(spark: SparkSession, folder: str) -> DataFrame:

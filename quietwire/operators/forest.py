@@ -1,5 +1,9 @@
 """Isolation forest on Spark (Liu, Ting, Zhou 2008): sampling, trees, scores.
 
+Every random number is the MD5 of the seed and of what it is drawn for (a row, or a node of a tree), and values are
+compared in steps of 1e-9 deviations. The same rows and seed give the same forest whatever the
+partitioning, the order of the rows and the rounding of sums, and another engine can repeat it.
+
 Each tree sees at most ``max_samples`` rows, so sampling is a filter on a hash of the row and only
 the sampled rows are shuffled. A forest is a table of at most ``n_trees * (2 * max_samples - 1)``
 nodes, small enough to travel with the scoring function.
@@ -7,6 +11,7 @@ nodes, small enough to travel with the scoring function.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -24,7 +29,11 @@ from quietwire.schemas import TREES
 
 EULER = 0.5772156649
 EPSILON = 2.220446049250313e-16
-_HASH_RANGE = 1 << 31
+DRAWS = (1 << 52) - 47
+"""A prime: numbers drawn by a row for its trees are pairwise independent modulo it."""
+
+STEPS = 1e9
+SCORE_STEPS = 1e12
 _ROWS_AT_ONCE = 1024
 
 
@@ -90,8 +99,10 @@ def fit_scaler(features: DataFrame, names: Sequence[str] = FEATURE_NAMES) -> Sca
 
 
 def scale(features: DataFrame, scaler: Scaler) -> DataFrame:
+    """Features in deviations from their mean, in steps of ``1 / STEPS``."""
+    steps = lambda n, m, s: F.floor((F.col(n) - F.lit(m)) / F.lit(s) * STEPS + 0.5).cast("double") / STEPS
     return features.withColumns(
-        {n: (F.col(n) - F.lit(m)) / F.lit(s) for n, m, s in zip(scaler.names, scaler.mean, scaler.scale)}
+        {n: steps(n, m, s) for n, m, s in zip(scaler.names, scaler.mean, scaler.scale)}
     )
 
 
@@ -100,20 +111,23 @@ def sample_for_trees(
 ) -> DataFrame:
     """``min(max_samples, n_rows)`` distinct rows per tree, the same for the same seed.
 
-    Every row draws a number per tree from a hash; only draws under a threshold that lets half as
-    many again through are kept and ranked. ``key`` must identify a row.
+    A row's MD5 with the seed gives two numbers a and b; its draw for tree t is ``a + b * (t + 1)`` modulo a prime. Only
+    draws under a threshold that lets half as many again through are kept and ranked. ``key`` must identify a row.
     """
     size = min(cfg.max_samples, n_rows)
-    threshold = min(_HASH_RANGE, math.ceil(1.5 * size / max(n_rows, 1) * _HASH_RANGE))
-    draw = lambda tree: F.pmod(F.xxhash64(F.col(key), tree, F.lit(cfg.seed)), F.lit(_HASH_RANGE))
+    threshold = min(DRAWS, math.ceil(1.5 * size / max(n_rows, 1) * DRAWS))
+    digest = F.md5(F.concat(F.lit(f"{cfg.seed}:"), F.col(key).cast("string")))
+    number = lambda at: F.conv(F.substring("_md5", at, 13), 16, 10).cast("bigint")
+    drawn = features.withColumn("_md5", digest).withColumns({"_a": number(1), "_b": number(14)})
+    draw = lambda tree: F.pmod(F.col("_a") + F.col("_b") * (tree + 1), F.lit(DRAWS))
     trees = F.filter(F.sequence(F.lit(0), F.lit(cfg.n_trees - 1)), lambda t: draw(t) < threshold)
     ranked = Window.partitionBy("tree").orderBy("_draw", key)
     return (
-        features.withColumn("tree", F.explode(trees))
+        drawn.withColumn("tree", F.explode(trees))
         .withColumn("_draw", draw(F.col("tree")))
         .withColumn("_rank", F.row_number().over(ranked))
         .where(F.col("_rank") <= size)
-        .drop("_draw", "_rank")
+        .drop("_draw", "_rank", "_md5", "_a", "_b")
     )
 
 
@@ -125,30 +139,36 @@ def average_path(n: np.ndarray) -> np.ndarray:
     return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, value))
 
 
-def grow_tree(x: np.ndarray, max_depth: int, rng: np.random.Generator) -> list[tuple]:
-    """Nodes (node, left, right, feature, threshold, n, depth) of one random tree; -1 marks leaves."""
+def node_draws(seed: int, tree: int, node: int) -> tuple[float, float]:
+    """Two numbers in [0, 1) for a node: which feature it splits, and where."""
+    digest = hashlib.md5(f"{seed}:{tree}:{node}".encode()).hexdigest()
+    return int(digest[:13], 16) / 2.0**52, int(digest[13:26], 16) / 2.0**52
+
+
+def grow_tree(x: np.ndarray, max_depth: int, seed: int, tree: int) -> list[tuple]:
+    """Nodes (node, left, right, feature, threshold, n, depth) of one random tree; -1 marks leaves.
+
+    The children of node i are 2i + 1 and 2i + 2.
+    """
     nodes: list[tuple] = []
-    todo = [(np.arange(len(x)), 0, -1, False)]
+    todo = [(np.arange(len(x)), 0, 0)]
     while todo:
-        rows, depth, parent, is_right = todo.pop()
-        node = len(nodes)
-        if parent >= 0:
-            p = nodes[parent]
-            nodes[parent] = (p[0], p[1], node, *p[3:]) if is_right else (p[0], node, *p[2:])
+        rows, node, depth = todo.pop()
         part = x[rows]
         low, high = part.min(axis=0), part.max(axis=0)
         varying = np.flatnonzero(high > low)
         if len(rows) <= 1 or depth >= max_depth or len(varying) == 0:
             nodes.append((node, -1, -1, -1, 0.0, len(rows), depth))
             continue
-        feature = int(rng.choice(varying))
-        threshold = float(rng.uniform(low[feature], high[feature]))
+        which, where = node_draws(seed, tree, node)
+        feature = int(varying[int(which * len(varying))])
+        threshold = float(low[feature] + where * (high[feature] - low[feature]))
         if threshold >= high[feature]:
             threshold = float(low[feature])
         goes_left = part[:, feature] <= threshold
-        nodes.append((node, -1, -1, feature, threshold, len(rows), depth))
-        todo.append((rows[~goes_left], depth + 1, node, True))
-        todo.append((rows[goes_left], depth + 1, node, False))
+        nodes.append((node, 2 * node + 1, 2 * node + 2, feature, threshold, len(rows), depth))
+        todo.append((rows[~goes_left], 2 * node + 2, depth + 1))
+        todo.append((rows[goes_left], 2 * node + 1, depth + 1))
     return nodes
 
 
@@ -163,8 +183,7 @@ def fit_trees(
 
     def grow(tree: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         number = int(tree[0])
-        x = rows.sort_values(key)[names].to_numpy(dtype=float)
-        nodes = grow_tree(x, max_depth, np.random.default_rng([seed, number]))
+        nodes = grow_tree(rows[names].to_numpy(dtype=float), max_depth, seed, number)
         out = pd.DataFrame(nodes, columns=["node", "left", "right", "feature", "threshold", "n", "depth"])
         out.insert(0, "tree", number)
         return out
@@ -189,11 +208,15 @@ class _Walk:
     def of(nodes: pd.DataFrame, max_samples: int) -> "_Walk":
         nodes = nodes.sort_values(["tree", "node"], ignore_index=True)
         roots = np.flatnonzero(nodes["node"].to_numpy() == 0)
-        base = np.repeat(roots, np.diff([*roots, len(nodes)]))
         leaf = nodes["left"].to_numpy() < 0
         here = np.arange(len(nodes))
-        left = np.where(leaf, here, base + nodes["left"].to_numpy())
-        right = np.where(leaf, here, base + nodes["right"].to_numpy())
+        # Nodes are numbered by their place in a full tree: look up where each stands.
+        tree = np.repeat(np.arange(len(roots)), np.diff([*roots, len(nodes)]))
+        span = int(nodes["node"].max()) + 1
+        place = np.zeros(len(roots) * span, dtype=np.int64)
+        place[tree * span + nodes["node"].to_numpy()] = here
+        child = lambda c: np.where(leaf, here, place[tree * span + np.where(leaf, 0, nodes[c].to_numpy())])
+        left, right = child("left"), child("right")
         return _Walk(
             roots=roots.astype(np.int32),
             feature=np.where(leaf, 0, nodes["feature"].to_numpy()).astype(np.int32),
@@ -216,7 +239,8 @@ class _Walk:
                 goes_right = values.take(first + self.feature.take(at)) > self.threshold.take(at)
                 at = self.children.take(2 * at + goes_right)
             mean_path = self.path.take(at).mean(axis=1)
-            out[begin : begin + len(part)] = -np.exp2(-mean_path / self.norm)
+            score = -np.exp2(-mean_path / self.norm)
+            out[begin : begin + len(part)] = np.floor(score * SCORE_STEPS + 0.5) / SCORE_STEPS
         return out
 
 
@@ -228,7 +252,7 @@ def anomaly_score(forest: Forest) -> Column:
     @F.pandas_udf("double")
     def score(*columns: pd.Series) -> pd.Series:
         x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
-        return pd.Series(walk.scores((x - mean) / spread))
+        return pd.Series(walk.scores(np.floor((x - mean) / spread * STEPS + 0.5) / STEPS))
 
     return score(*[F.col(n) for n in forest.scaler.names])
 
@@ -236,9 +260,7 @@ def anomaly_score(forest: Forest) -> Column:
 def predict(forest: Forest, features: DataFrame) -> DataFrame:
     """Add ``anomaly_score`` and ``prediction`` (-1 anomalous, 1 normal)."""
     check_features(features, forest.scaler.names)
-    return features.withColumn("anomaly_score", anomaly_score(forest)).withColumn(
-        "prediction", F.when(F.col("anomaly_score") < forest.score_offset, -1).otherwise(1)
-    )
+    return with_prediction(features.withColumn("anomaly_score", anomaly_score(forest)), forest.score_offset)
 
 
 def kth_smallest(values: DataFrame, column: str, k: int, bins: int = 1024) -> float:
@@ -271,11 +293,13 @@ def kth_smallest(values: DataFrame, column: str, k: int, bins: int = 1024) -> fl
 def exact_quantile(values: DataFrame, column: str, q: float, n: int | None = None) -> float:
     """Linearly interpolated quantile of any number of rows, found by narrowing histograms.
 
-    Spark's exact percentile keeps all values of a column in one task; this way keeps none.
+    Spark's exact percentile keeps all values of a column in one task; this way keeps none. With ``n`` given, ``values``
+    are taken to be a written table.
     """
+    values = values.select(column)
     if n is None:
+        values = pin(values, "quantile")
         n = values.count()
-    values = pin(values.select(column), "quantile")
     at = (n - 1) * q
     k = math.floor(at)
     lower = kth_smallest(values, column, k)
@@ -286,8 +310,17 @@ def exact_quantile(values: DataFrame, column: str, q: float, n: int | None = Non
     return lower + (at - k) * (upper - lower)
 
 
-def fit_forest(features: DataFrame, cfg: ForestConfig = ForestConfig(), key: str = "src_ip") -> Forest:
-    """Scale, sample, grow, and set the score offset so that ``contamination`` of the rows lie below."""
+def with_prediction(scored: DataFrame, offset: float) -> DataFrame:
+    return scored.withColumn("prediction", F.when(F.col("anomaly_score") < offset, -1).otherwise(1))
+
+
+def fit_and_score(
+    features: DataFrame, cfg: ForestConfig = ForestConfig(), key: str = "src_ip"
+) -> tuple[Forest, DataFrame]:
+    """Scale, sample, grow, and set the score offset so that ``contamination`` of the rows lie below.
+
+    The rows with score and prediction come along: scores are computed once and written.
+    """
     check_features(features)
     scaler = fit_scaler(features)
     if scaler.n_rows < cfg.min_rows:
@@ -295,9 +328,14 @@ def fit_forest(features: DataFrame, cfg: ForestConfig = ForestConfig(), key: str
     trees = pin(fit_trees(scale(features, scaler), scaler.n_rows, cfg, key), "trees")
     size = min(cfg.max_samples, scaler.n_rows)
     unset = Forest(trees, scaler, size, float("-inf"), cfg)
-    scores = features.select(anomaly_score(unset).alias("score"))
-    offset = exact_quantile(scores, "score", cfg.contamination, scaler.n_rows)
-    return Forest(trees, scaler, size, offset, cfg)
+    scored = pin(features.withColumn("anomaly_score", anomaly_score(unset)), "scores")
+    offset = exact_quantile(scored, "anomaly_score", cfg.contamination, scaler.n_rows)
+    return Forest(trees, scaler, size, offset, cfg), with_prediction(scored, offset)
+
+
+def fit_forest(features: DataFrame, cfg: ForestConfig = ForestConfig(), key: str = "src_ip") -> Forest:
+    """The forest alone."""
+    return fit_and_score(features, cfg, key)[0]
 
 
 def training_stats(scored: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quietwire.config import ForestConfig
 from quietwire.operators.features import snapshot_features
 from quietwire.operators.filters import clean_features, valid_sources
-from quietwire.operators.forest import Forest, fit_forest, predict, training_stats
+from quietwire.operators.forest import Forest, fit_and_score, training_stats
 from quietwire.scratch import pin
 from quietwire.sources.models import save_forest
 from quietwire.sources.training_csv import read_training_csv
@@ -30,8 +30,7 @@ def training_features(packets: DataFrame, as_of_us: int | None = None, history:
 def train(features: DataFrame, cfg: ForestConfig = ForestConfig(), key: str = "src_ip") -> Trained:
     """Fit on the features. They are read several times, so they are written once first."""
     ready = pin(clean_features(features), "features")
-    forest = fit_forest(ready, cfg, key)
-    scored = predict(forest, ready)
+    forest, scored = fit_and_score(ready, cfg, key)
     return Trained(forest, scored, training_stats(scored))
 
 

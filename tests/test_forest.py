@@ -59,6 +59,7 @@ def test_trees(trained):
 
 def walk(nodes, x):
     """Path length of one point in one tree, node by node."""
+    nodes = {n["node"]: n for n in nodes}
     node = nodes[0]
     while node["left"] >= 0:
         node = nodes[node["left"] if x[node["feature"]] <= node["threshold"] else node["right"]]
@@ -77,6 +78,13 @@ def test_scores_equal_a_plain_walk(trained, normal):
     assert all(-1 <= s < 0 for s in scores.values())
 
 
+def test_the_forest_does_not_depend_on_rows_order_or_partitions(spark, normal, trained):
+    shuffled = matrix(spark, normal).orderBy(F.rand(3)).repartition(7)
+    again = training.train(shuffled, ForestConfig(contamination=0.05))
+    nodes = lambda t: sorted(map(tuple, t.forest.trees.collect()))
+    assert nodes(again) == nodes(trained) and again.forest.score_offset == trained.forest.score_offset
+
+
 def test_contamination_and_outliers(spark, trained):
     stats = trained.stats.first()
     assert stats.n_samples == 400 and stats.n_features == 18
