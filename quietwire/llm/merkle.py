@@ -116,8 +116,8 @@ def _levels(nodes: DataFrame, leaves: int, level: int, top: Callable[[Column], C
                 _id(F.col("tree"), level, F.col("node.at")).alias("id"),
                 F.col("link").alias("parent"),
                 F.col("node.digest").alias("digest"),
-                F.array_join(F.slice(digests, F.lit(1), F.col("slot")), "").alias("left"),
-                F.array_join(F.slice(digests, F.col("slot") + 2, F.lit(WIDTH)), "").alias("right"),
+                F.unhex(F.array_join(F.slice(digests, F.lit(1), F.col("slot")), "")).alias("left"),
+                F.unhex(F.array_join(F.slice(digests, F.col("slot") + 2, F.lit(WIDTH)), "")).alias("right"),
                 "node.lo",
                 "node.hi",
             )
@@ -140,7 +140,8 @@ def _levels(nodes: DataFrame, leaves: int, level: int, top: Callable[[Column], C
 def _climbing(anchors: DataFrame, nodes: DataFrame) -> DataFrame:
     """The recursive query: rows ``run, block, node, folded`` end with ``proof, subroot, root``.
 
-    ``folded`` holds the hash of each leaf of the run after the last node met.
+    ``folded`` holds the hash of each leaf of the run after the last node met. Hashes travel as bytes, half as long as
+    their hex text, which is what gets hashed.
     """
     spark = anchors.sparkSession
     anchors.createOrReplaceTempView("merkle_anchors")
@@ -148,11 +149,11 @@ def _climbing(anchors: DataFrame, nodes: DataFrame) -> DataFrame:
     return spark.sql(
         """
         WITH RECURSIVE climb(run, block, node, folded, proof, subroot, root) AS (
-          SELECT run, block, node, folded, '', CAST(NULL AS STRING), CAST(NULL AS STRING) FROM merkle_anchors
+          SELECT run, block, node, folded, unhex(''), CAST(NULL AS STRING), CAST(NULL AS STRING) FROM merkle_anchors
           UNION ALL
           SELECT c.run, c.block, n.parent,
             CASE WHEN n.parent IS NULL THEN c.folded
-                 ELSE transform(c.folded, f -> sha2(concat(n.left, f, n.right), 256)) END,
+                 ELSE transform(c.folded, f -> unhex(sha2(lower(hex(concat(n.left, f, n.right))), 256))) END,
             concat(c.proof, n.left, n.right),
             CASE WHEN n.subroot THEN n.digest ELSE c.subroot END,
             n.digest
@@ -228,8 +229,8 @@ def manifest(documents: DataFrame, tampered: Column) -> DataFrame:
         F.lit(root_id).alias("id"),
         F.lit(None).cast("string").alias("parent"),
         "digest",
-        F.lit("").alias("left"),
-        F.lit("").alias("right"),
+        F.unhex(F.lit("")).alias("left"),
+        F.unhex(F.lit("")).alias("right"),
         "lo",
         "hi",
     )
@@ -265,7 +266,9 @@ def manifest(documents: DataFrame, tampered: Column) -> DataFrame:
         F.col("lo").alias("run"),
         block("lo").alias("block"),
         F.when(F.col("n") <= WIDTH, to_subroot(F.col("tree"))).otherwise(_id(F.col("tree"), 1, F.col("at"))).alias("node"),
-        F.when(F.col("n") == 1, F.transform("leaves", own)).otherwise(F.transform("leaves", step)).alias("folded"),
+        F.transform(
+            F.when(F.col("n") == 1, F.transform("leaves", own)).otherwise(F.transform("leaves", step)), F.unhex
+        ).alias("folded"),
     )
     # The limit guards against endless recursion; here every row climbs the height of the tree and stops.
     limit = spark.conf.get("spark.sql.cteRecursionRowLimit")
@@ -277,13 +280,13 @@ def manifest(documents: DataFrame, tampered: Column) -> DataFrame:
     rows = runs.select(F.col("lo").alias("run"), "leaves").join(climbed, "run")
     each = rows.select("*", F.posexplode("leaves").alias("slot", "own"))
     siblings = F.when(F.size("leaves") > 1, others(F.col("slot"))).otherwise(F.lit(""))
-    found = F.get("folded", F.col("slot"))
+    found = F.lower(F.hex(F.get("folded", F.col("slot"))))
     return each.select(
         "own.doc_id",
         "own.leaf",
         "subroot",
         "root",
-        F.sha2(F.concat(siblings, "proof"), 256).alias("proof_sha256"),
+        F.sha2(F.concat(siblings, F.lower(F.hex("proof"))), 256).alias("proof_sha256"),
         found.alias("folded_root"),
         (found == F.col("root")).alias("verified"),
     )

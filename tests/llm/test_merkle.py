@@ -87,14 +87,14 @@ def test_hot_nodes_are_stored_once_for_each_block(spark, monkeypatch):
 
 def test_the_climb_is_a_recursive_query_that_keeps_the_session(spark):
     before = spark.conf.get("spark.sql.cteRecursionRowLimit")
-    anchors = spark.createDataFrame([(0, 0, "-1:0:0", ["x"])], "run long, block long, node string, folded array<string>")
+    anchors = spark.createDataFrame([(0, 0, "-1:0:0", [b"x"])], "run long, block long, node string, folded array<binary>")
     nodes = spark.createDataFrame(
-        [("-1:0:0", 0, None, "x", "", "", True)],
-        "id string, block long, parent string, digest string, left string, right string, subroot boolean",
+        [("-1:0:0", 0, None, "x", b"", b"", True)],
+        "id string, block long, parent string, digest string, left binary, right binary, subroot boolean",
     )
     climbed = merkle._climbing(anchors, nodes)
     assert "UnionLoop" in climbed._jdf.queryExecution().executedPlan().toString()
-    assert tuple(climbed.first()) == (0, ["x"], "", "x", "x")
+    assert tuple(climbed.first()) == (0, [b"x"], b"", "x", "x")
     assert spark.conf.get("spark.sql.cteRecursionRowLimit") == before
 
 
