@@ -520,6 +520,19 @@ all_m AS (SELECT packet_id, t_us, src_ip, rule, rule_seq, alert_type FROM cand
         limiter_ctes("all_m", "lim"),
     )
     # Streams must give what the batch gives.
+    out["stream_detection"] = out["detection_with_model"]
+    out["stream_sessions"] = q(
+        """SELECT packet_id, src_ip, CAST(n AS BIGINT) AS seq, round(rate, 6) AS rate, round(CASE WHEN rate IS NOT NULL THEN
+  avg(rate) OVER (PARTITION BY src_ip, session ORDER BY t_us, packet_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) END, 6) AS avg_rate,
+  round(n / greatest((t_us - began) / 1e6, 0.001), 6) AS packets_per_second FROM ses2""",
+        """
+ses0 AS (SELECT *, sum(CASE WHEN gap > 3000000 THEN 1 ELSE 0 END) OVER (PARTITION BY src_ip ORDER BY t_us, packet_id) AS session
+  FROM (SELECT packet_id, src_ip, t_us, t_us - lag(t_us) OVER (PARTITION BY src_ip ORDER BY t_us, packet_id) AS gap FROM bud)),
+ses1 AS (SELECT *, row_number() OVER (PARTITION BY src_ip, session ORDER BY t_us, packet_id) AS n,
+  min(t_us) OVER (PARTITION BY src_ip, session) AS began FROM ses0),
+ses2 AS (SELECT *, CASE WHEN t_us > t0 THEN CAST(n AS DOUBLE) / (CAST(t_us - t0 AS DOUBLE) / 1e6) END AS rate
+  FROM ses1, (SELECT min(t_us) AS t0 FROM pk))""",
+    )
     out["stream_ml_alerts"] = q(
         "SELECT packet_id, src_ip, CAST(seq AS BIGINT) AS seq, round(score, 6) AS score FROM fv JOIN runf ON packet_id = k", *scored
     )

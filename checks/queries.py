@@ -16,7 +16,7 @@ from quietwire.plans import detection, report, training
 from quietwire.scratch import new_folder, pin
 from quietwire.sources import alert_log, alerts as store, models, packets as psrc, training_csv
 from checks.event_packets import as_packets, packets_from_events
-from quietwire.streaming import detection as st
+from quietwire.streaming import detection as st, job
 
 Query = Callable[[SparkSession, str], DataFrame]
 LOOSE = DetectorConfig(spike_multiplier=1.5)
@@ -484,6 +484,43 @@ def stream_ml_alerts(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("packet_id", "src_ip", "seq", F.round("score", 6).alias("score"))
 
 
+def _arriving(spark: SparkSession, folder: str, files: int = 5) -> tuple[DataFrame, int]:
+    """Packets as a stream of files by time, some up to 20 seconds late, and the time of the first packet.
+
+    A packet long after all others, of a source of its own, moves the watermark to the end.
+    """
+    packets = pin(packets_from_events(spark, folder), "arriving")
+    first, last = packets.agg(F.min("t_us"), F.max("t_us")).first()
+    arrival = F.col("t_us") + F.pmod(F.col("packet_id") * 7919, F.lit(20)) * 1_000_000
+    at = F.least(F.floor((arrival - first) / ((last - first) / files + 1)), F.lit(files - 1))
+    path = new_folder(spark, "arriving")
+    for number in range(files):
+        packets.where(at == number).coalesce(1).write.mode("append").parquet(path)
+    end = spark.createDataFrame([(-1, last + 10**10, "8.8.4.4", "TCP", 443, 0, None)], packets.schema)
+    end.coalesce(1).write.mode("append").parquet(path)
+    return psrc.packet_stream(spark, path, max_files=1, delay="30 seconds"), first
+
+
+def stream_detection(spark: SparkSession, folder: str) -> DataFrame:
+    forest = training.train(_training(spark, folder)).forest
+    stream, first = _arriving(spark, folder)
+    path = new_folder(spark, "job")
+    job.run(stream, first, path, new_folder(spark, "job-checkpoint"), forest).awaitTermination()
+    score = F.round("anomaly_score", 6).alias("anomaly_score")
+    alerts = store.alert_table(spark, path).select("ts", "packet_id", "ip_address", "rule", "stored_type", score)
+    return _seconds(alerts)
+
+
+def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and rates of sources that start anew after three seconds of silence."""
+    stream, first = _arriving(spark, folder)
+    job.use_rocksdb(spark)
+    found = _drain(spark, job.signals(stream, first, ttl_s=3), "sessions")
+    return found.select(
+        "packet_id", "src_ip", "seq", *[F.round(c, 6).alias(c) for c in ("rate", "avg_rate", "packets_per_second")]
+    )
+
+
 def stream_alert_sink(spark: SparkSession, folder: str) -> DataFrame:
     alerts = R.alert_rows(st.stateless_candidates(_packet_stream(spark, folder)))
     path = new_folder(spark, "alert-stream")
@@ -637,6 +674,8 @@ def registered() -> dict[str, Query]:
         "stream_features": stream_features,
         "stream_ml_alerts": stream_ml_alerts,
         "stream_alert_sink": stream_alert_sink,
+        "stream_detection": stream_detection,
+        "stream_sessions": stream_sessions,
         "stream_traffic_rounds": stream_traffic_rounds,
         "stream_traffic_totals": stream_traffic_totals,
     }

@@ -55,6 +55,24 @@ def expire(state: GroupState, newest_us: int, ttl_ms: int | None) -> None:
         state.setTimeoutTimestamp(max(wanted, state.getCurrentWatermarkMs() + 1))
 
 
+def rate_step(
+    times: np.ndarray, seen: int, rates: list[float], start_us: int, history: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Running count, rate and rolling mean of a source's next packets, and its rates so far."""
+    seq = seen + np.arange(1, len(times) + 1)
+    elapsed = (times - start_us) / 1e6
+    rate = np.where(elapsed > 0, seq / np.where(elapsed > 0, elapsed, 1.0), np.nan)
+    live = elapsed > 0
+    pool = np.concatenate([np.asarray(rates, dtype=float), rate[live]])
+    mean = np.full(len(times), np.nan)
+    if live.any():
+        at = len(rates) + np.arange(live.sum())
+        low = np.maximum(at - history + 1, 0)
+        sums = np.concatenate([[0.0], np.cumsum(pool)])
+        mean[live] = (sums[at + 1] - sums[low]) / (at + 1 - low)
+    return seq, rate, mean, pool
+
+
 def rate_signals(
     start_us: int, history: int, cap: int | None, ttl_ms: int | None, columns: list[str]
 ) -> Callable[[Any, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
@@ -72,18 +90,7 @@ def rate_signals(
         if rows is None:
             state.update((seen + total, rates))
             return
-        seq = seen + np.arange(1, len(rows) + 1)
-        times = rows["t_us"].to_numpy()
-        elapsed = (times - start_us) / 1e6
-        rate = np.where(elapsed > 0, seq / np.where(elapsed > 0, elapsed, 1.0), np.nan)
-        live = elapsed > 0
-        pool = np.concatenate([np.asarray(rates, dtype=float), rate[live]])
-        mean = np.full(len(rows), np.nan)
-        if live.any():
-            at = len(rates) + np.arange(live.sum())
-            low = np.maximum(at - history + 1, 0)
-            sums = np.concatenate([[0.0], np.cumsum(pool)])
-            mean[live] = (sums[at + 1] - sums[low]) / (at + 1 - low)
+        seq, rate, mean, pool = rate_step(rows["t_us"].to_numpy(), seen, rates, start_us, history)
         state.update((seen + total, pool[-history:].tolist()))
         yield rows.assign(seq=seq, rate=rate, avg_rate=mean)[columns]
 
@@ -163,6 +170,52 @@ def frame_features(ring: dict[str, np.ndarray], old: int, history: int) -> pd.Da
     )
 
 
+def feature_step(
+    rows: pd.DataFrame, state: tuple, history: int, common: tuple[int, ...]
+) -> tuple[pd.DataFrame, tuple]:
+    """Features of a source at each of its next packets, and its state after them."""
+    seen, first_us, nbytes, tcp, udp, icmp, *kept = state
+    if first_us is None:
+        first_us = int(rows["t_us"].iloc[0])
+    new = {
+        "t_us": rows["t_us"],
+        "size": rows["size"],
+        "port": rows["dst_port"],
+        "length": rows["payload_len"],
+        "entropy": rows["entropy"],
+    }
+    old = len(kept[0])
+    ring = {
+        c: np.concatenate([np.asarray(before, dtype=float), new[c].to_numpy(dtype=float, na_value=np.nan)])
+        for c, before in zip(RING_COLUMNS, kept)
+    }
+    out = frame_features({**ring, "common": np.asarray(common, dtype=float)}, old, history)
+    seq = seen + np.arange(1, len(rows) + 1)
+    protocol = rows["protocol"].to_numpy()
+    running = lambda start, values: start + np.cumsum(values)
+    bytes_life = running(nbytes, rows["size"].to_numpy())
+    by_protocol = {p: running(n, protocol == p) for p, n in (("TCP", tcp), ("UDP", udp), ("ICMP", icmp))}
+    times = rows["t_us"].to_numpy()
+    age = (times - first_us) / 1e6
+    out["packets_per_second"] = seq / np.maximum(age, 0.001)
+    out["bytes_per_second"] = bytes_life / np.maximum(age, 0.001)
+    out["total_packets"] = seq.astype(float)
+    out["total_bytes"] = bytes_life.astype(float)
+    out["session_duration"] = age
+    for p, counts in by_protocol.items():
+        out[f"{p.lower()}_ratio"] = counts / seq
+    out["src_ip"], out["packet_id"] = rows["src_ip"].to_numpy(), rows["packet_id"].to_numpy()
+    out["t_us"], out["seq"] = times, seq
+    left = (
+        int(seq[-1]),
+        int(first_us),
+        int(bytes_life[-1]),
+        *[int(by_protocol[p][-1]) for p in ("TCP", "UDP", "ICMP")],
+        *[ring[c][-history:].tolist() for c in RING_COLUMNS],
+    )
+    return out, left
+
+
 def feature_rows(
     history: int, cap: int | None, min_packets: int, common: tuple[int, ...], ttl_ms: int | None, columns: list[str]
 ) -> Callable[[Any, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
@@ -181,46 +234,9 @@ def feature_rows(
         expire(state, newest, ttl_ms)
         if rows is None:
             return
-        if first_us is None:
-            first_us = int(rows["t_us"].iloc[0])
-        new = {
-            "t_us": rows["t_us"],
-            "size": rows["size"],
-            "port": rows["dst_port"],
-            "length": rows["payload_len"],
-            "entropy": rows["entropy"],
-        }
-        old = len(kept[0])
-        ring = {
-            c: np.concatenate([np.asarray(before, dtype=float), new[c].to_numpy(dtype=float, na_value=np.nan)])
-            for c, before in zip(RING_COLUMNS, kept)
-        }
-        out = frame_features({**ring, "common": np.asarray(common, dtype=float)}, old, history)
-        seq = seen + np.arange(1, len(rows) + 1)
-        protocol = rows["protocol"].to_numpy()
-        running = lambda start, values: start + np.cumsum(values)
-        bytes_life = running(nbytes, rows["size"].to_numpy())
-        by_protocol = {p: running(n, protocol == p) for p, n in (("TCP", tcp), ("UDP", udp), ("ICMP", icmp))}
-        times = rows["t_us"].to_numpy()
-        age = (times - first_us) / 1e6
-        out["packets_per_second"] = seq / np.maximum(age, 0.001)
-        out["bytes_per_second"] = bytes_life / np.maximum(age, 0.001)
-        out["total_packets"] = seq.astype(float)
-        out["total_bytes"] = bytes_life.astype(float)
-        out["session_duration"] = age
-        for p, counts in by_protocol.items():
-            out[f"{p.lower()}_ratio"] = counts / seq
-        out["src_ip"], out["packet_id"] = rows["src_ip"].to_numpy(), rows["packet_id"].to_numpy()
-        out["t_us"], out["seq"] = times, seq
-        state.update(
-            (
-                int(seq[-1]),
-                int(first_us),
-                int(bytes_life[-1]),
-                *[int(by_protocol[p][-1]) for p in ("TCP", "UDP", "ICMP")],
-                *[ring[c][-history:].tolist() for c in RING_COLUMNS],
-            )
-        )
+        out, left = feature_step(rows, (seen, first_us, nbytes, tcp, udp, icmp, *kept), history, common)
+        state.update(left)
+        seq = out["seq"].to_numpy()
         yield out[seq >= max(min_packets, 3)][columns]
 
     return update
