@@ -414,6 +414,17 @@ UNION ALL SELECT packet_id, t_us // 1000000, src_ip, body, score FROM mlb""",
 SELECT l_orderkey, l_linenumber, ip FROM (SELECT *, {ip_number('ip')} AS n FROM wip) w
 WHERE n IS NULL OR NOT EXISTS (SELECT 1 FROM nets WHERE w.n BETWEEN lo AND hi)"""
     )
+    out["longest_networks"] = """
+WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linenumber % 4 AS kind, l_partkey % 512 AS g3,
+  '2001:DB8:' || hex(l_partkey % 512) || '::' || hex(l_suppkey) || ':' || hex(l_orderkey % 65536) AS six FROM lineitem),
+n AS (SELECT l_orderkey, l_linenumber, CASE kind WHEN 0 THEN concat('10.', l_partkey % 256, '.', l_suppkey % 256, '.', l_linenumber)
+    WHEN 1 THEN six || ':::' ELSE six END AS ip,
+  CASE WHEN kind = 1 THEN NULL WHEN kind = 0 THEN CASE WHEN l_partkey % 256 = 17 THEN '10.17.0.0/16'
+      WHEN l_partkey % 256 BETWEEN 16 AND 31 THEN '10.16.0.0/12' END
+    WHEN g3 = 511 AND l_suppkey = 1 THEN '2001:db8:1ff::1:0/112' WHEN g3 BETWEEN 272 AND 287 THEN '2001:db8:110::/44'
+    WHEN g3 BETWEEN 256 AND 511 THEN '2001:db8:100::/40' WHEN g3 BETWEEN 16 AND 31 THEN '2001:db8:10::/44'
+    WHEN g3 = 0 AND l_suppkey BETWEEN 64 AND 127 THEN '2001:db8::40:0/106' END AS network FROM t)
+SELECT *, network IS NULL AS outside FROM n"""
     out["ip_functions"] = (
         "WITH"
         + WIDE_IPS

@@ -403,6 +403,36 @@ def outside_networks(spark: SparkSession, folder: str) -> DataFrame:
     return look.outside_networks(_wide_ips(spark, folder), subnets, "ip")
 
 
+NETWORKS = (
+    "2001:db8:10::/44",
+    "2001:db8:100::/40",
+    "2001:db8:110::/44",
+    "2001:db8:1ff::1:0/112",
+    "2001:db8::40:0/106",
+    "2001:db8::1/32",  # host bits
+    "10.16.0.0/12",
+    "10.17.0.0/16",
+    "no network",
+)
+
+
+def longest_networks(spark: SparkSession, folder: str) -> DataFrame:
+    """Addresses of both families, made from the line items, in a table of networks."""
+    third, seventh = F.hex(F.col("l_partkey") % 512), F.hex("l_suppkey")
+    six = F.concat(F.lit("2001:DB8:"), third, F.lit("::"), seventh, F.lit(":"), F.hex(F.col("l_orderkey") % 65536))
+    four = F.concat_ws(
+        ".", F.lit("10"), *[(F.col(c) % 256).cast("string") for c in ("l_partkey", "l_suppkey", "l_linenumber")]
+    )
+    kind = F.col("l_linenumber") % 4
+    ip = F.when(kind == 0, four).when(kind == 1, F.concat(six, F.lit(":::"))).otherwise(six)
+    rows = _table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", ip.alias("ip"))
+    networks = spark.createDataFrame([(n,) for n in NETWORKS], "cidr string")
+    outside = look.outside_networks(rows, networks, "ip").select("ip", F.lit(True).alias("outside")).distinct()
+    return look.longest_networks(rows, networks, "ip").join(outside, "ip", "left").select(
+        "l_orderkey", "l_linenumber", "ip", "network", F.coalesce("outside", F.lit(False)).alias("outside")
+    )
+
+
 def payload_stats(spark: SparkSession, folder: str) -> DataFrame:
     body = F.encode("text", "UTF-8")
     return (
@@ -629,6 +659,7 @@ def registered() -> dict[str, Query]:
         "known_only": lambda s, d: look.known_only(_alerts(s, d)).select("packet_id", "rule", "ip_address"),
         "known_ips_table": lambda s, d: an.known_ips_table(_alerts(s, d)),
         "outside_networks": outside_networks,
+        "longest_networks": longest_networks,
         "ip_functions": ip_functions,
         "ipv6_functions": ipv6_functions,
         "byte_entropy_packets": lambda s, d: packets(s, d).select(

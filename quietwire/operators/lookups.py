@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quietwire.config import KNOWN_IPS
-from quietwire.functions.ip import ip_to_long, network_category
+from quietwire.functions.ip import ip_to_long, ipv6_halves, is_ipv4, is_ipv6, network_category
 
 
 def known_ips(spark: SparkSession) -> DataFrame:
@@ -30,43 +30,77 @@ def known_only(alerts: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return alerts.join(names, "ip_address", "left_semi")
 
 
-def network_blocks(subnets: DataFrame) -> DataFrame:
-    """Networks (column ``cidr``) as (block, lo, hi): one row per /16 block they touch.
+def _address(ip: Column) -> Column:
+    """struct(family, hi, lo) of an IPv4 or IPv6 address, null for any other text."""
+    four = F.struct(F.lit(4).alias("family"), F.lit(0).cast("bigint").alias("hi"), ip_to_long(ip).alias("lo"))
+    halves = ipv6_halves(ip)
+    six = F.struct(F.lit(6).alias("family"), halves.getField("hi").alias("hi"), halves.getField("lo").alias("lo"))
+    return F.when(is_ipv4(ip), four).when(is_ipv6(ip), six)
+
+
+def _prefix(address: Column, bits: Column) -> Column:
+    """struct(family, bits, hi, lo): the first ``bits`` bits of an address, the others zero."""
+    cut = lambda x, n: F.call_function("shiftleft", F.call_function("shiftright", x, n), n)
+    none = F.lit(0).cast("bigint")
+    hi, lo, four = address.getField("hi"), address.getField("lo"), address.getField("family") == 4
+    high = F.when(four | (bits == 0), none).when(bits < 64, cut(hi, 64 - bits)).otherwise(hi)
+    low = (
+        F.when(bits == 0, none)
+        .when(four, cut(lo, 32 - bits))
+        .when(bits <= 64, none)
+        .otherwise(cut(lo, 128 - bits))
+    )
+    return F.struct(
+        address.getField("family").alias("family"), bits.alias("bits"), high.alias("hi"), low.alias("lo")
+    )
+
 
-    Entries that are no network, or have host bits set, are left out.
+def network_prefixes(subnets: DataFrame) -> DataFrame:
+    """Networks (column ``cidr``), IPv4 and IPv6, as ``cidr, prefix``.
+
+    Entries that are no network, or have host bits set, are left out; one without a length is a single address.
     """
     parts = F.split("cidr", "/")
-    bits = F.coalesce(F.get(parts, F.lit(1)).try_cast("int"), F.lit(32))
-    lo = ip_to_long(F.get(parts, F.lit(0)))
-    sized = subnets.select(lo.alias("lo"), bits.alias("bits")).where(
-        F.col("lo").isNotNull() & F.col("bits").between(0, 32)
-    )
-    size = F.expr("shiftleft(1L, 32 - bits)")
+    width = F.when(F.col("address.family") == 4, 32).otherwise(128)
+    named = subnets.select("cidr", _address(F.get(parts, F.lit(0))).alias("address"), F.get(parts, F.lit(1)).alias("text"))
+    sized = named.withColumn("bits", F.when(F.col("text").isNull(), width).otherwise(F.col("text").try_cast("int")))
     return (
-        sized.withColumn("size", size)
-        .where(F.pmod("lo", "size") == 0)
-        .withColumn("hi", F.col("lo") + F.col("size") - 1)
-        .withColumn("block", F.explode(F.sequence(F.shiftright("lo", 16), F.shiftright("hi", 16))))
-        .select("block", "lo", "hi")
-        .distinct()
+        sized.where(F.col("address").isNotNull() & F.col("bits").between(0, width))
+        .withColumn("prefix", _prefix(F.col("address"), F.col("bits")))
+        .where((F.col("prefix.hi") == F.col("address.hi")) & (F.col("prefix.lo") == F.col("address.lo")))
+        .groupBy("prefix")
+        .agg(F.min("cidr").alias("cidr"))
     )
 
 
+def source_networks(rows: DataFrame, subnets: DataFrame, ip: str = "src_ip") -> DataFrame:
+    """Every distinct address of ``rows`` that lies in a network, with the longest such ``network``.
+
+    One equi-join: an address meets each network as its own first bits, once for each length among the networks of its
+    family (at most 33 and 129). Networks and addresses can be tables of any size; a hot source is one row here.
+    """
+    prefixes = network_prefixes(subnets)
+    lengths = prefixes.groupBy(F.col("prefix.family").alias("family")).agg(F.collect_set("prefix.bits").alias("lengths"))
+    known = {r.family: sorted(r.lengths) for r in lengths.collect()}
+    own = lambda family: F.array(*[F.lit(n) for n in known.get(family, [])]).cast("array<int>")
+    address = F.col("_address")
+    sources = rows.select(ip).distinct().withColumn("_address", _address(F.col(ip))).where(address.isNotNull())
+    each = sources.withColumn("_bits", F.explode(F.when(address.getField("family") == 4, own(4)).otherwise(own(6))))
+    met = each.withColumn("prefix", _prefix(address, F.col("_bits"))).join(prefixes, "prefix")
+    return met.groupBy(ip).agg(F.max_by("cidr", "_bits").alias("network"))
+
+
+def longest_networks(packets: DataFrame, subnets: DataFrame, ip: str = "src_ip") -> DataFrame:
+    """Packets with the ``network`` their source lies in: the longest of those given, null for none."""
+    return packets.join(source_networks(packets, subnets, ip), ip, "left")
+
+
 def outside_networks(packets: DataFrame, subnets: DataFrame, ip: str = "src_ip") -> DataFrame:
-    """Packets whose source lies in none of the networks; an equi-join on /16 blocks plus a range test.
+    """Packets whose source lies in none of the networks, IPv4 or IPv6.
 
-    The networks are matched against the distinct sources first, so that a hot source or block is
-    one row there; AQE splits the skewed side of the final anti join. Whether a side is broadcast is left to
-    Spark, which knows its size by then.
+    Whether a side is broadcast is left to Spark, which knows its size by then; AQE splits a hot source.
     """
-    blocks = network_blocks(subnets)
-    number = ip_to_long(F.col(ip))
-    inside = (F.col("_block") == F.col("block")) & F.col("_ip").between(F.col("lo"), F.col("hi"))
-    sources = (
-        packets.select(ip).distinct().withColumn("_ip", number).withColumn("_block", F.shiftright("_ip", 16))
-    )
-    members = sources.join(blocks, inside, "left_semi").select(ip)
-    return packets.join(members, ip, "left_anti")
+    return packets.join(source_networks(packets, subnets, ip), ip, "left_anti")
 
 
 def fill_grid(counts: DataFrame, grid: DataFrame, on: Sequence[str], value: str) -> DataFrame:

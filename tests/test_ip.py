@@ -103,3 +103,35 @@ def test_ipv6_against_the_standard_library(spark):
     got = {r.i: (r.v, r.c) for r in df.select("i", ipf.is_ipv6(F.col("ip")).alias("v"), ipf.ip_category(F.col("ip")).alias("c")).collect()}
     skip = {i for i, c in enumerate(cases) if c and c.lower().startswith(("3fff", "2002"))}  # differ between library versions
     assert {i: got[i] for i in got if i not in skip} == {i: want(c) for i, c in enumerate(cases) if i not in skip}
+
+
+def test_longest_networks_against_the_standard_library(spark):
+    import random
+    from ipaddress import ip_address, ip_network
+
+    r = random.Random(4)
+    texts = [str(ip_address(r.getrandbits(32))) for _ in range(60)]
+    texts += [str(ip_address((0x20010DB8 << 96) | r.getrandbits(96))) for _ in range(60)]
+    nets = ["0.0.0.0/0", "::/0", "::/64", "8.8.8.8", "2001:db8::", "10.0.0.1/8", "x", None, "1.2.3.4/33", "::/129"]
+    for t in texts[::3]:
+        bits = 32 if "." in t else 128
+        for n in (r.randint(1, bits), r.choice([8, 16, 24, 32, 63, 64, 65, 127])):
+            if n <= bits:
+                nets.append(str(ip_network(f"{t}/{n}", strict=False)))
+    odd = ["8.8.8.8", "2001:db8::", "::ffff:8.8.8.8", "fe80::1%eth0", "nothing", "", None, "8.8.8.8"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts + odd)], "packet_id int, src_ip string")
+    got = look.longest_networks(rows, spark.createDataFrame([(n,) for n in nets], "cidr string")).collect()
+
+    def parsed(make, text):
+        try:
+            return make(text)
+        except ValueError:
+            return None
+
+    known = {n: parsed(ip_network, n) for n in nets if n is not None}
+    for row in got:
+        a = None if row.src_ip is None else parsed(ip_address, row.src_ip)
+        fits = [] if a is None else [(n.prefixlen, n) for n in known.values() if n is not None and n.version == a.version and a in n]
+        want = max(fits, default=(None, None), key=lambda x: x[0])[1]
+        assert (None if row.network is None else ip_network(row.network)) == want, row
+    assert len(got) == len(texts) + len(odd)
