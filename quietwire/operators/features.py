@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quietwire.config import FEATURE_COMMON_PORTS, FEATURE_NAMES
 from quietwire.functions.payload import describe_payload
+from quietwire.operators.frames import frame_features, lifetime_features
 from quietwire.operators.ordering import null_safe_join, split_with_halo, take_per_source
 
-# Running entropy sums are kept in whole units of 1e-12 bit: exact, and free of the order of adding.
-_ENTROPY_UNITS = 1_000_000_000_000
-MOST_PART_ROWS = 1_000_000
-
 
 def seconds(us: Column) -> Column:
     return us.cast("double") / 1e6
@@ -99,6 +101,10 @@ def snapshot_features(
     return null_safe_join(life, hist, ["src_ip"]).select("src_ip", *[columns[c].alias(c) for c in FEATURE_NAMES])
 
 
+_RING = ("t_us", "size", "port", "length", "entropy")
+_LIFE = ("bytes", "tcp", "udp", "icmp")
+
+
 def running_features(
     sequenced: DataFrame,
     history: int,
@@ -107,148 +113,128 @@ def running_features(
 ) -> DataFrame:
     """The features of a source as they stood at each of its packets, from ``min_packets`` on.
 
-    Input: described packets with ``seq``. Every frame over the last ``history`` packets is the
-    difference of two running sums, so the cost per packet does not depend on ``history``.
-    ``part_rows`` must be given where a source may be large (see ``split_with_halo``); the
-    lifetime sums of earlier parts are then added from a small table of part totals.
+    Input: described packets with ``seq``. One pass over sorted Arrow batches, with the last ``history`` packets of a part in
+    hand, so that a worker holds one batch. ``part_rows`` must be given where a source may be large (see
+    ``split_with_halo``); each part then starts with a row of its own that holds the lifetime sums of earlier parts.
     """
-    if part_rows is not None and part_rows > MOST_PART_ROWS:
-        raise ValueError(f"running sums of entropy hold at most {MOST_PART_ROWS} packets a part")
-    rows = split_with_halo(sequenced, part_rows, history)
-    part = Window.partitionBy("src_ip", "part")
-    ordered = part.orderBy("t_us", "packet_id")
-    so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    same_port = Window.partitionBy("src_ip", "part", "dst_port").orderBy("t_us", "packet_id")
-    expired = part.orderBy("t_us").rangeBetween(Window.unboundedPreceding, -5_000_000)
-
-    seq, t_us, port = F.col("seq").cast("bigint"), F.col("t_us"), F.col("dst_port")
-    size, length = F.col("size").cast("bigint"), F.col("payload_len").cast("bigint")
-    square = lambda c: (c.cast("decimal(19,0)") * c.cast("decimal(19,0)")).cast("decimal(38,0)")
+    protocol = F.col("protocol")
     life = {
-        "bytes": size,
-        "tcp": (F.col("protocol") == "TCP").cast("bigint"),
-        "udp": (F.col("protocol") == "UDP").cast("bigint"),
-        "icmp": (F.col("protocol") == "ICMP").cast("bigint"),
-    }
-    life = {name: F.coalesce(expr, F.lit(0).cast("bigint")) for name, expr in life.items()}
-
-    # A port enters the frame unless it was seen in the last history packets; it leaves again
-    # when its last occurrence drops out.
-    rows = rows.withColumn("_prev", F.lag(seq).over(same_port)).withColumn(
-        "_next", F.lead(seq).over(same_port)
-    )
-    enters = port.isNotNull() & (F.col("_prev").isNull() | (F.col("_prev") <= seq - history))
-    leaves = port.isNotNull() & (F.col("_next").isNull() | (F.col("_next") >= seq + history))
-    rows = rows.withColumn("_gap", F.coalesce(t_us - F.lag(t_us).over(ordered), F.lit(0).cast("bigint")))
-
-    one_if = lambda condition: F.when(condition, 1).otherwise(0).cast("bigint")
-    summed = {
-        "size": size,
-        "size2": square(size),
-        "gap2": square(F.col("_gap")),
-        "port": one_if(port.isNotNull()),
-        "uncommon": one_if(F.coalesce(is_uncommon(port), F.lit(False))),
-        "pay": one_if(length > 0),
-        "length": length,
-        "length2": square(length),
-        "ent": one_if(F.col("entropy") > 0),
-        "entropy": F.round(F.col("entropy") * _ENTROPY_UNITS).cast("bigint"),
-        "enters": one_if(enters),
+        "bytes": F.coalesce(F.col("size").cast("bigint"), F.lit(0).cast("bigint")),
+        **{p.lower(): F.coalesce((protocol == p).cast("bigint"), F.lit(0).cast("bigint")) for p in ("TCP", "UDP", "ICMP")},
     }
-    rows = rows.withColumns(
-        {f"_s_{name}": F.sum(expr).over(so_far) for name, expr in summed.items()}
-        | {f"_life_{name}": F.sum(F.when(F.col("core"), expr).otherwise(0)).over(so_far) for name, expr in life.items()}
-        | {
-            "_expired": F.max(seq).over(expired),
-            "_first": F.first(t_us).over(so_far),
-            "_leaves": one_if(leaves),
-        }
+    as_double = lambda c: F.col(c).cast("double")
+    rows = split_with_halo(sequenced, part_rows, history).select(
+        "src_ip",
+        "part",
+        "t_us",
+        "packet_id",
+        F.col("seq").cast("bigint").alias("seq"),
+        "core",
+        *[expr.alias(name) for name, expr in life.items()],
+        as_double("dst_port").alias("port"),
+        as_double("payload_len").alias("length"),
+        as_double("entropy").alias("entropy"),
     )
-    in_frame = F.least(seq, F.lit(history).cast("bigint"))
-    framed = {
-        f"_f_{name}": F.col(f"_s_{name}")
-        - F.coalesce(F.lag(f"_s_{name}", history).over(ordered), F.lit(0).cast("bigint"))
-        for name in summed
-        if name not in ("gap2", "enters")
-    }
-    rows = rows.withColumns(
-        framed
-        | {
-            # The gap of the oldest packet in the frame leads out of it.
-            "_f_gap2": F.col("_s_gap2")
-            - F.coalesce(F.lag("_s_gap2", history - 1).over(ordered), F.lit(0).cast("decimal(38,0)")),
-            "_f_first": F.coalesce(F.lag(t_us, history - 1).over(ordered), F.col("_first")),
-            "_gone": F.coalesce(F.lag("_leaves", history).over(ordered), F.lit(0).cast("bigint")),
-        }
-    ).withColumn("_ports", F.col("_s_enters") - F.sum("_gone").over(so_far))
-
     if part_rows is not None:
-        rows = _add_earlier_parts(rows, sequenced, life, part_rows)
-    rows = rows.where(F.col("core") & (seq >= max(min_packets, 3)))
-
-    n, frame_n = seq.cast("double"), in_frame.cast("double")
-    age_s = seconds(t_us - F.col("_first"))
-    gaps = (in_frame - 1).cast("bigint")
-    span = t_us - F.col("_f_first")
-    variance = lambda count, total, squares: F.when(
-        count > 0,
-        (
-            count.cast("decimal(12,0)") * squares.cast("decimal(26,0)")
-            - (total.cast("decimal(19,0)") * total.cast("decimal(19,0)")).cast("decimal(38,0)")
-        ).cast("double")
-        / (count.cast("double") * count.cast("double")),
-    ).otherwise(F.lit(0.0))
-    # Squares around the whole part of the mean gap: exact, and small enough for gaps of decades.
-    middle = F.floor(span / gaps).cast("bigint")
-    wide = lambda c: c.cast("decimal(19,0)")
-    around = F.col("_f_gap2") - (wide(middle) * wide(2 * span - gaps * middle)).cast("decimal(38,0)")
-    off = (span - gaps * middle).cast("double") / gaps.cast("double")
-    gap_variance = around.cast("double") / gaps.cast("double") - off * off
-    columns = {
-        "packets_per_second": n / F.greatest(age_s, F.lit(0.001)),
-        "bytes_per_second": F.col("_life_bytes").cast("double") / F.greatest(age_s, F.lit(0.001)),
-        "avg_packet_size": F.col("_f_size").cast("double") / frame_n,
-        "packet_size_variance": variance(in_frame, F.col("_f_size"), F.col("_f_size2")),
-        "total_packets": n,
-        "total_bytes": F.col("_life_bytes").cast("double"),
-        "inter_arrival_mean": span.cast("double") / gaps.cast("double") / 1e6,
-        "inter_arrival_std": F.sqrt(F.greatest(gap_variance, F.lit(0.0))) / 1e6,
-        "burst_rate": F.least(seq - F.coalesce(F.col("_expired"), F.lit(0)), F.lit(history)).cast("double")
-        / 5.0,
-        "session_duration": age_s,
-        "tcp_ratio": F.col("_life_tcp").cast("double") / n,
-        "udp_ratio": F.col("_life_udp").cast("double") / n,
-        "icmp_ratio": F.col("_life_icmp").cast("double") / n,
-        "unique_ports": F.col("_ports").cast("double"),
-        "uncommon_port_ratio": ratio(F.col("_f_uncommon"), F.col("_f_port")),
-        "payload_entropy": ratio(F.col("_f_entropy"), F.col("_f_ent")) / _ENTROPY_UNITS,
-        "avg_payload_size": ratio(F.col("_f_length"), F.col("_f_pay")),
-        "payload_size_variance": variance(F.col("_f_pay"), F.col("_f_length"), F.col("_f_length2")),
-    }
-    return rows.select(
-        "src_ip", "packet_id", "t_us", "seq", *[columns[c].alias(c) for c in FEATURE_NAMES]
+        rows = rows.unionByName(_earlier_parts(sequenced, life, part_rows), allowMissingColumns=True)
+    least, names = max(min_packets, 3), list(FEATURE_NAMES)
+    schema = "src_ip string, packet_id bigint, t_us bigint, seq bigint, " + ", ".join(f"{n} double" for n in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry: dict[str, np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            mine = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "t_us", *_LIFE, "port", "length", "entropy")}
+            mine["core"] = batch.column("core").fill_null(False).to_numpy(zero_copy_only=False)
+            mine["seq"] = batch.column("seq").fill_null(0).to_numpy()
+            head = batch.column("seq").is_null().to_numpy(zero_copy_only=False)
+            new = _starts(batch)
+            # Rows to emit are numbered in the batch; carried ones are not.
+            mine["row"] = np.arange(batch.num_rows)
+            if carry is not None:
+                if (batch.column("src_ip")[0].as_py(), batch.column("part")[0].as_py()) == carry["key"]:
+                    new[0] = False
+                old = carry["rows"]
+                mine = {c: np.concatenate([old[c], mine[c]]) for c in mine}
+                head = np.concatenate([carry["head"], head])
+                new = np.concatenate([np.arange(len(carry["head"])) == 0, new])
+            # The first row of a group may be its header: running sums start from it, frames after it.
+            n = len(head)
+            begin = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+            counted = mine["core"] | head
+            sums = {}
+            for c in _LIFE:
+                total = np.cumsum(np.where(counted, mine[c], 0))
+                sums[c] = total - (total[begin] - np.where(counted, mine[c], 0)[begin])
+            first_us = mine["t_us"][begin]
+            body = ~head
+            place = np.cumsum(body) - 1
+            start = (place[np.minimum(begin + head[begin], n - 1)])[body]
+            ring = {
+                "t_us": mine["t_us"][body],
+                "size": mine["bytes"][body],
+                "port": mine["port"][body].astype(float),
+                "length": mine["length"][body].astype(float),
+                "entropy": mine["entropy"][body].astype(float),
+            }
+            emit = body & mine["core"] & (mine["row"] >= 0) & (mine["seq"] >= least)
+            at = place[emit]
+            if len(at):
+                seq = mine["seq"][emit]
+                age = (mine["t_us"] - first_us)[emit] / 1e6
+                found = frame_features(*ring.values(), start, at, history, FEATURE_COMMON_PORTS)
+                found |= lifetime_features(age, seq, *[sums[c][emit] for c in _LIFE])
+                own = batch.take(pa.array(mine["row"][emit]))
+                yield pa.record_batch(
+                    [*[own.column(c) for c in ("src_ip", "packet_id", "t_us", "seq")], *[pa.array(found[c]) for c in names]],
+                    names=["src_ip", "packet_id", "t_us", "seq", *names],
+                )
+            # What the next batch needs of the last group: its sums so far, as a header, and its last rows.
+            last = int(begin[-1])
+            keep = np.flatnonzero(body & (np.arange(n) >= last))[-history:]
+            rows_kept = {c: np.concatenate([mine[c][last : last + 1], mine[c][keep]]) for c in mine}
+            for c in _LIFE:
+                rows_kept[c] = rows_kept[c].copy()
+                rows_kept[c][0] = sums[c][-1]
+            rows_kept["core"] = np.zeros(len(keep) + 1, dtype=bool)
+            rows_kept["row"] = np.full(len(keep) + 1, -1)
+            carry = {
+                "key": (batch.column("src_ip")[-1].as_py(), batch.column("part")[-1].as_py()),
+                "rows": rows_kept,
+                "head": np.arange(len(keep) + 1) == 0,
+            }
+
+    return (
+        rows.repartition("src_ip", "part")
+        .sortWithinPartitions("src_ip", "part", F.col("seq").isNotNull(), "t_us", "packet_id")
+        .mapInArrow(run, schema)
     )
 
 
-def _add_earlier_parts(
-    rows: DataFrame, sequenced: DataFrame, life: dict[str, Column], part_rows: int
-) -> DataFrame:
-    """Shift lifetime sums by the totals of the source's earlier parts and take its first time."""
+def _starts(batch: pa.RecordBatch) -> np.ndarray:
+    """Which rows of a sorted batch begin another source or part."""
+    new = np.zeros(batch.num_rows, dtype=bool)
+    new[0] = True
+    for name in ("src_ip", "part"):
+        column = batch.column(name)
+        null = np.asarray(pc.is_null(column))
+        new[1:] |= np.asarray(pc.fill_null(pc.not_equal(column[1:], column[:-1]), False)) | (null[1:] != null[:-1])
+    return new
+
+
+def _earlier_parts(sequenced: DataFrame, life: dict[str, Column], part_rows: int) -> DataFrame:
+    """A row for each part of a source (``seq`` null): its lifetime sums before the part, and its first time."""
     part = F.floor((F.col("seq").cast("bigint") - 1) / part_rows).cast("bigint").alias("part")
     earlier = Window.partitionBy("src_ip").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("src_ip").orderBy("part")
-    totals = (
+    return (
         sequenced.groupBy("src_ip", part)
         .agg(*[F.sum(expr).alias(name) for name, expr in life.items()], F.min("t_us").alias("t"))
         .select(
             "src_ip",
             "part",
-            *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_add_{c}") for c in life],
-            F.first("t").over(upto).alias("_start"),
+            *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).cast("bigint").alias(c) for c in life],
+            F.first("t").over(upto).alias("t_us"),
         )
     )
-    return (
-        null_safe_join(rows, totals, ["src_ip", "part"])
-        .withColumns({f"_life_{c}": F.col(f"_life_{c}") + F.col(f"_add_{c}") for c in life})
-        .withColumn("_first", F.col("_start"))
-    )

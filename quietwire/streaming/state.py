@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql.streaming.state import GroupState
 
+from quietwire.operators.frames import frame_features, lifetime_features
 from quietwire.operators.limiter import kept_positions
 
 RATE_STATE = "seq bigint, rates array<double>"
@@ -97,79 +98,6 @@ def rate_signals(
     return update
 
 
-def distinct_in_frames(values: np.ndarray, history: int) -> np.ndarray:
-    """Number of distinct values (NaN is none) among the last ``history`` rows, at every row.
-
-    A value enters a frame unless it stood in it already, and leaves it with its last occurrence.
-    """
-    n = len(values)
-    order = np.argsort(values, kind="stable")
-    order = order[~np.isnan(values[order])]
-    before, after = np.full(n, -history - 1), np.full(n, n + history)
-    same = values[order[1:]] == values[order[:-1]]
-    before[order[1:][same]] = order[:-1][same]
-    after[order[:-1][same]] = order[1:][same]
-    there, place = ~np.isnan(values), np.arange(n)
-    enters = np.cumsum(there & (before <= place - history))
-    leaves = np.cumsum(there & (after >= place + history))
-    gone = np.zeros(n, dtype=np.int64)
-    gone[history:] = leaves[: max(n - history, 0)]
-    return (enters - gone).astype(float)
-
-
-def frame_features(ring: dict[str, np.ndarray], old: int, history: int) -> pd.DataFrame:
-    """Frame parts of the features at every row from position ``old`` on.
-
-    ``ring`` holds the remembered rows followed by the new ones, oldest first.
-    """
-    t, size, port, length, entropy = (ring[c] for c in RING_COLUMNS)
-    at = np.arange(old, len(t))
-    low = np.maximum(at - history + 1, 0)
-    n = at - low + 1
-    total = lambda v: np.concatenate([[0.0], np.cumsum(v)])
-    span = lambda v: total(v)[at + 1] - total(v)[low]
-
-    def variance(v: np.ndarray, use: np.ndarray) -> np.ndarray:
-        count = span(use)
-        shift = v[use > 0].mean() if use.any() else 0.0
-        centred = np.where(use > 0, v - shift, 0.0)
-        safe = np.maximum(count, 1.0)
-        return np.maximum(span(centred**2) / safe - (span(centred) / safe) ** 2, 0.0)
-
-    def mean(v: np.ndarray, use: np.ndarray) -> np.ndarray:
-        count = span(use)
-        return np.where(count > 0, span(v * use) / np.maximum(count, 1.0), 0.0)
-
-    every = np.ones(len(t))
-    gaps = np.concatenate([[0.0], np.diff(t)])
-    mean_gap = (t[at] - t[low]) / np.maximum(n - 1, 1)
-    steps = np.maximum(n - 1, 1)
-    shift = gaps[1:].mean() if len(gaps) > 1 else 0.0
-    centred = np.concatenate([[0.0], gaps[1:] - shift])
-    inner = lambda v: total(v)[at + 1] - total(v)[low + 1]
-    gap_var = np.maximum(inner(centred**2) / steps - (inner(centred) / steps) ** 2, 0.0)
-    recent = at + 1 - np.searchsorted(t, t[at] - 5_000_000, side="right")
-    common = ring["common"]
-    has_port = ~np.isnan(port)
-    uncommon = has_port & ~np.isin(port, common)
-    ports = distinct_in_frames(port, history)[at]
-    some = (length > 0).astype(float)
-    return pd.DataFrame(
-        {
-            "avg_packet_size": mean(size, every),
-            "packet_size_variance": variance(size, every),
-            "inter_arrival_mean": mean_gap / 1e6,
-            "inter_arrival_std": np.sqrt(gap_var) / 1e6,
-            "burst_rate": np.minimum(recent, history) / 5.0,
-            "unique_ports": ports,
-            "uncommon_port_ratio": mean(uncommon.astype(float), has_port.astype(float)),
-            "payload_entropy": mean(entropy, (entropy > 0).astype(float)),
-            "avg_payload_size": mean(length, some),
-            "payload_size_variance": variance(length, some),
-        }
-    )
-
-
 def feature_step(
     rows: pd.DataFrame, state: tuple, history: int, common: tuple[int, ...]
 ) -> tuple[pd.DataFrame, tuple]:
@@ -189,21 +117,15 @@ def feature_step(
         c: np.concatenate([np.asarray(before, dtype=float), new[c].to_numpy(dtype=float, na_value=np.nan)])
         for c, before in zip(RING_COLUMNS, kept)
     }
-    out = frame_features({**ring, "common": np.asarray(common, dtype=float)}, old, history)
+    n = old + len(rows)
+    out = frame_features(*ring.values(), np.zeros(n, dtype=np.int64), np.arange(old, n), history, common)
     seq = seen + np.arange(1, len(rows) + 1)
     protocol = rows["protocol"].to_numpy()
     running = lambda start, values: start + np.cumsum(values)
     bytes_life = running(nbytes, rows["size"].to_numpy())
     by_protocol = {p: running(n, protocol == p) for p, n in (("TCP", tcp), ("UDP", udp), ("ICMP", icmp))}
     times = rows["t_us"].to_numpy()
-    age = (times - first_us) / 1e6
-    out["packets_per_second"] = seq / np.maximum(age, 0.001)
-    out["bytes_per_second"] = bytes_life / np.maximum(age, 0.001)
-    out["total_packets"] = seq.astype(float)
-    out["total_bytes"] = bytes_life.astype(float)
-    out["session_duration"] = age
-    for p, counts in by_protocol.items():
-        out[f"{p.lower()}_ratio"] = counts / seq
+    out = pd.DataFrame(out | lifetime_features((times - first_us) / 1e6, seq, bytes_life, *by_protocol.values()))
     out["src_ip"], out["packet_id"] = rows["src_ip"].to_numpy(), rows["packet_id"].to_numpy()
     out["t_us"], out["seq"] = times, seq
     left = (

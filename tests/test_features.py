@@ -87,6 +87,34 @@ def test_running_against_brute_force(spark, history, part_rows):
         assert_close(row, brute(mine, mine[-1][1], history))
 
 
+@pytest.mark.parametrize("part_rows", [None, 90])
+def test_running_across_arrow_batches(spark, part_rows):
+    rows = random_packets(n=700)
+    described = describe_payload(packets_df(spark, rows))
+    sequenced = ordering.running_count(described).coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = feat.running_features(sequenced, 60, part_rows=part_rows).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    grouped = by_source(rows)
+    assert len(got) == sum(max(0, len(p) - 9) for p in grouped.values())
+    for row in got:
+        mine = grouped[row.src_ip][: row.seq]
+        assert_close(row, brute(mine, mine[-1][1], 60))
+
+
+def test_a_decade_leaves_no_error_behind(spark):
+    ten_years = 10 * 365 * 86_400
+    rows = [packet(i, i * (1 + i % 3) / 7 + 60 * i + (ten_years if i > 15 else 0), "1.1.1.1", size=2**31 - 1 if i < 9 else 60 + i % 2) for i in range(90)]
+    sequenced = ordering.running_count(describe_payload(packets_df(spark, rows)))
+    for row in feat.running_features(sequenced, 20).collect():
+        mine = rows[: row.seq]
+        want = brute(mine, mine[-1][1], 20)
+        assert row.inter_arrival_std == pytest.approx(want["inter_arrival_std"], rel=1e-9)
+        assert row.packet_size_variance == pytest.approx(want["packet_size_variance"], rel=1e-9)
+
+
 def test_gaps_of_years(spark):
     ten_years = 10 * 365 * 86_400
     rows = [packet(i, i + (ten_years if i > 15 else 0), "1.1.1.1") for i in range(40)]
