@@ -50,7 +50,7 @@ def main() -> None:
     jobs = {
         "snapshot_features": lambda: feat.snapshot_features(packets, 1000),
         "running_features": lambda: feat.running_features(R.analysed_packets(packets), 1000),
-        "malicious_scan": lambda: R.malicious_payload_alerts(R.packet_signals(packets)),
+        "malicious_scan": lambda: R.malicious_payload_alerts(R.payload_signals(packets)),
         "rule_candidates": lambda: R.rule_candidates(R.packet_signals(packets)),
         "limiter": lambda: lim.limit_alerts(candidates),
         "detection_rules": lambda: detection.detect(packets),

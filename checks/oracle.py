@@ -519,6 +519,22 @@ SELECT l_orderkey, l_linenumber, CASE WHEN ok THEN x ELSE x || ':::' END AS ip,
     own = (*sources, score_ctes("feat", "src_ip"))
     out["training_stats"] = q(stats_select(), *own, offset_cte(contamination=0.1))
     out["stored_model"] = q(stats_select(features=False), *own, offset_cte())
+    out["csv_training"] = q(
+        stats_select(),
+        snapshot_sql(1000, "pl"),
+        "\ncsvf AS (SELECT *, row_number() OVER (ORDER BY src_ip) - 1 AS line FROM feat)",
+        forest_ctes("csvf", "line"),
+        score_ctes("csvf", "line"),
+        offset_cte(contamination=0.1),
+    )
+    names = ",".join(C.FEATURE_NAMES)
+    out["model_info"] = q(
+        f"""SELECT CAST(v AS INT) AS version, v = 10 AS latest, CAST(18 AS INT) AS n_features, 0.1::DOUBLE AS contamination,
+  CAST(100 AS INT) AS n_estimators, CAST(42 AS BIGINT) AS random_state, CAST(size AS INT) AS max_samples, round(cut, 6) AS score_offset,
+  '{names}' AS feature_names FROM (VALUES (1), (9), (10)) t(v), fdim, fo""",
+        *own,
+        offset_cte(contamination=0.1),
+    )
     scored = (*sources, running_sql(1000), score_ctes("runf", "packet_id"))
     out["detection_with_model"] = q(
         """SELECT t_us // 1000000 AS ts_s, packet_id, src_ip AS ip_address, rule,

@@ -218,6 +218,12 @@ def budget(cap: int) -> Query:
 # -- rules and detection -------------------------------------------------------------------------
 
 
+def payload_rule(name: str) -> Query:
+    return lambda spark, folder: _show_candidates(
+        R.one_rule(R.payload_signals(packets_from_events(spark, folder)), name)
+    )
+
+
 def rule(name: str) -> Query:
     return lambda spark, folder: _show_candidates(R.one_rule(_signals(spark, folder), name))
 
@@ -354,6 +360,30 @@ def stored_model(spark: SparkSession, folder: str) -> DataFrame:
     return _six(fo.validate_model(loaded, _training(spark, folder)))
 
 
+def csv_training(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_folder(spark, "training") + ".csv"
+    training_csv.write_training_csv(_training(spark, folder).orderBy("src_ip").coalesce(1), path)
+    return _six(training.train_from_csv(spark, path, new_folder(spark, "models"), 1, ForestConfig(contamination=0.1)).stats)
+
+
+def model_info(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_folder(spark, "models")
+    forest = training.train(_training(spark, folder), ForestConfig(contamination=0.1)).forest
+    for version in (1, 10, 9):
+        models.save_forest(forest, path, version)
+    return models.model_info(spark, path).select(
+        "version",
+        (F.col("version") == models.latest_version(spark, path)).alias("latest"),
+        "n_features",
+        "contamination",
+        "n_estimators",
+        "random_state",
+        "max_samples",
+        F.round("score_offset", 6).alias("score_offset"),
+        F.array_join("feature_names", ",").alias("feature_names"),
+    )
+
+
 def pca_2d(spark: SparkSession, folder: str) -> DataFrame:
     return fo.pca_2d(training.train(_training(spark, folder), ForestConfig(contamination=0.1)).scored)
 
@@ -595,9 +625,9 @@ def registered() -> dict[str, Query]:
         "rolling_rate": rolling_rate,
         "rate_spikes": rate_spikes,
         "rule_icmp_flood": rule("icmp_flood"),
-        "rule_uncommon_port": rule("uncommon_port"),
-        "rule_large_payload": rule("large_payload"),
-        "rule_malicious_payload": rule("malicious_payload"),
+        "rule_uncommon_port": payload_rule("uncommon_port"),
+        "rule_large_payload": payload_rule("large_payload"),
+        "rule_malicious_payload": payload_rule("malicious_payload"),
         "all_candidates": lambda s, d: _show_candidates(_candidates(s, d)),
         "stored_types": lambda s, d: _alerts(s, d)
         .groupBy("alert_type", "stored_type")
@@ -697,6 +727,8 @@ def registered() -> dict[str, Query]:
         "training_stats": training_stats,
         "stored_model": stored_model,
         "pca_2d": pca_2d,
+        "csv_training": csv_training,
+        "model_info": model_info,
         "report_summary": lambda s, d: report.report_tables(_alerts(s, d, False), 7)["summary"],
         "report_top_ips": lambda s, d: report.report_tables(_alerts(s, d, False), 7)["top_ips"],
         "stream_rules": stream_rules,

@@ -154,6 +154,20 @@ def analysed_packets(packets: DataFrame, cfg: DetectorConfig = DetectorConfig())
     return running_count(usable)
 
 
+def payload_signals(packets: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
+    """What the port and payload rules read, packet by packet: no order, no shuffle. For tables and streams.
+
+    Count and rates are null, so rules that need them don't fire. A budget per source (of a table) needs the order and
+    gives ``seq``.
+    """
+    null = lambda kind: F.lit(None).cast(kind)
+    rates = {"rate": null("double"), "avg_rate": null("double")}
+    if cfg.packets_per_source is not None and not packets.isStreaming:
+        return analysed_packets(packets, cfg).withColumns(rates)
+    usable = describe_payload(valid_sources(packets, cfg.trusted_subnets))
+    return usable.withColumns({"seq": null("bigint"), **rates})
+
+
 def packet_rates(
     analysed: DataFrame, start_us: Column, history: int = 10, part_rows: int | None = 100_000
 ) -> DataFrame:

@@ -45,11 +45,7 @@ def _narrow(packets: DataFrame, cfg: DetectorConfig) -> DataFrame:
 
 def stateless_candidates(packets: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
     """Port and payload rules, packet by packet."""
-    null = lambda kind: F.lit(None).cast(kind)
-    signals = _narrow(packets, cfg).withColumns(
-        {"seq": null("bigint"), "rate": null("double"), "avg_rate": null("double")}
-    )
-    return R.rule_candidates(signals, cfg)
+    return R.rule_candidates(R.payload_signals(packets, cfg), cfg)
 
 
 def rate_signals(
