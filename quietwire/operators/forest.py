@@ -263,38 +263,58 @@ def predict(forest: Forest, features: DataFrame) -> DataFrame:
     return with_prediction(features.withColumn("anomaly_score", anomaly_score(forest)), forest.score_offset)
 
 
-def kth_smallest(values: DataFrame, column: str, k: int, bins: int = 1024) -> float:
-    """The k-th smallest value (from 0), by narrowing to one histogram bin per round.
-
-    Each round returns at most ``bins`` counts to the driver, whatever the number of rows.
+def order_statistics(
+    values: DataFrame, column: str, ranks: Sequence[int], n: int, accuracy: int = 10_000, most: int = 100_000
+) -> list[float]:
+    """The values at neighbouring ``ranks`` (from 0, ascending) of ``n`` sorted values without nulls.
+
+    A mergeable quantile sketch brackets the ranks in one pass; a second one counts what lies below and at the ends of
+    the bracket and picks inside it. At most ``most`` values come to the driver: a bracket that may hold more
+    is bracketed again first.
     """
-    v = F.col(column)
-    low, high = values.agg(F.min(v), F.max(v)).first()
-    while low < high:
-        step = (high - low) / bins
-        if step == 0.0:
-            step = high - low
-        cell = F.least(F.floor((v - F.lit(low)) / F.lit(step)), F.lit(bins - 1))
-        counts = (
-            values.where(v.between(F.lit(low), F.lit(high)))
-            .groupBy(cell.alias("cell"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"))
-            .orderBy("cell")
-            .collect()
-        )
-        for row in counts:
-            if k < row.n:
-                low, high = row.low, row.high
-                break
-            k -= row.n
-    return float(low)
+    v, below, slack = F.col(column), 0, 2.0 / accuracy
+    inside, size = values, n
+    while True:
+        low_rank, high_rank = ranks[0] - below, ranks[-1] - below
+        at = [max(0.0, low_rank / size - slack), min(1.0, (high_rank + 1) / size + slack)]
+        low, high = inside.agg(F.percentile_approx(v, at, accuracy)).first()[0]
+        within = (v > F.lit(low)) & (v < F.lit(high))
+        few = size * min(1.0, 4 * slack) + high_rank - low_rank < most
+        picked = F.sort_array(F.collect_list(F.when(within, v))) if few else F.array().cast("array<double>")
+        found = inside.agg(
+            F.count_if(v < low).alias("below"),
+            F.count_if(v == low).alias("low"),
+            F.count_if(within).alias("within"),
+            F.count_if(v == high).alias("high"),
+            picked.alias("picked"),
+        ).first()
+        steps = np.cumsum([found.below, found.low, found.within, found.high if high > low else 0]).tolist()
+
+        def value(rank: int) -> float | None:
+            if rank < steps[1]:
+                return float(low)
+            if rank < steps[2]:
+                return float(found.picked[rank - steps[1]]) if few else None
+            return float(high)
+
+        if not steps[0] <= low_rank <= high_rank < steps[3]:
+            slack *= 4  # the sketch was off by more than its accuracy
+            continue
+        out = [value(r - below) for r in ranks]
+        if None not in out:
+            return out
+        if all(steps[1] <= r - below < steps[2] for r in ranks):
+            inside, size, below = inside.where(within), found.within, below + steps[1]
+        else:
+            # The ranks lie on both sides of an end: one by one.
+            return [order_statistics(values, column, [r], n, accuracy, most)[0] for r in ranks]
 
 
 def exact_quantile(values: DataFrame, column: str, q: float, n: int | None = None) -> float:
-    """Linearly interpolated quantile of any number of rows, found by narrowing histograms.
+    """Linearly interpolated quantile of any number of rows, in two passes.
 
-    Spark's exact percentile keeps all values of a column in one task; this way keeps none. With ``n`` given, ``values``
-    are taken to be a written table.
+    Spark's exact percentile keeps all values of a column in one task; this way keeps a bracket around the rank. With
+    ``n`` given, ``values`` are taken to be a written table.
     """
     values = values.select(column)
     if n is None:
@@ -302,12 +322,8 @@ def exact_quantile(values: DataFrame, column: str, q: float, n: int | None = Non
         n = values.count()
     at = (n - 1) * q
     k = math.floor(at)
-    lower = kth_smallest(values, column, k)
-    upto, above = values.agg(
-        F.count_if(F.col(column) <= lower), F.min(F.when(F.col(column) > lower, F.col(column)))
-    ).first()
-    upper = lower if upto > k + 1 or above is None else float(above)
-    return lower + (at - k) * (upper - lower)
+    found = order_statistics(values, column, [k, k + 1] if k + 1 < n else [k], n)
+    return found[0] + (at - k) * (found[-1] - found[0])
 
 
 def with_prediction(scored: DataFrame, offset: float) -> DataFrame:

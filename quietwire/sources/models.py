@@ -14,8 +14,8 @@ from quietwire.schemas import METADATA, SCALER, TREES
 
 
 def save_forest(forest: Forest, path: str, version: int, trained_at: datetime | None = None) -> None:
-    if not 1 <= version <= 999:
-        raise ValueError("version must be between 1 and 999")
+    if version < 1:
+        raise ValueError("versions count from 1")
     spark = forest.trees.sparkSession
     scaler = forest.scaler
     metadata = (

@@ -106,7 +106,13 @@ def test_quantile(spark):
     df = spark.createDataFrame([(float(v),) for v in x], "v double")
     assert fo.exact_quantile(df, "v", 0.013) == pytest.approx(np.percentile(x, 1.3))
     for k in (0, 1, 77, 2500, 4999):
-        assert fo.kth_smallest(df, "v", k, bins=16) == np.sort(x)[k]
+        assert fo.order_statistics(df, "v", [k], 5000) == [np.sort(x)[k]]
+    # Coarse sketches and few values at the driver: brackets within brackets, ranks on both sides of an end.
+    for k in (0, 1249, 2500, 4998):
+        got = fo.order_statistics(df, "v", [k, k + 1], 5000, accuracy=8, most=60)
+        assert got == np.sort(x)[[k, k + 1]].tolist()
+    same = df.selectExpr("1.5 AS v")
+    assert fo.order_statistics(same, "v", [7, 8], 5000, accuracy=8, most=60) == [1.5, 1.5]
 
 
 def test_errors(spark, normal):
