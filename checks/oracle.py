@@ -334,6 +334,10 @@ UNION ALL SELECT packet_id, t_us // 1000000, src_ip, body, score FROM mlb""",
     out["load_alerts"] = q(
         f"""SELECT ts_s, packet_id, ip_address, rule FROM al WHERE ts_s >= (SELECT min(ts_s) + 120 FROM al)
   AND ts_s <= (SELECT min(ts_s) + 600 FROM al)"""
+    )
+    out["alerts_of_address"] = q(
+        """SELECT ts_s, packet_id, rule, stored_type, CAST(anomaly_score AS DOUBLE) AS anomaly_score FROM al_real
+  WHERE ip_address = '10.0.1.12'"""
     )
     out["recent_alerts"] = q(
         "SELECT ts_s, packet_id, ip_address, rule FROM al WHERE ts_s >= (SELECT max(ts_s) FROM al) - 300"
@@ -484,6 +488,14 @@ SELECT l_orderkey, l_linenumber, CASE WHEN ok THEN x ELSE x || ':::' END AS ip,
         ),
         snapshot_sql(1000, "val"),
     )
+    # Daily partials add up to what the whole table gives.
+    out["daily_stats"] = q(stats_sql("al_real", "stored_type <> 'ML'"))
+    out["daily_top_ips"] = q(
+        "SELECT ip_address, count(*) AS alerts FROM al_real GROUP BY 1 ORDER BY alerts DESC, ip_address LIMIT 10"
+    )
+    out["daily_types"] = q("SELECT stored_type AS alert_type, count(*) AS alerts FROM al_real GROUP BY 1")
+    out["daily_ports"] = out["port_distribution"].replace("FROM al)", "FROM al_real)")
+    out["daily_hours"] = out["hour_counts"]
     out["report_summary"] = q(
         stats_sql("al_real", "stored_type = 'RULE'") + " WHERE ts_s >= (SELECT max(ts_s) FROM al_real) - 86400 * 7"
     )

@@ -14,7 +14,7 @@ from quietwire.operators import analytics as an, features as feat, filters as fl
 from quietwire.operators import limiter as lim, lookups as look, ordering as order, rules as R
 from quietwire.plans import detection, report, training
 from quietwire.scratch import new_folder, pin
-from quietwire.sources import alert_log, alerts as store, models, packets as psrc, training_csv
+from quietwire.sources import alert_days, alert_log, alerts as store, models, packets as psrc, training_csv
 from checks.event_packets import as_packets, packets_from_events
 from quietwire.streaming import detection as st, job
 
@@ -157,6 +157,28 @@ def alert_store(spark: SparkSession, folder: str) -> DataFrame:
     return _seconds(newest.select("ts", "packet_id", "ip_address", "rule"))
 
 
+def alerts_of_address(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_folder(spark, "alerts")
+    store.append_alerts(_alerts(spark, folder, False), path)
+    found = store.alerts_of(spark, path, "10.0.1.12")
+    return _seconds(found.select("ts", "packet_id", "rule", "stored_type", "anomaly_score"))
+
+
+def of_days(table: str, summary: Callable[[DataFrame], DataFrame]) -> Query:
+    """A summary over daily partials that were made in two goes: the older half of the alerts, then all."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        path, days = new_folder(spark, "alerts"), new_folder(spark, "days")
+        alerts = pin(_alerts(spark, folder, False), "alerts")
+        middle = alerts.agg(F.percentile_approx(F.unix_seconds("ts"), 0.5)).first()[0]
+        for half in (F.unix_seconds("ts") <= middle, F.unix_seconds("ts") > middle):
+            store.append_alerts(alerts.where(half), path)
+            alert_days.refresh_days(spark, path, days)
+        return summary(getattr(alert_days, table)(spark, days))
+
+    return run
+
+
 def alert_log_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     path = new_folder(spark, "log")
     subject = F.when(
@@ -652,6 +674,12 @@ def registered() -> dict[str, Query]:
             "avg_score", F.round("avg_score", 6)
         ),
         "load_alerts": alert_store,
+        "alerts_of_address": alerts_of_address,
+        "daily_stats": of_days("day_sources", alert_days.stats_of_days),
+        "daily_top_ips": of_days("day_sources", alert_days.top_ips_of_days),
+        "daily_types": of_days("day_counts", alert_days.types_of_days),
+        "daily_ports": of_days("day_counts", alert_days.ports_of_days),
+        "daily_hours": of_days("day_counts", alert_days.hours_of_days),
         "recent_alerts": lambda s, d: cols(
             flt.recent_alerts(_alerts(s, d), 5, flt.latest_time(_alerts(s, d)))
         ),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quietwire.operators import analytics as an, filters as flt
 from quietwire.plans.report import report_tables
 from quietwire.schemas import ALERTS
-from quietwire.sources import alert_log, alerts as store
+from quietwire.sources import alert_days, alert_log, alerts as store
 
 NOW = datetime(2024, 3, 4, 10, 0, 0)  # a Monday
 
@@ -132,3 +132,51 @@ def test_export(spark, tmp_path):
     store.export_alerts_csv(table(spark, rows).select("ip_address", "description"), f"{tmp_path}/out")
     back = spark.read.option("header", True).option("escape", '"').csv(f"{tmp_path}/out").first()
     assert back.description == 'say "hi", there'
+
+
+def test_a_search_by_address_reads_few_row_groups(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "ROW_GROUP_BYTES", 64 << 10)
+    monkeypatch.setattr(store, "ADDRESSES", 500)
+    path = str(tmp_path / "clustered")
+    hashed = "concat('10.', pmod(hash(id), 7), '.', pmod(hash(id, 1), 9), '.', pmod(hash(id, 2), 30))"
+    rows = spark.range(60_000).selectExpr(
+        "timestamp_seconds(1704067200 + id * 4) AS ts", "id AS packet_id", f"{hashed} AS ip_address", "'r' AS rule",
+        "'RULE' AS alert_type", "'RULE' AS stored_type", "concat('text ', id) AS description", "0.0D AS anomaly_score",
+        "CAST(NULL AS STRING) AS raw_data", "1 AS target_port",
+    )
+    store.append_alerts(rows, path)
+    want = sorted(r.packet_id for r in rows.where("ip_address = '10.3.4.5'").collect())
+    found = store.alert_table(spark, path).where(F.col("ip_address") == "10.3.4.5")
+    plan = found._jdf.queryExecution().executedPlan()
+    assert sorted(r.packet_id for r in found.collect()) == want and want
+    leaf = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+    found._jdf.queryExecution().toRdd().count()
+    read = leaf.metrics().apply("numOutputRows").value()
+    assert "PushedFilters" in plan.toString() and 0 < read < 60_000 * 0.25
+    assert [r.packet_id for r in store.alerts_of(spark, path, "10.3.4.5").collect()] == want[::-1]
+    assert store.alerts_of(spark, path, "1.1.1.1").count() == 0
+
+
+def test_daily_summaries_read_new_days_only(spark, tmp_path):
+    path, days = str(tmp_path / "alerts"), str(tmp_path / "days")
+    day = 24 * 60
+    first = [alert(i, (i % 3) * day, f"10.0.0.{i % 50}", "ML" if i % 4 == 0 else "RULE") for i in range(300)]
+    store.append_alerts(table(spark, first), path)
+    assert [d.day for d in alert_days.refresh_days(spark, path, days)] == [4, 5, 6]
+    assert [d.day for d in alert_days.refresh_days(spark, path, days)] == [6]
+    more = [alert(1000 + i, 2 * day + 60 + (i % 2) * day, f"10.0.1.{i % 70}") for i in range(200)]
+    store.append_alerts(table(spark, more), path)
+    assert [d.day for d in alert_days.refresh_days(spark, path, days)] == [6, 7]
+    alerts = store.alert_table(spark, path)
+    counts, sources = alert_days.day_counts(spark, days), alert_days.day_sources(spark, days)
+    assert alert_days.stats_of_days(sources).collect() == an.alert_stats(alerts).collect()
+    about = alert_days.stats_of_days(sources, approximate=True).first()
+    assert abs(about.unique_ips - 120) <= 6 and about.total_alerts == 500
+    assert alert_days.top_ips_of_days(sources).collect() == an.top_ips(alerts, 10).collect()
+    assert alert_days.ports_of_days(counts).collect() == an.port_distribution(alerts).collect()
+    key = lambda r: (r.day_no, r.hour)
+    assert sorted(alert_days.hours_of_days(counts).collect(), key=key) == sorted(an.hour_counts(alerts).collect(), key=key)
+    one = alert_days.between_days(sources, NOW.date(), NOW.date())
+    assert alert_days.stats_of_days(one).first().total_alerts == 100
+    empty = alert_days.stats_of_days(alert_days.day_sources(spark, str(tmp_path / "none")), approximate=True).first()
+    assert empty.total_alerts == 0 and empty.unique_ips == 0
