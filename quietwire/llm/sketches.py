@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
@@ -57,13 +56,10 @@ def in_sketch(rows: DataFrame, *columns: str) -> Column:
         give_back()
 
     found = merged(rows.select(spread.alias("x")).mapInArrow(run, "part int, counts binary"), add=False)
-    bits = rows.sparkSession.sparkContext.broadcast(found)
-
-    @F.pandas_udf("boolean")
-    def maybe(x: pd.Series) -> pd.Series:
-        at = x.to_numpy() % BLOOM_BITS
-        if not len(bits.value):
-            return pd.Series(np.zeros(len(at), dtype=bool))
-        return pd.Series((bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
-
-    return maybe(spread)
+    if not len(found):
+        return F.lit(False)
+    # The bits are one value of a fixed size, looked up by native functions: the task that asks needs no Python worker.
+    bits = rows.sparkSession.createDataFrame([(bytearray(found.tobytes()),)], "bits binary").scalar()
+    at = F.pmod(spread, F.lit(BLOOM_BITS))
+    byte = F.conv(F.hex(F.substring(bits, F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.call_function("bit_get", byte, 7 - F.pmod(at, F.lit(8)).cast("int")) == 1

@@ -8,12 +8,11 @@ keeps the ids of the words it has met, which saves most of the work.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 
 from quietwire.llm.common import Words, slices
 
-MOST_WORDS = 700_000
+MOST_WORDS = 300_000
 """A worker forgets its words when it holds so many; ids don't depend on it."""
 
 _MARK = "\x01"
@@ -143,7 +142,8 @@ class WordEncoder:
         """Ids of all texts one after another, and bounds of the texts in them."""
         start, end, firsts = units(words)
         hashes = words.span_hash(start, end)
-        inverse, distinct = pd.factorize(hashes)
+        coded = pa.array(hashes).dictionary_encode()
+        inverse, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy()
         at = np.empty(len(distinct), dtype=np.int64)
         at[inverse[::-1]] = np.arange(len(hashes) - 1, -1, -1)
         if len(self.known) > MOST_WORDS:
