@@ -27,6 +27,9 @@ KEY = ("src_ip", "alert_type")
 ORDER = ("t_us", "packet_id", "rule_seq")
 CHUNK, ENTRY = "_chunk", "_entry"
 CHUNK_S = 3_600
+CHUNK_ROWS = 1_000_000
+"""Rows of a key in one chunk of time beyond which rows are cut by ranges as well."""
+
 FANOUT = 32
 NEVER = -(1 << 62)
 """A kept time that holds nothing back."""
@@ -250,38 +253,42 @@ def _walked(tables: DataFrame, entries: DataFrame | None, width: int, cooldown_u
     return named.groupBy(*KEY, "_chain", "_group").applyInPandas(walk, schema)
 
 
-def entry_states(rows: DataFrame, cooldown_us: int, max_alerts: int, rounds: list[str] | None = None) -> DataFrame | None:
-    """What each chunk of ``rows`` starts from, where that isn't nothing: ``KEY, CHUNK, ENTRY``; None if all start empty.
-
-    Chunks less than a cooldown apart form a chain. Tables of a chain's chunks are composed, ``FANOUT`` at a time, and
-    walked down again: two rounds for each factor of ``FANOUT`` in the longest chain. ``rounds``
-    collects the names of the rounds. Runs jobs.
-    """
-    rounds = [] if rounds is None else rounds
+def _chunks(rows: DataFrame, cooldown_us: int) -> DataFrame:
+    """Chunks with their place in their chain (chunks less than a cooldown apart), its length, and their rows."""
     order = Window.partitionBy(*KEY).orderBy(CHUNK)
-    spans = rows.groupBy(*KEY, CHUNK).agg(F.min("t_us").alias("_first"), F.max("t_us").alias("_last"))
+    spans = rows.groupBy(*KEY, CHUNK).agg(
+        F.min("t_us").alias("_first"), F.max("t_us").alias("_last"), F.count("*").alias("_rows")
+    )
     # Kept times of earlier chunks are at most the last time before.
     spans = spans.withColumn("_before", F.lag("_last").over(order))
     linked = F.coalesce(F.col("_first") <= F.col("_before") + cooldown_us, F.lit(False))
     spans = spans.withColumn("_chain", F.sum((~linked).cast("bigint")).over(order))
     in_chain = Window.partitionBy(*KEY, "_chain")
-    chunks = spans.select(
+    return spans.select(
         *KEY,
         CHUNK,
         F.coalesce("_before", F.lit(NEVER)).alias("_before"),
         "_chain",
         (F.row_number().over(in_chain.orderBy(CHUNK)) - 1).cast("bigint").alias("_ord"),
         F.count("*").over(in_chain).alias("_length"),
-    ).where("_length > 1")
-    chunks = pin(chunks, "limiter-chunks")
-    longest = chunks.agg(F.max("_length")).first()[0]
-    if longest is None:
-        return None
+        "_rows",
+    )
+
+
+def _entry_states(
+    rows: DataFrame, chunks: DataFrame, longest: int, cooldown_us: int, max_alerts: int, rounds: list[str]
+) -> DataFrame:
+    """What each chunk of a chain starts from: ``KEY, CHUNK, ENTRY``.
+
+    Tables of a chain's chunks are composed, ``FANOUT`` at a time, and walked down again: two rounds for each
+    factor of ``FANOUT`` in the longest chain.
+    """
+    chunks = pin(chunks.where("_length > 1").drop("_length", "_rows"), "limiter-chunks")
     levels = 1
     while FANOUT**levels < longest:
         levels += 1
     tail = max_alerts * (levels + 1)
-    found = [pin(_tables(rows, chunks.drop("_length"), cooldown_us, max_alerts, tail), "limiter-tables")]
+    found = [pin(_tables(rows, chunks, cooldown_us, max_alerts, tail), "limiter-tables")]
     rounds.append("tables")
     for level in range(levels - 1):
         found.append(pin(_composed(found[-1], FANOUT**level, cooldown_us, max_alerts), "limiter-tables"))
@@ -302,17 +309,24 @@ def limit_alerts(
 ) -> DataFrame:
     """Keep a candidate unless ``max_alerts`` kept ones of its source and type are within the cooldown.
 
-    Candidates are written once, range-partitioned, and cut by time and by range, so that neither a busy hour nor a busy key
-    is one task. Entry states of the chunks come from composed transition tables (:func:`entry_states`); then all
-    chunks are folded at once. Null sources are a source. Runs jobs; rows, tables and states go to the shared folder.
+    Candidates are written once and cut into chunks of time; where a chunk has more than ``CHUNK_ROWS`` rows they are cut by
+    range as well, so that neither a busy hour nor a busy key is one task. Entry states of the chunks come from
+    composed transition tables; then all chunks are folded at once. Null sources are a source. ``rounds`` collects the
+    names of the rounds. Runs jobs; rows, tables and states go to the shared folder.
     """
     cooldown_us = cooldown_s * 1_000_000
-    hour = F.floor(F.col("t_us") / (chunk_s * 1_000_000))
-    rows = pin(
-        candidates.repartitionByRange(*KEY, *ORDER).withColumn(
-            CHUNK, (hour * (1 << 24) + F.spark_partition_id()).cast("bigint")
-        ),
-        "limiter",
-    )
-    entries = entry_states(rows, cooldown_us, max_alerts, rounds)
+    rounds = [] if rounds is None else rounds
+    hour = F.floor(F.col("t_us") / (chunk_s * 1_000_000)).cast("bigint")
+    rows = pin(candidates.withColumn(CHUNK, hour * (1 << 24)), "limiter")
+    while True:
+        chunks = _chunks(rows, cooldown_us)
+        longest, most = chunks.agg(F.max("_length"), F.max("_rows")).first()
+        if most is None or most <= CHUNK_ROWS or "ranges" in rounds:
+            break
+        cut = F.col(CHUNK) + F.spark_partition_id()
+        rows = pin(rows.repartitionByRange(*KEY, *ORDER).withColumn(CHUNK, cut), "limiter")
+        rounds.append("ranges")
+    entries = None
+    if longest is not None and longest > 1:
+        entries = _entry_states(rows, chunks, longest, cooldown_us, max_alerts, rounds)
     return _passed(rows, entries, cooldown_us, max_alerts).select(*candidates.columns)

@@ -202,6 +202,19 @@ def test_a_key_busy_for_a_week_takes_few_rounds(spark, every_us, jitter_us):
     assert got == want and 0 < len(rounds) <= 10
 
 
+def test_a_busy_hour_is_cut_by_ranges(spark, monkeypatch):
+    monkeypatch.setattr(lim, "CHUNK_ROWS", 300)
+    rng = random.Random(6)
+    rows = [(i, rng.randrange(12_000) / 4, "10.0.0.1" if i % 5 else None, "RULE") for i in range(4000)]
+    rounds: list[str] = []
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.packet_id for r in lim.limit_alerts(candidates(spark, rows), rounds=rounds).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == brute_limit(rows) and rounds == ["ranges", "tables", "walk"]
+
+
 def test_limiter_across_arrow_batches(spark):
     rows = [(i, i * 0.7, "10.0.0.1", "RULE") for i in range(2000)]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
