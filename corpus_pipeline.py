@@ -27,14 +27,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ``n_chars``, where there is one, follows the text.
     """
     bounded_batches(spark)
-    out = line_dedup.without_repeats(docs)
+    clashing = {c: f"__own_{c}" for c in ("lines_dropped", "lines_near") if c in docs.columns}
+    out = line_dedup.without_repeats(docs.withColumnsRenamed(clashing))
     empty = ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     out = out.where(~((F.col("lines_dropped") > 0) & empty) | F.col("text").isNull())
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         changed = F.when(F.col("lines_dropped") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", changed)
-    return out.select(*docs.columns)
+    return out.select(*(F.col(clashing.get(c, c)).alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

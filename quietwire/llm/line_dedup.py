@@ -1,7 +1,8 @@
 """Line deduplication by a deletion-neighbourhood join.
 
 Lines are compared as word sequences. A line is a repeat if an earlier line (by document id, then place)
-has the same words, or can be made from it by one word edit: a word put in, left out or replaced.
+has the same words, or, from ``LEAST_WORDS`` words on, can be made from it by one word edit: a word put in, left
+out or replaced.
 
 Lines within one edit agree once a word is deleted from one or both, so every line emits the
 hashes of itself and of all its variants with one word deleted, and equal hashes are joined: the same
@@ -23,7 +24,12 @@ from quietwire.llm.common import Words, give_back, kept, mix, powers, slices
 from quietwire.llm.sketches import in_sketch
 
 LEAST_WORDS = 5
-"""Shorter lines are left alone: one edit would be more than a fifth of them."""
+"""Shorter lines are compared exactly only: one edit would be more than a fifth of them."""
+
+HOT_SHARE = 1000
+"""A line that is at least one in so many of all lines (so there are at most so many) is dealt to several tasks."""
+
+HOT_SALTS = 64
 
 VARIANT_ROWS = 100_000
 """Variants in one Arrow batch, about; a longer line is a batch."""
@@ -37,7 +43,7 @@ _SECOND = np.uint64(0xA24BAED4963EE407)
 class Lines:
     """The lines of some texts that have at least so many words, as word sequences."""
 
-    def __init__(self, words: Words, least: int):
+    def __init__(self, words: Words, least: int = 1):
         breaks = np.concatenate([[0], np.cumsum(words.data == 10)])
         lines = breaks[words.start]  # of all texts in a row
         hashes = words.hash
@@ -111,21 +117,22 @@ def within_one_edit(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _lines(documents: DataFrame, least: int) -> DataFrame:
-    """``doc_id, line, key, halves`` of every line with enough words."""
+    """``doc_id, line, key, halves`` of every line that holds a word; shorter ones than ``least`` have no halves."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, data, bounds in slices(batch.column("text"), LINE_BYTES):
-                found = Lines(Words(data, bounds), least)
-                halves = found.halves()
-                n = len(found.first)
+                found = Lines(Words(data, bounds))
+                long = found.last - found.first >= least
+                halves = found.halves()[long]
+                ends = np.concatenate([[0], np.cumsum(long)]).astype(np.int32) * 4
                 yield pa.record_batch(
                     [
                         batch.column("doc_id").take(pa.array(found.doc + at)),
                         pa.array(found.number.astype(np.int64)),
                         pa.array(found.keys(), pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 4), pa.array(halves.ravel())),
+                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(halves.ravel())),
                     ],
                     names=["doc_id", "line", "key", "halves"],
                 )
@@ -134,7 +141,10 @@ def _lines(documents: DataFrame, least: int) -> DataFrame:
 
 
 def _word_rows(documents: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
-    """``key, doc_id, line, words`` of the lines in ``wanted`` (``key, doc_id, line``)."""
+    """``key, doc_id, line, words`` of the lines in ``wanted`` (``key, doc_id, line``), one row for each key.
+
+    Texts meet ``wanted`` by the line's own key: ids may be null, or stand for several texts.
+    """
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,14 +156,15 @@ def _word_rows(documents: DataFrame, wanted: DataFrame, least: int) -> DataFrame
                     [
                         batch.column("doc_id").take(pa.array(found.doc + at)),
                         pa.array(found.number.astype(np.int64)),
+                        pa.array(found.keys(), pa.binary()),
                         pa.array([found.words[a:b].tobytes() for a, b in spans], pa.binary()),
                     ],
-                    names=["doc_id", "line", "words"],
+                    names=["doc_id", "line", "key", "words"],
                 )
 
     near = documents.select("doc_id", "text").where(in_sketch(wanted, "doc_id"))
-    rows = near.mapInArrow(run, f"doc_id {kind}, line long, words binary").where(in_sketch(wanted, "doc_id", "line"))
-    return rows.join(wanted.hint("merge"), ["doc_id", "line"])
+    rows = near.mapInArrow(run, f"doc_id {kind}, line long, key binary, words binary").where(in_sketch(wanted, "doc_id", "line"))
+    return rows.select("key", "words").join(wanted.hint("merge"), "key").dropDuplicates(["key"])
 
 
 def _variant_rows(lines: DataFrame) -> DataFrame:
@@ -206,12 +217,13 @@ def repeated_lines(documents: DataFrame, least_words: int = LEAST_WORDS) -> Data
     """``doc_id, line, near``: the lines (numbered from 0) that repeat an earlier one.
 
     ``near``: the earlier line differs by one word edit. Lines are parted at line feeds; A-Z are lower-cased and
-    white space between words doesn't count. Lines with fewer than ``least_words`` words, null and empty texts
-    repeat nothing. Null ids come first. Rows of one id are one document: their equal lines at equal places
+    white space between words doesn't count. Lines with fewer than ``least_words`` words repeat equal lines only; null
+    and empty texts and lines without words repeat nothing. No rows give no rows. Null ids come first. Rows of one id are one document: their equal lines at equal places
     are the same line. Runs jobs.
     """
     lines = kept(_lines(documents, least_words), "lines")
-    firsts = kept(lines.groupBy("key").agg(F.min(F.struct("doc_id", "line", "halves")).alias("f")).select("key", "f.*"), "firsts")
+    first = F.min(F.struct("doc_id", "line", "halves")).alias("f")
+    firsts = kept(lines.groupBy("key").agg(first, F.count(F.lit(1)).alias("times")).select("key", "f.*", "times"), "firsts")
     halves = firsts.select("key", "doc_id", "line", F.explode(F.array_distinct("halves")).alias("half"))
     wanted = kept(_met(halves, "half").select("key", "doc_id", "line").distinct(), "wanted")
     words = kept(_word_rows(documents, wanted, least_words), "words")
@@ -255,11 +267,17 @@ def _decided(lines: DataFrame, firsts: DataFrame, near: DataFrame, words: DataFr
             yield pa.record_batch([batch.column("key").filter(pa.array(good, pa.bool_()))], names=["key"])
 
     verified = pairs.mapInArrow(run, "key binary").distinct().withColumn("near", F.lit(True))
-    repeats = firsts.select("key", F.col("doc_id").alias("__id"), F.col("line").alias("__line")).join(verified, "key", "left")
+    total = firsts.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    is_hot = F.col("times") * HOT_SHARE >= max(total, HOT_SHARE * HOT_SALTS)
+    salts = F.explode(F.sequence(F.lit(0), F.when(is_hot, HOT_SALTS - 1).otherwise(0))).alias("salt")
+    repeats = firsts.select("key", F.col("doc_id").alias("__id"), F.col("line").alias("__line"), salts).join(verified, "key", "left")
+    hot = F.broadcast(firsts.where(is_hot).select("key", F.lit(HOT_SALTS).alias("salts")))  # at most HOT_SHARE keys
+    salt = F.pmod(F.xxhash64("doc_id", "line"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt")
     again = ~(F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("line") == F.col("__line")))
     return (
-        lines.select("key", "doc_id", "line")
-        .join(repeats, "key")
+        lines.join(hot, "key", "left")
+        .select("key", "doc_id", "line", salt)
+        .join(repeats, ["key", "salt"])
         .where(again | F.coalesce("near", F.lit(False)))
         .select("doc_id", "line", F.coalesce("near", F.lit(False)).alias("near"))
         .distinct()

@@ -32,7 +32,7 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     model = toxicity.train(documents, table(spark, folder, "labels"), ~held_out)
     return toxicity.score(documents, model).select(
         "doc_id",

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -171,6 +172,22 @@ def test_quality_keeps_clean_documents(spark):
     assert sum(not r["accepted"] for r in bad) >= 0.9 * len(bad)
 
 
+def test_quality_quantiles_are_of_all_trusted_rows(spark):
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    found = kneser_ney.classify(spark.read.parquet(f"{folder}/documents.parquet"), labels, most_documents=20)
+    rows = found.join(labels.where("quality = 1").select("doc_id"), "doc_id").where("tokens > 1").collect()
+    by_lang = {}
+    for r in rows:
+        by_lang.setdefault(r["lang"], []).append(r)
+    large = [x for lang, x in by_lang.items() if lang is not None and len(x) >= kneser_ney.LEAST_TRUSTED]
+    assert large
+    for x in large:
+        bits = sorted(r["bits"] for r in x)
+        assert x[0]["least"] == pytest.approx(bits[0] - kneser_ney.MARGIN)
+        assert x[0]["most"] == pytest.approx(bits[-1] + kneser_ney.MARGIN)
+
+
 def test_quality_on_odd_rows(spark, odd_documents):
     labels = spark.createDataFrame([(1, 1, 0), (None, 1, 0), (4, None, None), (1, 1, 1)], "doc_id long, quality int, toxic int")
     assert kneser_ney.classify(odd_documents, labels).count() == 10
@@ -209,7 +226,7 @@ def test_toxicity_locates_sentences_and_takes_odd_rows(spark, odd_documents):
 
 def brute_lines(rows, least=5):
     lines = [(i, k, tuple(words_of(x))) for i, t in sorted(rows) for k, x in enumerate((t or "").split("\n"))]
-    lines = [x for x in lines if len(x[2]) >= least]
+    lines = [x for x in lines if x[2]]
     first = {}
     for i, k, w in lines:
         first.setdefault(w, (i, k))
@@ -217,6 +234,8 @@ def brute_lines(rows, least=5):
     for n, w in enumerate(order):
         for v in order[:n]:
             a, b = sorted((v, w), key=len)
+            if len(a) < least:
+                continue
             if len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) == 1:
                 near.add(w)
             if len(a) + 1 == len(b) and any(b[:j] + b[j + 1 :] == a for j in range(len(b))):
@@ -241,7 +260,7 @@ def test_repeated_lines(spark, odd_documents):
                 del words[r.randrange(len(words))]
             lines.append(" ".join(words))
         rows.append((i, "\n".join(lines)))
-    rows += [(900, None), (901, ""), (902, "\n\n")]
+    rows += [(900, None), (901, ""), (902, "\n\n"), (903, "Share this page\n\nown"), (904, "share  this page"), (905, "x\nx")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, line_dedup.repeated_lines(df).collect())) == brute_lines(rows)
     out = {(x["doc_id"], x["text"]) for x in line_dedup.without_repeats(odd_documents).collect()}
@@ -250,6 +269,34 @@ def test_repeated_lines(spark, odd_documents):
     assert line_dedup.without_repeats(odd_documents.limit(0)).collect() == []
 
 
+def test_repeated_lines_of_null_and_shared_ids(spark):
+    rows = [
+        (None, "one two three four five six"),
+        (None, "a b c d e f\nshort"),
+        (4, "one two three FOUR five seven"),
+        (5, "a b c d e"),
+        (5, "nothing like it at all here"),
+        (6, "nothing like it at all there\nshort"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {tuple(r) for r in line_dedup.repeated_lines(df).collect()}
+    assert got == {(4, 0, True), (5, 0, True), (6, 0, True), (6, 1, False)}
+
+
+def test_hot_lines_are_dealt_to_several_tasks(spark):
+    rows = [(i, f"Share this page\nown {i}") for i in range(70_000)]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["doc_id", "text"]))
+    got = line_dedup.repeated_lines(df).agg(F.count(F.lit(1)), F.min("doc_id"), F.max("line"), F.max(F.col("near").cast("int"))).first()
+    assert tuple(got) == (69_999, 1, 0, 0)
+
+
+def test_lines_stage_keeps_columns_of_the_counts_names(spark):
+    df = spark.createDataFrame([(1, "same", 7, "x"), (2, "same\nown", 8, "y")], "doc_id long, text string, lines_dropped long, lines_near string")
+    out = corpus_pipeline.lines(spark, df, SF)
+    assert out.columns == df.columns
+    assert sorted(map(tuple, out.collect())) == [(1, "same", 7, "x"), (2, "own", 8, "y")]
+
+
 # -- 6: packing ---------------------------------------------------------------------------------
 
 
