@@ -188,6 +188,16 @@ def test_quality_quantiles_are_of_all_trusted_rows(spark):
         assert x[0]["most"] == pytest.approx(bits[-1] + kneser_ney.MARGIN)
 
 
+def test_quality_learns_from_every_trusted_text(spark, monkeypatch):
+    given, learn = [], kneser_ney.learn
+    monkeypatch.setattr(kneser_ney, "learn", lambda trigrams: given.append(trigrams) or learn(trigrams))
+    ids = spark.range(20_500).withColumnRenamed("id", "doc_id")
+    documents = ids.select("doc_id", F.lit("en").alias("lang"), F.lit("two words").alias("text"))
+    labels = ids.union(ids.limit(10)).withColumn("quality", F.when(F.col("doc_id") % 41 == 0, 0).otherwise(1))
+    assert kneser_ney.classify(documents, labels).count() == 20_500
+    assert given[0].agg(F.sum("n")).first()[0] == 3 * 20_000
+
+
 def test_quality_on_odd_rows(spark, odd_documents):
     labels = spark.createDataFrame([(1, 1, 0), (None, 1, 0), (4, None, None), (1, 1, 1)], "doc_id long, quality int, toxic int")
     assert kneser_ney.classify(odd_documents, labels).count() == 10
