@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -123,23 +123,39 @@ def _signed(number: int) -> int:
     return number - (1 << 64) if number >> 63 else number
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often it stands in the body."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ipv6_halves(ip: Column) -> Column:
     """struct(hi, lo) of an IPv6 text: its 128 bits as two longs."""
     bare = F.lower(F.substring_index(ip, "%", 1))
-    quad = ip_to_long(F.substring_index(bare, ":", -1))
-    head = F.regexp_replace(bare, r"[^:]*\z", "")
-    words = F.concat(F.lower(F.hex(F.shiftright(quad, 16))), F.lit(":"), F.lower(F.hex(quad.bitwiseAND(F.lit(0xFFFF)))))
-    sides = F.split(F.when(quad.isNotNull(), F.concat(head, words)).otherwise(bare), "::", 2)
+
+    def spelled(text: Column) -> Column:
+        """The text with a dotted quad at its end as two groups."""
+        head = F.regexp_replace(text, r"[^:]*\z", "")
+        high = lambda quad: F.lower(F.hex(F.shiftright(quad, 16)))
+        low = lambda quad: F.lower(F.hex(quad.bitwiseAND(F.lit(0xFFFF))))
+        words = lambda quad: F.coalesce(F.concat(head, high(quad), F.lit(":"), low(quad)), text)
+        dotted = _bound(ip_to_long(F.substring_index(text, ":", -1)), words)
+        return F.when(F.contains(text, F.lit(".")), dotted).otherwise(text)
+
     groups = lambda text: F.filter(F.split(text, ":"), lambda g: g != "")
-    left, right = groups(F.get(sides, F.lit(0))), F.coalesce(groups(F.get(sides, F.lit(1))), F.array().cast("array<string>"))
-    missing = F.lit(8) - F.size(left) - F.size(right)
-    full = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
-    half = lambda a: F.aggregate(
-        F.slice(full, a, 4),
-        F.lit(0).cast("bigint"),
-        lambda number, g: F.shiftleft(number, 16).bitwiseOR(F.conv(g, 16, 10).cast("bigint")),
-    )
-    return F.struct(half(1).alias("hi"), half(5).alias("lo"))
+
+    def full(sides: Column) -> Column:
+        left, right = groups(F.get(sides, F.lit(0))), groups(F.get(sides, F.lit(1)))
+        some = F.struct(left.alias("left"), F.coalesce(right, F.array().cast("array<string>")).alias("right"))
+        return _bound(some, lambda s: F.concat(s.getField("left"), zeros(s), s.getField("right")))
+
+    def zeros(s: Column) -> Column:
+        missing = F.lit(8) - F.size(s.getField("left")) - F.size(s.getField("right"))
+        return F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0)))
+
+    digits = lambda all_: F.array_join(F.transform(all_, lambda g: F.lpad(g, 4, "0")), "")
+    half = lambda text, a: F.conv(F.substring(text, a, 16), 16, -10).cast("bigint")  # signed
+    halves = lambda all_: _bound(digits(all_), lambda text: F.struct(half(text, 1).alias("hi"), half(text, 17).alias("lo")))
+    return _bound(_bound(F.split(_bound(bare, spelled), "::", 2), full), halves)
 
 
 def in_networks6(ip: Column, cidrs: Iterable[str]) -> Column:
@@ -163,8 +179,7 @@ def in_networks6(ip: Column, cidrs: Iterable[str]) -> Column:
                 tests.append((h.getField("hi") == hi) & (shift(h.getField("lo"), 128 - bits) == F.lit(lo >> (128 - bits))))
         return reduce(lambda a, b: a | b, tests, F.lit(False))
 
-    # Bound to a lambda, so that the address is taken apart once for all networks.
-    found = F.get(F.transform(F.array(ipv6_halves(ip)), inside), F.lit(0))
+    found = _bound(ipv6_halves(ip), inside)
     return F.when(is_ipv6(ip), F.coalesce(found, F.lit(False))).otherwise(F.lit(False))
 
 

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quietwire.config import KNOWN_IPS
 from quietwire.functions.ip import ip_to_long, ipv6_halves, is_ipv4, is_ipv6, network_category
+from quietwire.scratch import pin
+
+BROADCAST_NETWORKS = 100_000
+BROADCAST_LENGTHS = 32
 
 
 def known_ips(spark: SparkSession) -> DataFrame:
@@ -90,17 +94,43 @@ def source_networks(rows: DataFrame, subnets: DataFrame, ip: str = "src_ip") ->
     return met.groupBy(ip).agg(F.max_by("cidr", "_bits").alias("network"))
 
 
+def _with_networks(rows: DataFrame, subnets: DataFrame, ip: str) -> DataFrame:
+    """``rows``, the address first, with the longest ``network`` their address lies in.
+
+    Up to ``BROADCAST_NETWORKS`` networks of up to ``BROADCAST_LENGTHS`` lengths are broadcast, one lookup for each length, and
+    rows stay where they are. More go by the shuffle join of :func:`source_networks`. Runs jobs over ``subnets``.
+    """
+    prefixes = pin(network_prefixes(subnets), "networks")
+    known = prefixes.groupBy("prefix.family", "prefix.bits").count().collect()
+    if len(known) > BROADCAST_LENGTHS or sum(r["count"] for r in known) > BROADCAST_NETWORKS:
+        return rows.join(source_networks(rows, subnets, ip), ip, "left")
+    # An array, as fields of a struct would be taken out below the joins, each parsing the address anew.
+    numbers = lambda a: F.when(a.isNotNull(), F.array(*[a.getField(n).cast("bigint") for n in ("family", "hi", "lo")]))
+    taken = rows.withColumn("__address", F.get(F.transform(F.array(_address(F.col(ip))), numbers), F.lit(0)))
+    part = lambda i: F.get("__address", F.lit(i))
+    address = F.struct(part(0).alias("family"), part(1).alias("hi"), part(2).alias("lo"))
+    found = []
+    for number, r in enumerate(sorted(known, key=lambda r: -r.bits)):
+        own = _prefix(address, F.lit(r.bits))
+        side = prefixes.where((F.col("prefix.family") == r.family) & (F.col("prefix.bits") == r.bits)).select(
+            F.col("prefix.hi").alias("__hi"), F.col("prefix.lo").alias("__lo"), F.col("cidr").alias(f"__network{number}")
+        )
+        same = (F.when(part(0) == r.family, own.getField("hi")) == F.col("__hi")) & (own.getField("lo") == F.col("__lo"))
+        taken = taken.join(F.broadcast(side), same, "left").drop("__hi", "__lo")
+        found.append(F.col(f"__network{number}"))
+    network = F.coalesce(*found, F.lit(None).cast("string")).alias("network")
+    return taken.select(ip, *[F.col(c) for c in rows.columns if c != ip], network)
+
+
 def longest_networks(packets: DataFrame, subnets: DataFrame, ip: str = "src_ip") -> DataFrame:
     """Packets with the ``network`` their source lies in: the longest of those given, null for none."""
-    return packets.join(source_networks(packets, subnets, ip), ip, "left")
+    return _with_networks(packets, subnets, ip)
 
 
 def outside_networks(packets: DataFrame, subnets: DataFrame, ip: str = "src_ip") -> DataFrame:
-    """Packets whose source lies in none of the networks, IPv4 or IPv6.
-
-    Whether a side is broadcast is left to Spark, which knows its size by then; AQE splits a hot source.
-    """
-    return packets.join(source_networks(packets, subnets, ip), ip, "left_anti")
+    """Packets whose source lies in none of the networks, IPv4 or IPv6."""
+    columns = [ip, *[c for c in packets.columns if c != ip]]
+    return _with_networks(packets.select(*columns), subnets, ip).where("network IS NULL").select(*columns)
 
 
 def fill_grid(counts: DataFrame, grid: DataFrame, on: Sequence[str], value: str) -> DataFrame:

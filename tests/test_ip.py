@@ -135,3 +135,20 @@ def test_longest_networks_against_the_standard_library(spark):
         want = max(fits, default=(None, None), key=lambda x: x[0])[1]
         assert (None if row.network is None else ip_network(row.network)) == want, row
     assert len(got) == len(texts) + len(odd)
+
+
+def test_networks_by_broadcast_and_by_shuffle(spark, monkeypatch):
+    nets = [("10.0.0.0/8",), ("10.1.0.0/16",), ("10.1.2.3",), ("2001:db8::/32",), ("2001:db8::ff:0/112",), ("::/0",), ("bad",)]
+    texts = ["10.1.2.3", "10.1.2.4", "10.9.9.9", "11.0.0.1", "2001:db8::ff:1", "2001:DB8::1", "::ffff:10.1.2.3", "1::%eth", "x", None]
+    rows = spark.createDataFrame([(i, t, "n") for i, t in enumerate(texts * 2)], "packet_id int, src_ip string, network0 string")
+    subnets = spark.createDataFrame(nets, "cidr string")
+    near, outside = look.longest_networks(rows, subnets), look.outside_networks(rows, subnets)
+    # With a short list of networks the rows stay where they are.
+    for df in (near, outside):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    got = [near.columns, sorted(near.collect(), key=str), outside.columns, sorted(outside.collect(), key=str)]
+    assert {r.src_ip for r in got[3]} == {"11.0.0.1", "x", None}
+    monkeypatch.setattr(look, "BROADCAST_NETWORKS", 3)
+    near, outside = look.longest_networks(rows, subnets), look.outside_networks(rows, subnets)
+    assert got == [near.columns, sorted(near.collect(), key=str), outside.columns, sorted(outside.collect(), key=str)]
