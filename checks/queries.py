@@ -577,7 +577,9 @@ def _arriving(spark: SparkSession, folder: str, files: int = 5) -> tuple[DataFra
     at = F.least(F.floor((arrival - first) / ((last - first) / files + 1)), F.lit(files - 1))
     path = new_folder(spark, "arriving")
     for number in range(files):
-        packets.where(at == number).coalesce(1).write.mode("append").parquet(path)
+        # The table is read by many tasks, one writes; small row groups let many read the file again.
+        arriving = packets.where(at == number).repartition(1)
+        arriving.write.mode("append").option("parquet.block.size", 4 << 20).parquet(path)
     end = spark.createDataFrame([(-1, last + 10**10, "8.8.4.4", "TCP", 443, 0, None)], packets.schema)
     end.coalesce(1).write.mode("append").parquet(path)
     return psrc.packet_stream(spark, path, max_files=1, delay="30 seconds"), first

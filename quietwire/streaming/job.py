@@ -6,7 +6,7 @@ out of order by as much as the watermark's delay. Rules and model score its rows
 the alerts of a source and type.
 
 State of a source is a map of slices, so that a source of any rate is handled slice by slice: a worker holds one
-slice of one key at a time. Needs the RocksDB state store (:func:`use_rocksdb`).
+slice of one key at a time, or several short ones of at most :data:`LEAST_ROWS` rows and one more slice. Needs the RocksDB state store (:func:`use_rocksdb`).
 """
 
 from __future__ import annotations
@@ -34,6 +34,9 @@ from quietwire.sources.alerts import append_alert_stream
 from quietwire.streaming import state as S
 
 SLICE_US = 10_000_000
+LEAST_ROWS = 20_000
+"""Short slices are handled together until they have so many rows: a frame has a cost of its own."""
+
 NARROW = "ts timestamp, packet_id bigint, t_us bigint, src_ip string, protocol string, dst_port int, size int, payload_len int, entropy double, pattern string"
 SIGNALS = (
     "ts timestamp, packet_id bigint, t_us bigint, src_ip string, protocol string, dst_port int, payload_len int, "
@@ -77,30 +80,42 @@ class _Sliced(StatefulProcessor):
         """Put rows into their slices; which ones are new."""
         new = set()
         for frame in frames:
-            for number, rows in frame.groupby(frame["t_us"] // self.slice_us):
-                number = int(number)
+            slices = frame["t_us"].to_numpy() // self.slice_us
+            order = np.argsort(slices, kind="stable")
+            numbers, starts = np.unique(slices[order], return_index=True)
+            rows = pa.RecordBatch.from_pandas(frame.iloc[order], preserve_index=False, nthreads=1)
+            rows = rows.replace_schema_metadata(None)
+            for number, start, end in zip(numbers.tolist(), starts, [*starts[1:], len(frame)], strict=True):
                 part = value["pending"].get(number, 0)
                 if part == 0:
                     new.add(number)
-                batch = pa.RecordBatch.from_pandas(rows, preserve_index=False)
                 sink = io.BytesIO()
-                with pa.ipc.new_stream(sink, batch.schema) as writer:
-                    writer.write_batch(batch)
+                with pa.ipc.new_stream(sink, rows.schema) as writer:
+                    writer.write_batch(rows.slice(start, end - start))
                 self.parts.updateValue((number, part), (sink.getvalue(),))
                 value["pending"][number] = part + 1
         return new
 
     def take(self, value: dict, before: int | None) -> Iterator[pd.DataFrame]:
-        """Sorted rows of the slices below ``before`` (all, if None), one slice at a time, oldest first."""
+        """Sorted rows of the slices below ``before`` (all, if None), oldest first: one slice at a time, short ones together."""
+        tables: list[pa.Table] = []
         for number in sorted(value["pending"]):
             if before is not None and number >= before:
-                return
-            frames = []
+                break
             for part in range(value["pending"].pop(number)):
                 with pa.ipc.open_stream(self.parts.getValue((number, part))[0]) as reader:
-                    frames.append(reader.read_pandas())
+                    tables.append(reader.read_all())
                 self.parts.removeKey((number, part))
-            yield pd.concat(frames, ignore_index=True).sort_values(self.order, ignore_index=True)
+            if sum(len(t) for t in tables) >= LEAST_ROWS:
+                yield self.sorted_rows(tables)
+                tables = []
+        if tables:
+            yield self.sorted_rows(tables)
+
+    def sorted_rows(self, tables: list[pa.Table]) -> pd.DataFrame:
+        # A column may be null, or whole numbers, in some parts only.
+        rows = pa.concat_tables(tables, promote_options="permissive").to_pandas(use_threads=False)
+        return rows.sort_values(self.order, ignore_index=True)
 
     def close(self) -> None:
         pass
@@ -130,7 +145,8 @@ class SourceProcessor(_Sliced):
         now = expiredTimerInfo.getExpiryTimeInMs()
         value = self.read()
         found = False
-        for rows in self.take(value, now * 1000 // self.slice_us):
+        # The first timer takes all slices behind the watermark; those of the others find nothing left.
+        for rows in self.take(value, timerValues.getCurrentWatermarkInMs() * 1000 // self.slice_us):
             found = True
             for some in self.unbroken(value, rows):
                 yield self.advance(value, some, timerValues.getCurrentWatermarkInMs())
@@ -140,7 +156,7 @@ class SourceProcessor(_Sliced):
             self.handle.registerTimer(max(value["idle"], timerValues.getCurrentWatermarkInMs()) + 1)
         if not value["pending"] and value.get("idle") is not None and now >= value["idle"]:
             self.value.clear()
-        else:
+        elif found:
             self.write(value)
 
     def unbroken(self, value: dict, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:

@@ -99,3 +99,26 @@ def test_features_of_slices_join_up(spark):
     cut = pd.concat([parts.advance(value, rows.iloc[i : i + 17].reset_index(drop=True), 0) for i in range(0, len(rows), 17)])
     for name in ["seq", "rate", "avg_rate", *FEATURE_NAMES]:
         assert np.allclose(whole[name].to_numpy(float), cut[name].to_numpy(float), equal_nan=True), name
+
+
+def test_short_slices_are_handled_together(spark, streamed, monkeypatch):
+    rows = [packet(i, i / 10, "10.0.0.1", "TCP", 9999 if i % 3 else None) for i in range(5_000)]
+    got = streamed([rows], slice_us=1_000_000)
+    assert shown(got) == shown(detect(packets_df(spark, rows), start_us=F.lit(T0)))
+
+    class State(dict):
+        updateValue, getValue, removeKey = dict.__setitem__, dict.__getitem__, dict.__delitem__
+
+    part = job.SourceProcessor(T0, DetectorConfig(), None, 1_000_000)
+    part.parts, value = State(), {"pending": {}}
+    frame = packets_df(spark, rows).toPandas()[["packet_id", "t_us", "dst_port"]]
+    shuffled = frame.sample(frac=1, random_state=1)
+    # Ports are whole numbers in one chunk, and null in all of another's rows.
+    chunks = [shuffled[shuffled["dst_port"].notna()].astype({"dst_port": "int32"}), shuffled[shuffled["dst_port"].isna()]]
+    assert len(part.store(value, iter(chunks))) == 500
+    frames = list(part.take(value, T0 // 1_000_000 + 400))
+    assert len(frames) == 1 and len(value["pending"]) == 100  # one frame for 400 slices
+    assert frames[0].equals(frame.iloc[:4_000].astype(frames[0].dtypes.to_dict()))
+    monkeypatch.setattr(job, "LEAST_ROWS", 15)
+    assert [len(x) for x in part.take(value, None)] == [20] * 50 and not part.parts
+
