@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from checks.compare import connect, rows_of
 from quietwire.llm import chat, jaccard, kneser_ney, line_dedup, mixing, packing, queries, spotsigs
-from quietwire.llm import suffix_tree, tokens, topk, toxicity
+from quietwire.llm import sketches, suffix_tree, tokens, topk, toxicity
 from quietwire.llm.common import Words, chains, slices
 from quietwire.llm.components import components
 
@@ -493,3 +493,19 @@ def test_mixing_with_sources_without_words(spark):
     found = {r.doc_id: (r.target, r.taken) for r in mixing.mix_sources(docs).collect()}
     assert found == {1: (6.0, 6), 2: (6.0, 0), 3: (0.0, 0), 4: (0.0, 0), 5: (0.0, 0), 6: (4.5, 4)}
     assert sorted(r.doc_id for r in mixing.mixed_documents(docs).collect()) == [1, 1, 6]
+
+
+# -- sketches -----------------------------------------------------------------------------------
+
+
+def test_sketches_of_few_rows_are_small(spark):
+    bits = np.zeros(sketches.BLOOM_BITS, dtype=bool)
+    at = np.random.default_rng(0).integers(0, len(bits), 5_000)
+    bits[at] = True
+    small = sketches.folded(np.packbits(bits))
+    assert len(small) * 16 <= len(bits) // 8 and np.unpackbits(small)[at % (len(small) * 8)].all()
+    assert len(sketches.folded(np.full(len(bits) // 8, 255, np.uint8))) == len(bits) // 8
+    few = spark.range(0, 30_000, 10).withColumnRenamed("id", "x")
+    asked = spark.range(30_000).withColumnRenamed("id", "x").where(sketches.in_sketch(few, "x"))
+    found = {r[0] for r in asked.collect()}
+    assert found >= set(range(0, 30_000, 10)) and len(found) < 4_000
