@@ -404,6 +404,76 @@ def test_suffix_tree_scores(spark, odd_documents):
     assert suffix_tree.score_texts(odd_documents.limit(0), F.lit(False)).collect() == []
 
 
+def brute_suffix_tree(texts, learned):
+    """Natural logs of the texts' probabilities, and the states, by a plain tree of counted contexts."""
+    sequences = [["<", *words_of(text), "end"] for text in texts]
+    training = [s for s, own in zip(sequences, learned, strict=True) if own]
+    unigrams = Counter(w for s in training for w in s[1:])
+    total, kinds = sum(unigrams.values()), len(unigrams)
+    states, grown, length = {}, {()}, 0
+
+    def log_p(before, word):
+        value = math.log((unigrams[word] + 1) / (total + kinds + 1))
+        for k in range(1, len(before) + 1):
+            if (state := states.get(tuple(before[-k:]))) is None:
+                break
+            kept, rest = state
+            value = kept.get(word, value + rest)
+        return value
+
+    while grown:
+        length += 1
+        found = {}
+        for s in training:
+            for i in range(max(1, length), len(s)):
+                if tuple(s[i - length + 1 : i]) in grown:
+                    found.setdefault(tuple(s[i - length : i]), Counter())[s[i]] += 1
+        grown, new = set(), {}
+        for context, counts in found.items():
+            n, some = sum(counts.values()), {w: c for w, c in counts.items() if c >= 2}
+            if n < 2 or not some:
+                continue
+            under = {w: log_p(context[1:], w) for w in some}
+            left = 1 - sum(c - 0.5 for c in some.values()) / n
+            rest = math.log(left / (1 - sum(map(math.exp, under.values()))))
+            own = {w: math.log((c - 0.5) / n) for w, c in some.items()}
+            gain = sum(c * (own[w] - under[w]) for w, c in some.items()) + (n - sum(some.values())) * rest
+            if gain > len(some) * 0.5 * math.log(total):
+                new[context] = own, rest
+                if -sum(c * own[w] for w, c in some.items()) > 0.5 * math.log(total):
+                    grown.add(context)
+        states |= new
+    return [sum(log_p(s[:i], s[i]) for i in range(1, len(s))) for s in sequences], states
+
+
+def test_suffix_tree_equals_brute_force(spark):
+    """Contexts of any length and of rare words are states, in blocks and shards of any number, whether hot or not."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(3_000)]
+    texts = [" ".join(rng.choices(words, k=40)) for _ in range(400)]
+    follows: dict[tuple[str, ...], str] = defaultdict(lambda: rng.choice("abc"))
+    for i in range(0, 400, 5):
+        # What comes next depends on one to four letters before, by turns.
+        letters = ["a", "b", "c", "a"]
+        for _ in range(150):
+            letters.append(follows[tuple(letters[-rng.randint(1, 4) :])])
+        texts[i] += " " + " ".join(letters)
+    texts[0] += " Quite rare and odd" * 2
+    texts[7] += " quite rare AND odd"
+    texts += [texts[1], texts[1], "", None, "here", "c a b a b x"]
+    learned = [i % 7 != 2 for i in range(len(texts))]
+    expected, states = brute_suffix_tree([t or "" for t in texts], learned)
+    assert max(map(len, states)) >= 4 and (b"rare",) in states
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block_bytes, shard_tokens in ((1 << 23, 1 << 21), (9_000, 3_000)):
+        found = suffix_tree.score_texts(docs, F.col("doc_id") % 7 == 2, block_bytes, shard_tokens).collect()
+        got = {r["doc_id"]: r["score"] * math.log(10) for r in found}
+        assert [got[i] for i in range(len(texts))] == pytest.approx(expected, rel=1e-4)
+    # A text that stands twice in training is likelier than one of like words that stands once.
+    base = {r["doc_id"]: (r["score"] - r["base_score"]) / r["n_tokens"] for r in found}
+    assert base[1] > base[3] + 0.5
+
+
 # -- 9: fingerprints ----------------------------------------------------------------------------
 
 
