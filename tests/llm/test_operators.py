@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,6 +14,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,7 +22,7 @@ import corpus_pipeline
 from checks.compare import connect, rows_of
 from quietwire.llm import chat, jaccard, kneser_ney, line_dedup, mixing, packing, queries, spotsigs
 from quietwire.llm import sketches, suffix_tree, tokens, topk, toxicity
-from quietwire.llm.common import Words, chains, slices
+from quietwire.llm.common import Words, chains, kept_packed, slices
 from quietwire.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -474,6 +477,34 @@ def test_suffix_tree_equals_brute_force(spark):
     assert base[1] > base[3] + 0.5
 
 
+def test_suffix_tree_pairs_take_little_memory():
+    """The pairs of a block are found in a few arrays of its length: 60 bytes a token, where hashing them took 104."""
+    rng = np.random.default_rng(3)
+    n, block = 500_000, object.__new__(suffix_tree._Block)
+    block.word = rng.integers(1, 20_000, n).astype(np.uint64)
+    block.offset = np.arange(n, dtype=np.int32) % 400
+    block.learned = rng.random(n) < 0.8
+    at, once, hot = np.arange(n), rng.random(n) < 0.1, block.word % np.uint64(1000) == 0
+    tracemalloc.start()
+    first, context, word, shard, counts, pair = block.pairs(at, once, hot, 2, 40)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 * n
+    assert counts.sum() == block.learned.sum() and (np.diff(shard) >= 0).all()
+    assert (context[pair] == block.contexts(at, 2)).all() and ((word[pair] == block.word) | once).all()
+    assert (pair[first] == np.arange(len(first))).all() and (word[pair][once] == suffix_tree._ANY).all()
+
+
+def test_packed_rows_stand_in_small_row_groups(spark):
+    """A task holds a row group when it writes and when it reads; with rows of 1 MB a hundred rows were one."""
+    rows = spark.range(60).coalesce(1).select("id", F.expr("cast(repeat(md5(cast(id as string)), 32768) as binary)").alias("packed"))
+    found = kept_packed(rows, "packed-rows")
+    (file,) = [f.removeprefix("file:") for f in found.inputFiles()]
+    meta = pq.ParquetFile(re.sub("^/+", "/", file)).metadata
+    assert max(meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)) < 16 << 20
+    assert found.agg(F.count("id"), F.sum(F.length("packed"))).first() == (60, 60 << 20)
+
+
 # -- 9: fingerprints ----------------------------------------------------------------------------
 
 
