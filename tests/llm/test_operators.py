@@ -148,6 +148,31 @@ def test_top_k_on_odd_vectors(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") == 0).collect() == []
 
 
+def test_top_k_broadcasts_no_queries(spark):
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
+    got = topk.top_k(vectors, F.col("vec_id") % 100 == 0, shard_rows=64, block_queries=2)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_top_k_in_groups_of_shards_and_queries(spark, monkeypatch):
+    r = random.Random(3)
+    scales = [1.0, 1.0, 1000.0, 1e6]
+    rows = [(r.randrange(60), [r.choice(scales[: 2 + 2 * (i % 9 == 0)]) * r.uniform(-1, 1) for _ in range(r.choice([3, 3, 5]))]) for i in range(300)]
+    rows += rows[:5] + [(7, [0.5, 0.5, 0.5])] * 80  # repeated rows, and one id that many rows have
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
+    want = []
+    for i, q in whole:
+        if i % 10 == 0:
+            others = [(-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in whole if j != i and len(v) == len(q)]
+            want += [(i, at + 1, j, -s) for at, (s, j) in enumerate(sorted(others)[:4])]
+    for group_bytes in (500, 1 << 20):
+        monkeypatch.setattr(topk, "COLUMNS", 3)
+        monkeypatch.setattr(topk, "GROUP_BYTES", group_bytes)
+        got = topk.top_k(df, F.col("vec_id") % 10 == 0, k=4, scale=64, shard_rows=20, block_queries=4)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 # -- 3: quality ---------------------------------------------------------------------------------
 
 
