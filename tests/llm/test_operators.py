@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from checks.compare import connect, rows_of
 from quietwire.llm import chat, jaccard, kneser_ney, line_dedup, mixing, packing, queries, spotsigs
-from quietwire.llm import sketches, suffix_tree, tokens, topk, toxicity
+from quietwire.llm import sketches, suffix_tree, tokens, topk, toxicity, word_model
 from quietwire.llm.common import Words, chains, kept_packed, slices
 from quietwire.llm.components import components
 
@@ -234,6 +234,64 @@ def test_quality_on_odd_rows(spark, odd_documents):
     assert kneser_ney.accepted_documents(odd_documents, labels.limit(0)).count() == 10
 
 
+def kneser_ney_of_words(trusted, text):
+    """Log2 probability of the words of a text and its end, by the formulas, from the words of trusted texts."""
+    counts = {3: Counter(), 2: Counter(), 1: Counter()}
+    for words in trusted:
+        seen = ["<", "<", *words, ">"]
+        counts[3].update(zip(seen, seen[1:], seen[2:], strict=False))
+    for order in (2, 1):
+        counts[order].update(g[1:] for g in counts[order + 1])
+    contexts = {k: defaultdict(list) for k in counts}
+    cut = {}
+    for order, c in counts.items():
+        for g, n in c.items():
+            contexts[order][g[:-1]].append(n)
+        cut[order] = (0.0, *word_model.discounts([sum(n == j for n in c.values()) for j in (1, 2, 3, 4)]))
+
+    def p(order, g):
+        if order == 0:
+            return 1 / (len(counts[1]) + 1)
+        n, d, all_ = counts[order][g], cut[order], contexts[order].get(g[:-1], [])
+        lower = p(order - 1, g[1:])
+        return (n - d[min(n, 3)] + sum(d[min(x, 3)] for x in all_) * lower) / sum(all_) if all_ else lower
+
+    seen = ["<", "<", *text, ">"]
+    return sum(math.log2(p(3, g)) for g in zip(seen, seen[1:], seen[2:], strict=False))
+
+
+def test_word_model_equals_brute_force(spark):
+    r = random.Random(5)
+    words = ["a", "b", "A", "b,", "café", "dd", "zz9"]
+    texts = [(i % 37 if i % 10 else None, " ".join(r.choices(words, range(7, 0, -1), k=r.randint(0, 12)))) for i in range(80)]
+    texts += [(5, texts[3][1]), (50, None), (51, "a unmet words of b"), (51, ""), (52, " \n ")]
+    documents = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    trusted = spark.createDataFrame([(i,) for i in (*range(0, 30, 2), 51, 99)], "__id long")
+    half = {r[0]: r[1] for r in documents.select("doc_id", word_model.halves(F.col("doc_id"))).distinct().collect()}
+    fitted = [[(t or "").split() for i, t in texts if i is not None and i in {*range(0, 30, 2), 51} and half[i] == m] for m in (0, 1)]
+    hashes = {r[0]: r[1] for r in documents.select("text", F.xxhash64("text")).distinct().collect()}
+    want = sorted((i or -1, hashes[t], kneser_ney_of_words(fitted[1 - half[i]], (t or "").split())) for i, t in texts)
+    for block_bytes, shard_tokens in ((40, 50), (1 << 20, 1 << 20)):
+        got = word_model.word_scores(documents, trusted, block_bytes, shard_tokens).collect()
+        got = sorted((r["doc_id"] or -1, r["text_hash"], r["word_log2p"]) for r in got)
+        assert [x[:2] for x in got] == [x[:2] for x in want]
+        assert [x[2] for x in got] == pytest.approx([x[2] for x in want], abs=1e-6)
+
+
+def test_quality_tells_words_of_the_same_shapes_apart(spark):
+    """Lengths, case and marks are those of the trusted texts; the words are not."""
+    r = random.Random(8)
+    words = ["".join(r.choices("abcdefgh", k=r.randint(2, 9))) for _ in range(150)]
+    invented = {w: "".join(r.choices("stuvwxyz", k=len(w))) for w in words}
+    texts = [r.choices(words, k=80) for _ in range(240)]
+    rows = [(i, "en", " ".join(t)) for i, t in enumerate(texts)] + [(1000 + i, "en", " ".join(invented[w] for w in t)) for i, t in enumerate(texts[:40])]
+    labels = spark.range(200).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    found = kneser_ney.classify(spark.createDataFrame(rows, "doc_id long, lang string, text string"), labels).collect()
+    assert len(found) == 280
+    assert all(r["least"] <= r["bits"] <= r["most"] for r in found)
+    assert {r["doc_id"] for r in found if not r["accepted"]} == {1000 + i for i in range(40)}
+
+
 # -- 4: toxicity --------------------------------------------------------------------------------
 
 
